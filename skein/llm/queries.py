@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, line_dedup, quality, token_files, url_filters
+from . import bpe, chat, contamination, line_dedup, ngram_join, quality, token_files, url_filters
 from .tables import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents"), n=4, p=85, q=100)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.vocabulary_path(spark, "word_bpe_49k.json"))
 
@@ -43,7 +47,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op5_url_filters, op6_quality_rules, op7_token_files, op8_chat_formatting, op9_line_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op5_url_filters, op6_quality_rules, op7_token_files, op8_chat_formatting, op9_line_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

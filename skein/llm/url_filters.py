@@ -5,7 +5,8 @@ above it; the longest rule decides. Other pages are judged by their host. Links
 the pages make weighted edges between hosts. Trust starts at hosts in proportion to
 their pages that a rule allows and follows the links; distrust starts at hosts in
 proportion to their pages that a rule blocks and follows the links backwards, for a
-host that links to bad ones is suspect. Both are personalised PageRanks. A host is
+host that links to bad ones is suspect. Both are personalised PageRanks, with one
+page's mass the same in either. A host is
 blocked where its distrust exceeds `ratio` times its trust.
 
 Edge cases: a url that is null or has no "://" has an empty host and path, fits no
@@ -78,9 +79,10 @@ def host_scores(judged: DataFrame, links: DataFrame) -> DataFrame:
     counted = judged.where("rule_verdict is not null").groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").alias("allowed"), F.count_if(F.col("rule_verdict") == "block").alias("blocked"))
     counted = materialize(counted)
     total = counted.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
-    share = lambda name, n: counted.where(F.col(name) > 0).select("host", (F.col(name) / F.lit(float(n or 1))).alias("seed"))
-    trust = spread(share("allowed", total["a"]), links).withColumnRenamed("mass", "trust")
-    distrust = spread(share("blocked", total["b"]), links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).withColumnRenamed("mass", "distrust")
+    judged_pages = float((total["a"] or 0) + (total["b"] or 0) or 1)
+    share = lambda name: counted.where(F.col(name) > 0).select("host", (F.col(name) / F.lit(judged_pages)).alias("seed"))
+    trust = spread(share("allowed"), links).withColumnRenamed("mass", "trust")
+    distrust = spread(share("blocked"), links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).withColumnRenamed("mass", "distrust")
     return trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
