@@ -81,14 +81,15 @@ def window_hashes(codes: np.ndarray, k: int, powers: _Powers = _words_pow) -> np
     return mix((total[k:] - total[:-k]) * down[:n])
 
 
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for as many as counts has, one run after another."""
+    total = np.cumsum(counts)
+    return np.repeat(starts - (total - counts), counts) + np.arange(int(total[-1]) if len(total) else 0)
+
+
 def within(offsets: np.ndarray, k: int) -> np.ndarray:
     """Starts of the runs of k positions that lie inside one row."""
-    n = int(offsets[-1])
-    ok = np.ones(max(n - k + 1, 0), bool)
-    for back in range(1, k):
-        cut = offsets[1:-1] - back
-        ok[cut[(cut >= 0) & (cut < len(ok))]] = False
-    return np.flatnonzero(ok)
+    return spread(offsets[:-1], np.maximum(np.diff(offsets) - k + 1, 0))
 
 
 def row_of(offsets: np.ndarray) -> np.ndarray:

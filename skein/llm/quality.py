@@ -91,9 +91,9 @@ def block_counts(block: Block) -> list[np.ndarray]:
     return [n_words, chars, symbols, dup_lines, repeated, n_lines]
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs' other columns with COUNTS of each whole text."""
-    kept = [c for c in docs.columns if c != text and c not in COUNTS]
+def measure(docs: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
+    """docs' other columns, and with whole the text, with COUNTS of each whole text."""
+    kept = [c for c in docs.columns if (whole or c != text) and c not in COUNTS]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in kept)).schema), *(f"{c} long" for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +102,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
                 counts = block_counts(block)
                 yield pa.RecordBatch.from_arrays([*batch.slice(block.first, len(block)).columns[: len(kept)], *(pa.array(c, pa.int64()) for c in counts)], names=[*kept, *COUNTS])
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias("_measured")).mapInArrow(run, schema)
 
 
 def base_failed(least_words: int = 50, most_repeated: int = 50) -> Column:
@@ -158,8 +158,19 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFram
     """doc_id, COUNTS, base_failed, the ratios' verdict in `kept` and the failed rules in `failed`, for every row of docs."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias(stratum), F.col("text"))
     measured = materialize(measure(plain))
-    limits = cutoffs(measured, labels, stratum).select("stratum", *(F.col(r).alias(f"most_{r}") for r in LADDERS))
+    return _verdicts(measured, cutoffs(measured, labels, stratum), stratum).select("doc_id", *COUNTS, "base_failed", "failed", "kept")
+
+
+def _verdicts(measured: DataFrame, certified: DataFrame, stratum: str) -> DataFrame:
+    limits = certified.select(F.col("stratum").alias("_stratum"), *(F.col(r).alias(f"most_{r}") for r in LADDERS))
     own = ratios()
     failed = F.array_compact(F.array(*(F.when(own[r] > F.col(f"most_{r}"), F.lit(r)) for r in LADDERS)))
-    joined = measured.join(limits, measured[stratum].eqNullSafe(limits["stratum"]), "left")
-    return joined.select("doc_id", *COUNTS, base_failed().alias("base_failed"), failed.alias("failed")).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    joined = measured.join(limits, measured[stratum].cast("string").eqNullSafe(limits["_stratum"]), "left")
+    return joined.withColumns({"base_failed": base_failed(), "failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+
+
+def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """The rows of docs, whole, that no rule rejects; the cutoffs are certified on docs themselves."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias(stratum), F.col("text"))
+    certified = materialize(cutoffs(materialize(measure(plain)), labels, stratum))
+    return _verdicts(measure(docs, whole=True), certified, stratum).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns if c not in COUNTS))

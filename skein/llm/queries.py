@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, line_dedup, ngram_join, quality, token_files, url_filters
+from . import bpe, chat, contamination, fm_dedup, line_dedup, ngram_join, quality, suffix_dedup, token_files, url_filters
 from .tables import table
 
 
@@ -29,6 +29,14 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).drop("token_ids")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=400, content=False)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.dedup(table(spark, sf_dir, "documents"), length=13, content=False)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
@@ -47,7 +55,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op5_url_filters, op6_quality_rules, op7_token_files, op8_chat_formatting, op9_line_dedup, op10_decontamination)}
+    own = (
+        op1_ngram_jaccard_join, op2_bpe, op3_suffix_array_dedup, op4_substring_dedup, op5_url_filters,
+        op6_quality_rules, op7_token_files, op8_chat_formatting, op9_line_dedup, op10_decontamination,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
