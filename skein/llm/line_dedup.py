@@ -1,20 +1,20 @@
 """Near-duplicate lines across all documents, found by a deletion-neighbourhood join; the earliest stays.
 
-A line is the text between line feeds; it is compared by its words in lower case.
-Lines with fewer than `least_words` words are never removed. Equal lines are one
-class; lines with `fuzzy_words` words or more also match when one word is inserted,
-deleted or replaced. A line occurrence goes if an equal or near line stands earlier,
+A line is the text between line feeds, and its words are what stands between its
+blanks. Lines with fewer than `least_words` words are never removed. Equal lines are
+one class; lines with `fuzzy_words` words or more also match when one word is
+inserted, deleted or replaced. A line goes if an equal or near line stands earlier,
 that is in a smaller doc_id or further up in the same document; lines are judged on
 the input.
 
 Two lines one word apart agree in the first or in the last half of their words, so
-only classes that share a half with another class (counted by groupBy) have their
-deletion neighbourhood written out. A variant's key is the sum of hashes of its
-words, each bound to its place: the whole line, the line without word i (moved up: a
-deletion) and the line with a gap at word i (a replacement). Sums with windows give
-all variants in time linear in the line. Equal keys are joined through an aggregate
-of the earliest line for each key, never pair by pair, and the edit distance of what
-is found is verified on the words.
+only lines that share a half with a different line (counted by groupBy) have their
+deletion neighbourhood written out. A variant's key is made of sums of hashes of its
+words, each bound to its place: the whole line, the line without word i (the rest
+moved up: a deletion), the line with a gap at word i (a replacement). Sums over
+windows give all variants in time linear in the line. Equal keys are joined through an
+aggregate of the earliest line for each key, never pair by pair, and the edit distance
+of what is found is verified on the words.
 
 Edge cases: null and empty texts have no lines to remove and are kept; documents
 without an id count as earliest, and rows with one id as one document, whose lines
@@ -28,55 +28,43 @@ from pyspark.sql import functions as F
 
 from .tables import materialize
 
-#: A set of lines this small may be broadcast.
-_SMALL = 500_000
+#: Half keys that so few lines share may be broadcast; more are joined by a shuffle.
+_SMALL = 1_000_000
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(line), r"[ \t-\r]+", " ")), " ")
+def lines(docs: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, line_no, line, its hash and its number of words, for lines with enough of them."""
+    apart = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return apart.withColumn("n", n).where((F.col("n") >= least_words) & (F.col("line") != "")).withColumn("line_key", F.xxhash64("line"))
 
 
-def _half(n: Column) -> Column:
-    return F.floor(n / 2).cast("int")
+def _halves(n: Column) -> Column:
+    """Keys of h(n) and h(n - 1) words from either end: what a line shares with one of as many words or one more or less.
 
+    Both numbers are the same for an odd n.
+    """
+    key = lambda h, side: F.xxhash64(F.call_function("substring_index", F.col("line"), F.lit(" "), h * side), h * side)
+    h, low = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    both = F.array(key(h, 1), key(h, -1))
+    return F.when(h == low, both).otherwise(F.concat(both, F.array(key(low, 1), key(low, -1))))
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, and the words of every line that has some."""
-    apart = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return apart.withColumn("words", _words("line")).where(F.element_at("words", 1) != "")
-
-
-def _classes(docs: DataFrame, least_words: int, fuzzy_words: int) -> tuple[DataFrame, DataFrame]:
-    """All occurrences (doc_id, line_no, line hash), and the classes of equal lines with their halves."""
-    words, n = F.col("words"), F.size("words")
-    # h(n) and h(n - 1) words from either end: what a line shares with one that has as many words or one more or less
-    ends = lambda h: [F.xxhash64(F.lit("head"), h, F.slice(words, 1, h)), F.xxhash64(F.lit("tail"), h, F.slice(words, n - h + 1, h))]
-    halves = F.when(n >= fuzzy_words, F.when(n % 2 == 0, F.array(*ends(_half(n)), *ends(_half(n - 1)))).otherwise(F.array(*ends(_half(n)))))
-    seen = lines(docs).where(n >= least_words).select("doc_id", "line_no", F.xxhash64("words").alias("line_key"), n.alias("n"), halves.alias("halves"))
-    seen = materialize(seen)
-    first = F.struct("doc_id", "line_no")
-    classes = seen.groupBy("line_key", "n").agg(F.min(first).alias("first"), F.max(first).alias("last"), F.any_value("halves").alias("halves"))
-    return seen, classes
-
-
-def _shared_halves(classes: DataFrame) -> DataFrame:
-    """line_key, n and the shared sides of classes that have a half in common with another class."""
-    apart = classes.where(F.col("halves").isNotNull()).select("line_key", "n", F.posexplode("halves").alias("side", "half"))
-    twice = apart.groupBy("half").agg(F.min("line_key").alias("a"), F.max("line_key").alias("b")).where("a <> b").select("half")
-    return apart.join(twice, "half").groupBy("line_key", "n").agg(F.max((F.col("side") % 2 == 0).cast("int")).alias("head"), F.max((F.col("side") % 2 == 1).cast("int")).alias("tail"))
-
-
-def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """line_key, n and the earliest line one word apart, for classes that have such a line."""
-    few = materialize(_shared_halves(classes).join(classes.select("line_key", "n", "first", "last"), ["line_key", "n"]))
-    spots = few.select("line_key", "n", "first", "head", "tail", F.col("first.doc_id").alias("_doc"), F.col("first.line_no").alias("_line"))
-    if few.count() <= _SMALL:
-        spots = F.broadcast(spots)
-    own = lines(docs)
-    texts = own.join(spots, own["doc_id"].eqNullSafe(F.col("_doc")) & (own["line_no"] == F.col("_line"))).where((F.size("words") == F.col("n")) & (F.xxhash64("words") == F.col("line_key")))
-    texts = materialize(texts.select("line_key", "n", "first", "head", "tail", "words").dropDuplicates(["line_key", "n"]))
-
-    apart = texts.select("line_key", "n", "first", "head", "tail", F.posexplode("words").alias("i", "word"))
+
+def _candidates(docs: DataFrame, least_words: int, fuzzy_words: int) -> DataFrame:
+    """line_key, n, line, first and the shared sides of the distinct lines that have a half in common with a different line."""
+    own = lines(docs, least_words).where(F.col("n") >= fuzzy_words)
+    apart = own.select("line_key", F.explode(_halves(F.col("n"))).alias("half"))
+    shared = materialize(apart.groupBy("half").agg(F.min("line_key").alias("a"), F.max("line_key").alias("b")).where("a <> b").select("half"))
+    if shared.count() <= _SMALL:
+        shared = F.broadcast(shared)
+    sides = own.select("doc_id", "line_no", "line_key", "n", "line", F.posexplode(_halves(F.col("n"))).alias("side", "half"))
+    hit = sides.join(shared, "half").select("line_key", "n", "line", F.struct("doc_id", "line_no").alias("first"), (F.col("side") % 2 == 0).alias("head"))
+    return hit.groupBy("line_key", "n").agg(F.any_value("line").alias("line"), F.min("first").alias("first"), F.max("head").alias("head"), F.min("head").alias("only_head"))
+
+
+def _variants(texts: DataFrame) -> DataFrame:
+    """line_key, n, first, whole and the key of every variant: the deletion neighbourhood."""
+    apart = texts.select("line_key", "n", "first", "head", "only_head", F.posexplode(F.split("line", " ")).alias("i", "word"))
     for k in (1, 2):
         # 40-bit values: sums of millions of them fit in a long
         apart = apart.withColumn(f"g{k}", F.shiftright(F.xxhash64(F.lit(k), "word", "i"), 24)).withColumn(f"up{k}", F.shiftright(F.xxhash64(F.lit(k), "word", F.col("i") - 1), 24))
@@ -85,30 +73,30 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     whole = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for k in (1, 2):
         apart = apart.withColumn(f"t{k}", F.sum(f"g{k}").over(whole)).withColumn(f"d{k}", F.sum(f"g{k}").over(upto) - F.col(f"g{k}") + F.sum(f"up{k}").over(whole) - F.sum(f"up{k}").over(upto))
-    # with the head shared, the words that differ lie behind it, and the other way round
-    apart = apart.where(((F.col("head") == 1) & (F.col("i") >= _half(F.col("n") - 1))) | ((F.col("tail") == 1) & (F.col("i") < F.col("n") - _half(F.col("n") - 1))) | (F.col("i") == 0))
-    kind = lambda name, key1, key2, size, gap: F.struct(F.lit(name).alias("kind"), key1.alias("k1"), key2.alias("k2"), size.cast("int").alias("size"), gap.cast("int").alias("gap"))
     n, i = F.col("n"), F.col("i")
-    variants = F.array_compact(F.array(
-        kind("gap", F.col("t1") - F.col("g1"), F.col("t2") - F.col("g2"), n, i),
-        kind("del", F.col("d1"), F.col("d2"), n - 1, F.lit(-1)),
-        F.when(i == 0, kind("all", F.col("t1"), F.col("t2"), n, F.lit(-1))),
-    ))
-    each = apart.select("line_key", "n", "first", F.explode(variants).alias("v")).select("line_key", "n", "first", "v.*")
-    # deletions of one word meet whole lines, gaps meet gaps: for every key the earliest line on either side
+    low = F.floor((n - 1) / 2)
+    # with the head shared, the words that differ lie behind it, and the other way round
+    apart = apart.where((F.col("head") & (i >= low)) | (~F.col("only_head") & (i < n - low)) | (i == 0))
+    gap = F.xxhash64(F.lit("gap"), n, i, F.col("t1") - F.col("g1"), F.col("t2") - F.col("g2"))
+    cut = F.xxhash64(F.lit("cut"), n - 1, "d1", "d2")
+    own = F.xxhash64(F.lit("cut"), n, "t1", "t2")
+    entry = lambda key, is_whole: F.struct(key.alias("key"), F.lit(is_whole).alias("whole"))
+    each = F.array_compact(F.array(entry(gap, False), entry(cut, False), F.when(i == 0, entry(own, True))))
+    return apart.select("line_key", "n", "first", F.explode(each).alias("v")).select("line_key", "n", "first", F.col("v.key").alias("key"), F.col("v.whole").alias("whole"))
+
+
+def near_lines(texts: DataFrame) -> DataFrame:
+    """line_key, n and the earliest line one word apart, for lines that have an earlier one."""
+    each = _variants(texts)
+    # the earliest for each key, of whole lines and of lines cut short apart: two lines cut to the same may not be near, and must not hide one that is
     entry = F.struct("first", "line_key", "n")
-    keyed = each.withColumn("role", F.when(F.col("kind") == "gap", "gap").otherwise("cut"))
-    met = keyed.groupBy("role", "k1", "k2", "size", "gap").agg(
-        F.min(F.when(F.col("kind") != "all", entry)).alias("cut_first"),
-        F.min(F.when(F.col("kind") == "all", entry)).alias("all_first"),
-        F.min("line_key").alias("a"), F.max("line_key").alias("b"),
-    ).where("a <> b").drop("a", "b")
-    found = keyed.join(met, ["role", "k1", "k2", "size", "gap"]).withColumn("other", F.when(F.col("kind") == "del", F.col("all_first")).otherwise(F.col("cut_first"))).where("other is not null and other.first < first")
-    pairs = found.select("line_key", "n", F.col("other.line_key").alias("o_key"), F.col("other.n").alias("o_n"), F.col("other.first").alias("o_first")).distinct()
-    a = texts.select("line_key", "n", F.col("words").alias("a"))
-    b = texts.select(F.col("line_key").alias("o_key"), F.col("n").alias("o_n"), F.col("words").alias("b"))
-    checked = pairs.join(a, ["line_key", "n"]).join(b, ["o_key", "o_n"]).where(one_word_apart(F.col("a"), F.col("b")))
-    return checked.groupBy("line_key", "n").agg(F.min("o_first").alias("near_first"))
+    met = each.groupBy("key").agg(F.min(F.when(~F.col("whole"), entry)).alias("cut_first"), F.min(F.when(F.col("whole"), entry)).alias("all_first"), F.min("line_key").alias("a"), F.max("line_key").alias("b")).where("a <> b").drop("a", "b")
+    found = each.join(met, "key").select("line_key", "n", "first", F.explode(F.array_compact(F.array("cut_first", "all_first"))).alias("o")).where("o.first < first")
+    pairs = found.select("line_key", "n", F.col("o.line_key").alias("o_key"), F.col("o.n").alias("o_n"), F.col("o.first").alias("near_first")).distinct()
+    a = texts.select("line_key", "n", F.col("line").alias("a"))
+    b = texts.select(F.col("line_key").alias("o_key"), F.col("n").alias("o_n"), F.col("line").alias("b"))
+    checked = pairs.join(a, ["line_key", "n"]).join(b, ["o_key", "o_n"]).where(one_word_apart(F.split("a", " "), F.split("b", " ")))
+    return checked.groupBy("line_key", "n").agg(F.min("near_first").alias("near_first"))
 
 
 def one_word_apart(a: Column, b: Column) -> Column:
@@ -123,12 +111,13 @@ def one_word_apart(a: Column, b: Column) -> Column:
 
 def removed_lines(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8) -> DataFrame:
     """doc_id and line_no of every line that an equal or near earlier line makes superfluous."""
-    seen, classes = _classes(docs, least_words, fuzzy_words)
-    classes = materialize(classes)
-    near = near_classes(docs, classes)
-    # only classes that stand more than once or have an earlier near line concern any occurrence
-    kept = classes.join(near, ["line_key", "n"], "left").where("first <> last or near_first is not null").select("line_key", "n", F.least("first", F.coalesce("near_first", "first")).alias("keep"))
-    return seen.join(kept, ["line_key", "n"]).where("keep < struct(doc_id, line_no)").select("doc_id", "line_no")
+    seen = lines(docs, least_words).select("doc_id", "line_no", "line_key", "n")
+    spot = F.struct("doc_id", "line_no")
+    twice = seen.groupBy("line_key", "n").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("line_key", "n", "first")
+    near = near_lines(materialize(_candidates(docs, least_words, fuzzy_words)))
+    # only lines that stand more than once or have an earlier near line concern any occurrence
+    kept = twice.join(near, ["line_key", "n"], "full").select("line_key", "n", F.least("first", "near_first").alias("keep"))
+    return seen.join(materialize(kept), ["line_key", "n"]).where("keep < struct(doc_id, line_no)").select("doc_id", "line_no")
 
 
 def dedup(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8) -> DataFrame:

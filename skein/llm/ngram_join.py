@@ -12,13 +12,13 @@ the next group, and a set is entered for both. Branches with a single set are dr
 where they are counted; unlike single frequent n-grams, a branch is seldom shared by
 texts that merely quote the same passage.
 
-The sets of each branch, named by their smallest set, are built into a path-compressed
-trie. Each set traverses it: what it shares with an edge is counted once for all sets
-below, and a subtree is left when the shared n-grams plus what can remain fall short
-of the least overlap, or when all its sets are already in the component of the
-traversing one. Large branches are split into chunks with their smallest set; where
-that leaves more than one component, chunks also meet the sets outside the largest
-component, so that no link is lost.
+The sets of each branch, named by its smallest set, are built into a path-compressed
+trie. A set that traverses it counts what it shares with an edge once for all sets
+below, and leaves a subtree when the shared n-grams plus what can remain fall short of
+the least overlap, or when all its sets are already in its component. First the
+smallest set of each branch traverses the tries of the others, in chunks; that
+connects most copies. Where a branch still holds several components, the sets outside
+its largest one traverse all its chunks, so that no link between components is lost.
 
 Edge cases: a null, empty or blank text has an empty set and is linked with nothing;
 fewer words than n are one n-gram; documents without an id are measured, and linked
@@ -35,16 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Block, blocks, mix, window_hashes, within
+from .arrays import Block, blocks, mix, spread, window_hashes, within
 from .components import components
 from .tables import materialize, partitions_for, text_size
 
 _U = np.uint64
-#: Sets of a branch that one task takes at once.
-CHUNK = 256
+#: Sets of a branch that one trie holds.
+CHUNK = 1024
 #: Text bytes whose branches one reducing task gathers.
-_BUCKET_BYTES = 8 << 20
-_KEEP = _U((1 << 48) - 1)
+_BUCKET_BYTES = 16 << 20
+#: Levels on which the trie branches; below them each set's rest is an edge of its own.
+LEVELS = 4
 
 
 class Jaccard:
@@ -64,12 +65,10 @@ class Jaccard:
         high = np.array(self.low)[group] * self.q // self.p
         return high * (self.q - self.p) // self.p
 
-    def linked(self, shared: int, a: int, b: int) -> bool:
-        return self.q * shared >= self.p * (a + b - shared)
-
-    def least(self, a: int, b: int) -> int:
-        """The overlap that sets of these sizes need."""
-        return -(-self.p * (a + b) // (self.p + self.q))
+    @staticmethod
+    def segments(d):
+        """Segments for sets that differ in at most d n-grams: some more than d, so that a pair agrees in several."""
+        return d + 2 + d // 10
 
 
 def block_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +114,7 @@ def branches(grams: np.ndarray, offsets: np.ndarray, rule: Jaccard) -> tuple[np.
         level = group - step
         live = (n > 0) & (level >= 0)
         d = np.where(live, rule.bound(np.maximum(level, 0)), 0)
-        m = np.where(d > 0, d + 2 + d // 10, 1)
+        m = np.where(d > 0, rule.segments(d), 1)
         row = np.repeat(np.arange(len(n)), n)
         segment = ((grams >> _U(32)) * m[row].astype(_U)) >> _U(32)
         fresh = np.ones(len(grams), bool)
@@ -137,82 +136,140 @@ def branches(grams: np.ndarray, offsets: np.ndarray, rule: Jaccard) -> tuple[np.
     return np.concatenate(keys), np.concatenate(rows)
 
 
-class _Node:
-    """An edge of the trie: n-grams that all sets below share in a row, and what is below."""
-
-    __slots__ = ("grams", "children", "sets", "shortest", "longest", "depth")
-
-
-def build(sets: list[np.ndarray], order: list[int], depth: int = 0) -> list[_Node]:
-    """Path-compressed trie of the sets named in order, which go by their n-grams."""
-    roots: list[_Node] = []
-    work = [(order, depth, roots)]
-    while work:
-        members, at, into = work.pop()
-        i = 0
-        while i < len(members):
-            # the sets that go on with the same n-gram
-            head = sets[members[i]][at] if at < len(sets[members[i]]) else None
-            j = i + 1
-            while j < len(members) and head is not None and at < len(sets[members[j]]) and sets[members[j]][at] == head:
-                j += 1
-            own = members[i:j]
-            node = _Node()
-            a, b = sets[own[0]], sets[own[-1]]
-            if len(own) == 1:
-                end = len(a)
-            else:
-                least = min(len(a), len(b))
-                differ = np.flatnonzero(a[at:least] != b[at:least])
-                end = at + int(differ[0]) if len(differ) else least
-            node.grams, node.children, node.sets, node.depth = a[at:end], [], own, end
-            sizes = [len(sets[k]) for k in own]
-            node.shortest, node.longest = min(sizes), max(sizes)
-            into.append(node)
-            if len(own) > 1:
-                work.append((own, end, node.children))
-            i = j
-    return roots
-
-
-def trie_links(sets: list[np.ndarray], rule: Jaccard, joined: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links enough to connect what the sets' links connect; joined: labels of sets known to be connected."""
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    if joined:
-        first: dict[int, int] = {}
-        for k, label in enumerate(joined):
-            parent[find(k)] = find(first.setdefault(label, k))
-    order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
-    roots, links = build(sets, order), []
-    for x in range(len(sets)):
-        probe = sets[x]
-        stack = [(node, 0) for node in roots]
-        while stack:
-            node, shared = stack.pop()
-            mine = find(x)
-            if all(find(y) == mine for y in node.sets):
-                continue
-            if len(node.grams):
-                spot = np.searchsorted(probe, node.grams)
-                shared += int((probe[np.minimum(spot, len(probe) - 1)] == node.grams).sum())
-                left = len(probe) - int(np.searchsorted(probe, node.grams[-1], "right"))
-            else:
-                left = len(probe)
-            if shared + min(left, node.longest - node.depth) < rule.least(len(probe), node.shortest):
+class Trie:
+    """Path-compressed trie of distinct ordered sets, level by level in flat arrays.
+
+    A node has the n-grams that all sets below it share in a row, the depth at which
+    they end, the shortest and longest set below, and its children, which lie side by
+    side; the sets below it are a range of the sorted sets.
+    """
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.order = np.array(sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes()), np.int64)
+        ranked = [sets[k] for k in self.order]
+        shared = np.zeros(len(ranked), np.int64)
+        for i in range(1, len(ranked)):
+            a, b = ranked[i - 1], ranked[i]
+            n = min(len(a), len(b))
+            differ = a[:n] != b[:n]
+            at = int(differ.argmax()) if n else 0
+            shared[i] = at if n and differ[at] else n
+        sizes = np.array([len(s) for s in ranked], np.int64)
+        grams, nodes, level = [], [], [(0, len(ranked), 0, -1)]
+        self.children: list[tuple[int, int]] = []
+        step = 0
+        while level:
+            step, below = step + 1, []
+            for low, high, at, parent in level:
+                cuts = list(range(low, high + 1)) if step == LEVELS else [low, *(np.flatnonzero(shared[low + 1 : high] <= at) + low + 1).tolist(), high]
+                if parent >= 0:
+                    self.children[parent] = (len(nodes), len(nodes) + len(cuts) - 1)
+                else:
+                    self.roots = (0, len(cuts) - 1)
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    end = int(sizes[a]) if b - a == 1 else int(shared[a + 1 : b].min())
+                    grams.append(ranked[a][at:end])
+                    if b - a > 1:
+                        below.append((a, b, end, len(nodes)))
+                    nodes.append((a, b, end, int(sizes[a:b].min()), int(sizes[a:b].max())))
+                    self.children.append((0, 0))
+            level = below
+        self.low, self.high, self.depth, self.shortest, self.longest = np.array(nodes, np.int64).reshape(-1, 5).T
+        self.at = np.r_[0, np.cumsum([len(g) for g in grams])].astype(np.int64)
+        self.grams = np.concatenate([np.zeros(0, _U), *grams])
+        # n-grams by number, so that a probe looks them up in a table of its own
+        known, number = np.unique(np.concatenate([np.zeros(0, _U), *sets]), return_inverse=True)
+        self.own = np.split(number, np.cumsum([len(s) for s in sets])[:-1])
+        self.number, self.mark = np.searchsorted(known, self.grams), np.zeros(len(known), bool)
+        self.kids = np.array(self.children, np.int64).reshape(-1, 2)
+
+    def similar(self, probe: np.ndarray, x: int, component: np.ndarray, rule: Jaccard, allowed: np.ndarray) -> np.ndarray:
+        """Sets linked with the probe, which is set x, of those allowed and of another component than its own.
+
+        A level of the trie at a time: what is left of the level before is counted,
+        bounded and led on to its children together.
+        """
+        open_ = np.r_[0, np.cumsum((allowed & (component != component[x]))[self.order])]
+        self.mark[self.own[x]] = True
+        live, shared = np.arange(*self.roots), np.zeros(self.roots[1] - self.roots[0], np.int64)
+        found = [np.zeros(0, np.int64)]
+        while len(live):
+            some = open_[self.high[live]] > open_[self.low[live]]
+            live, shared = live[some], shared[some]
+            need = -(-rule.p * (len(probe) + self.shortest[live]) // (rule.p + rule.q))
+            fits = need <= np.minimum(len(probe), self.longest[live])
+            live, shared, need = live[fits], shared[fits], need[fits]
+            if not len(live):
+                break
+            count = self.at[live + 1] - self.at[live]
+            hit = np.r_[0, np.cumsum(self.mark[self.number[spread(self.at[live], count)]])]
+            stop = np.cumsum(count)
+            shared = shared + hit[stop] - hit[stop - count]
+            last = np.where(count > 0, np.searchsorted(probe, self.grams[self.at[live + 1] - 1], "right"), 0)
+            rest = np.minimum(len(probe) - last, self.longest[live] - self.depth[live])
+            ok = shared + rest >= need
+            live, shared = live[ok], shared[ok]
+            leaf = self.high[live] - self.low[live] == 1
+            n = self.shortest[live[leaf]]
+            linked = rule.q * shared[leaf] >= rule.p * (len(probe) + n - shared[leaf])
+            found.append(self.order[self.low[live[leaf]][linked]])
+            kids = self.kids[live[~leaf]]
+            many = kids[:, 1] - kids[:, 0]
+            shared = np.repeat(shared[~leaf], many)
+            live = spread(kids[:, 0], many)
+        self.mark[self.own[x]] = False
+        return np.concatenate(found)
+
+
+class Segments:
+    """How many segments of the order two sets agree in: linked ones differ in no more segments than n-grams."""
+
+    def __init__(self, sets: list[np.ndarray], rule: Jaccard) -> None:
+        n = np.array([len(s) for s in sets], np.int64)
+        self.group = rule.group(n)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+        self.row = np.zeros((len(sets), 2), np.int64)
+        for level in np.unique(np.r_[self.group, self.group - 1]).tolist():
+            # sets of this group and of the next, the only partners of one another at this level
+            own = np.flatnonzero((self.group == level) | (self.group == level + 1))
+            if level < 0 or not (self.group[own] == level).any():
                 continue
-            if node.children:
-                stack += [(child, shared) for child in node.children]
-            elif rule.linked(shared, len(probe), len(sets[node.sets[0]])):
-                y = node.sets[0]
+            d = int(rule.bound(np.array([level]))[0])
+            m = rule.segments(d)
+            kept = np.zeros((len(own), m), np.uint32)
+            for i, k in enumerate(own.tolist()):
+                segment = (((sets[k] >> _U(16)) * _U(m)) >> _U(32)).astype(np.int64)
+                total = np.r_[_U(0), np.cumsum(mix(sets[k] + _U(3)), dtype=_U)]
+                at = np.searchsorted(segment, np.arange(m + 1))
+                kept[i] = (total[at[1:]] - total[at[:-1]]) >> _U(32)
+            self.tables[level] = (own, kept, m - d)
+            self.row[own, (self.group[own] != level).astype(np.int64)] = np.arange(len(own))
+
+    def allowed(self, x: int) -> np.ndarray:
+        out = np.zeros(len(self.group), bool)
+        for step in (0, 1):
+            level = int(self.group[x]) - step
+            if level in self.tables:
+                own, kept, least = self.tables[level]
+                agree = (kept == kept[self.row[x, step]]).sum(axis=1) >= least
+                # from the group below only its own sets are new partners
+                out[own[agree]] |= True if step == 0 else self.group[own[agree]] == level
+        return out
+
+
+def trie_links(sets: list[np.ndarray], rule: Jaccard, labels: list[int], probes: list[int]) -> list[tuple[int, int]]:
+    """Links from the probing sets to others, enough to connect what their links connect; sets with one label are connected."""
+    trie, near, links = Trie(sets), Segments(sets, rule), []
+    _, component = np.unique(np.array(labels, np.int64), return_inverse=True)
+    for x in probes:
+        allowed = near.allowed(x)
+        allowed &= component != component[x]
+        if not allowed.any():
+            continue
+        for y in trie.similar(sets[x], x, component, rule, allowed).tolist():
+            if component[y] != component[x]:
                 links.append((x, y))
-                parent[find(y)] = find(x)
+                component[component == component[y]] = component[x]
     return links
 
 
@@ -236,7 +293,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def _entered(docs: DataFrame, n: int, rule: Jaccard, buckets: int) -> DataFrame:
-    """bucket and packed (key, set) pairs: every set on all its branches, once for each task."""
+    """bucket, packed keys, and the sets' names with their numbers of keys: every set on all its branches, once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -249,12 +306,24 @@ def _entered(docs: DataFrame, n: int, rule: Jaccard, buckets: int) -> DataFrame:
             bucket = (key % _U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             used, begin = np.unique(bucket[order], return_index=True)
-            rest = (key[order] // _U(buckets)) & _U((1 << 40) - 1)
-            packed = np.empty((len(order), 13), np.uint8)
-            packed[:, :5] = rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            packed[:, 5:] = name[order].astype("<u8").view(np.uint8).reshape(-1, 8)
+            rest = ((key[order] // _U(buckets)) & _U((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            # a set's name stands once for all its keys in a bucket
+            bucket, name = bucket[order], name[order]
+            fresh = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (name[1:] != name[:-1])])
+            count = np.diff(np.r_[fresh, len(order)]).astype("<u4")
             ends = [*begin[1:].tolist(), len(order)]
-            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[a:b].tobytes() for a, b in zip(begin.tolist(), ends, strict=True)], pa.binary())], names=["bucket", "entries"])
+            spans = np.searchsorted(fresh, [*begin.tolist(), len(order)]).tolist()
+            runs = list(zip(spans[:-1], spans[1:], strict=True))
+            own = name[fresh].astype("<u8")
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(used, pa.int32()),
+                    pa.array([rest[a:b].tobytes() for a, b in zip(begin.tolist(), ends, strict=True)], pa.binary()),
+                    pa.array([own[a:b].tobytes() for a, b in runs], pa.binary()),
+                    pa.array([count[a:b].tobytes() for a, b in runs], pa.binary()),
+                ],
+                names=["bucket", "branches", "names", "counts"],
+            )
 
         for batch in batches:
             for block in blocks(batch.column(1)):
@@ -276,7 +345,7 @@ def _entered(docs: DataFrame, n: int, rule: Jaccard, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return _plain(docs).where("doc_id is not null").mapInArrow(run, "bucket int, entries binary")
+    return _plain(docs).where("doc_id is not null").mapInArrow(run, "bucket int, branches binary, names binary, counts binary")
 
 
 def candidates(docs: DataFrame, n: int, rule: Jaccard) -> DataFrame:
@@ -284,11 +353,12 @@ def candidates(docs: DataFrame, n: int, rule: Jaccard) -> DataFrame:
     buckets = partitions_for(docs.sparkSession, text_size(docs, "text"), _BUCKET_BYTES)
 
     def meet(table: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(table.column("entries").to_pylist()), np.uint8).reshape(-1, 13)
+        joined = {c: b"".join(table.column(c).to_pylist()) for c in ("branches", "names", "counts")}
+        raw = np.frombuffer(joined["branches"], np.uint8).reshape(-1, 5)
         key = np.zeros((len(raw), 8), np.uint8)
-        key[:, :5] = raw[:, :5]
+        key[:, :5] = raw
         key = key.view("<u8").ravel()
-        name = np.ascontiguousarray(raw[:, 5:]).view("<u8").ravel()
+        name = np.repeat(np.frombuffer(joined["names"], "<u8"), np.frombuffer(joined["counts"], "<u4"))
         order = np.argsort(key, kind="stable")
         key = key[order]
         same = np.zeros(len(key), bool)
@@ -324,10 +394,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def _verified(blocks_of: DataFrame, sets: DataFrame, rule: Jaccard) -> DataFrame:
-    """Links (a, b) between the sets of each block, given as rows (block, name, label)."""
+    """Links (a, b) from the probing sets of each block, given as rows (block, name, label, probe)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, names, labels, grams = None, [], [], []
+        block, names, labels, probes, grams = None, [], [], [], []
 
         def flush() -> pa.RecordBatch:
             apart = []
@@ -335,56 +405,53 @@ def _verified(blocks_of: DataFrame, sets: DataFrame, rule: Jaccard) -> DataFrame
                 wide = np.zeros((len(raw) // 6, 8), np.uint8)
                 wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
                 apart.append(wide.view("<u8").ravel())
-            found = trie_links(apart, rule, labels)
+            found = trie_links(apart, rule, labels, probes)
             return pa.RecordBatch.from_arrays([pa.array([names[x] for x, _ in found], pa.int64()), pa.array([names[y] for _, y in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for b, name, label, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for b, name, label, probe, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if b != block:
-                    if len(names) > 1:
+                    if len(names) > 1 and probes:
                         yield flush()
-                    block, names, labels, grams = b, [], [], []
+                    block, names, labels, probes, grams = b, [], [], [], []
+                if probe:
+                    probes.append(len(names))
                 names.append(name)
                 labels.append(label)
                 grams.append(raw)
-        if len(names) > 1:
+        if len(names) > 1 and probes:
             yield flush()
 
-    rows = blocks_of.join(sets, "name").select("block", "name", "label", "grams")
-    return rows.repartition("block").sortWithinPartitions("block", "name").mapInArrow(run, "a long, b long")
+    rows = blocks_of.join(sets, "name").select("block", "name", "label", "probe", "grams")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
-def set_links(docs: DataFrame, sizes: DataFrame, n: int, rule: Jaccard) -> DataFrame:
-    """Links (a, b) between the names of different sets: enough of them to connect all that links connect."""
+def set_components(docs: DataFrame, sizes: DataFrame, n: int, rule: Jaccard) -> DataFrame:
+    """name and component of every set that is linked with a different one."""
     pairs = materialize(candidates(docs, n, rule))
-    everyone = pairs.select("leader", F.col("member").alias("name")).unionByName(pairs.select("leader", F.col("leader").alias("name")).distinct())
-    wanted = everyone.select("name").distinct().join(sizes, "name")
-    sets = materialize(_sets_of(docs, wanted, n))
-    count = pairs.groupBy("leader").agg(F.ceil((F.count("*") + 1) / CHUNK).alias("chunks"))
-    dealt = everyone.join(count, "leader").withColumn("chunk", F.pmod(F.xxhash64("name"), F.col("chunks")))
+    count = pairs.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    members = pairs.select("leader", F.col("member").alias("name")).join(count, "leader").withColumn("chunk", F.pmod(F.xxhash64("name"), F.col("chunks")))
     # each chunk of a branch has its smallest set with it
-    led = dealt.where("name = leader").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    first = dealt.where("name <> leader").unionByName(led.select(dealt.columns))
-    links = materialize(_verified(first.select(F.xxhash64("leader", "chunk").alias("block"), "name", F.col("name").alias("label")), sets, rule))
-    if count.where("chunks > 1").isEmpty():
-        return links
-    # what chunks have kept apart: sets outside a branch's largest component meet all its sets
-    label = components(links).select(F.col("node").alias("name"), "component")
-    split = dealt.where("chunks > 1").join(label, "name", "left").select("leader", "name", "chunks", F.coalesce("component", "name").alias("label"))
-    split = materialize(split)
-    sums = split.groupBy("leader", "label").agg(F.count("*").alias("n"))
-    main = sums.groupBy("leader").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("leader", F.col("top.label").alias("main"))
-    if main.isEmpty():
-        return links
-    mixed = split.join(main, "leader")
-    outside = mixed.where("label <> main")
-    parts = outside.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
-    mixed, outside = mixed.join(parts, "leader"), outside.join(parts, "leader")
-    cell = lambda i, j: F.xxhash64(F.col("leader"), i, j)
-    rows, part = F.pmod(F.xxhash64("name"), F.col("chunks")), F.pmod(F.xxhash64(F.lit(1), "name"), F.col("parts"))
-    all_sets = mixed.withColumn("i", rows).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(cell(F.col("i"), F.col("j")).alias("block"), "name", "label")
-    others = outside.withColumn("j", part).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(cell(F.col("i"), F.col("j")).alias("block"), "name", "label")
-    return links.unionByName(_verified(all_sets.unionByName(others).distinct(), sets, rule))
+    led = count.select("leader", F.col("leader").alias("name"), "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    dealt = materialize(members.unionByName(led))
+    sets = materialize(_sets_of(docs, dealt.select("name").distinct().join(sizes, "name"), n))
+    block = F.xxhash64("leader", "chunk").alias("block")
+    links = materialize(_verified(dealt.select(block, "name", F.col("name").alias("label"), (F.col("name") == F.col("leader")).alias("probe")), sets, rule))
+    label = components(links)
+    # where a branch holds several components, what is outside its largest one meets all its sets
+    named = dealt.join(label.withColumnRenamed("node", "name"), "name", "left").select("leader", "name", "chunks", "chunk", F.coalesce("component", "name").alias("label"))
+    named = materialize(named)
+    sums = named.dropDuplicates(["leader", "name"]).groupBy("leader", "label").agg(F.count("*").alias("n"))
+    mixed = sums.groupBy("leader").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("kinds"), F.sum("n").alias("all")).where("kinds > 1 and `all` > 2").select("leader", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / CHUNK).alias("parts"))
+    rows = materialize(named.join(mixed, "leader"))
+    if rows.isEmpty():
+        return label
+    cell = F.xxhash64("leader", "chunk", "part").alias("block")
+    targets = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    probing = rows.where("label <> main").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "name"), F.col("parts"))).drop("chunk").dropDuplicates(["leader", "name"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    both = targets.select(cell, "name", "label", F.lit(False).alias("probe")).unionByName(probing.select(cell, "name", "label", F.lit(True).alias("probe")))
+    more = materialize(_verified(both.groupBy("block", "name").agg(F.any_value("label").alias("label"), F.max("probe").alias("probe")), sets, rule))
+    return label if more.isEmpty() else components(links.unionByName(more))
 
 
 def groups(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100) -> DataFrame:
@@ -397,9 +464,8 @@ def groups(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     own = materialize(measured(docs, n))
     heads = own.where("set_a is not null and doc_id is not null").groupBy(F.col("set_a").alias("name")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"))
     heads = materialize(heads)
-    links = set_links(docs, heads.select("name", "doc_id"), n, rule)
-    ends = heads.select(F.col("name"), F.col("doc_id").alias("head"))
-    by_doc = links.join(ends.withColumnsRenamed({"name": "a", "head": "x"}), "a").join(ends.withColumnsRenamed({"name": "b", "head": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    label = components(by_doc).withColumnRenamed("node", "head")
-    mapped = ends.join(label, "head", "left").join(heads.select("name", "n_copies"), "name").select(F.col("name").alias("set_a"), F.coalesce("component", "head").alias("component"), "n_copies")
-    return own.join(mapped, "set_a", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    named = set_components(docs, heads.select("name", "doc_id"), n, rule).withColumnRenamed("node", "name")
+    ends = heads.join(named, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    least = ends.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    mapped = ends.join(least, "component").select(F.col("name").alias("set_a"), "component_id", "n_copies")
+    return own.join(mapped, "set_a", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))

@@ -40,6 +40,8 @@ class Unit(NamedTuple):
     words: bool
     #: bytes of a symbol in a segment
     width: int
+    #: bytes of text for each shard, which bounds what one task indexes at once
+    shard_bytes: int = 6 << 20
 
     def symbols(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """A hash code for each symbol, and where each row's symbols begin."""
@@ -147,7 +149,7 @@ def marks(docs: DataFrame, unit: Unit, engine: Callable[[Shard], tuple[np.ndarra
     spark = docs.sparkSession
     size = text_size(docs, "text")
     bitmap: Broadcast = spark.sparkContext.broadcast(repeated_minimisers(docs, unit, size))
-    shards = partitions_for(spark, size, _PER_TASK)
+    shards = partitions_for(spark, size, unit.shard_bytes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value

@@ -123,7 +123,7 @@ def named(docs: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, length: int = 400, k: int = 64) -> DataFrame:
     """x, y, doc_id, text, and arrays `begins` and `ends` of the bytes that repeated strings cover."""
     own = named(docs)
-    return with_marks(own, marks(own, Unit(length, k, words=False, width=1), _engine(length)))
+    return with_marks(own, marks(own, Unit(length, k, words=False, width=1, shard_bytes=2 << 20), _engine(length)))
 
 
 def dedup(docs: DataFrame, length: int = 400, k: int = 64, content: bool = True) -> DataFrame:
