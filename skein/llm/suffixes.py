@@ -33,7 +33,8 @@ def suffix_array(text: np.ndarray, owner: np.ndarray, close: np.ndarray) -> np.n
     key = np.zeros(n, np.int64)
     for k in range(depth):
         key <<= bits
-        key[: n - k] |= np.where(left[: n - k] > k, text[k:], 0)
+        if k < n:
+            key[: n - k] |= np.where(left[: n - k] > k, text[k:], 0)
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     fresh = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
