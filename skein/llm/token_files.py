@@ -98,25 +98,31 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 32,
         inner = np.ones(len(pair), bool)
         inner[bounds[(bounds > 0) & (bounds < len(seq))] - 1] = False
         cell = (pair * 0x9E3779B1 >> 7) & (_CELLS - 1)
-        heavy = np.flatnonzero((np.bincount(cell, minlength=_CELLS) >= least)[cell] & inner)
-        if not len(heavy):
+        heavy = (np.bincount(cell, minlength=_CELLS) >= least)[cell] & inner
+        ranked = np.sort(pair[heavy])
+        if not len(ranked):
             break
-        kinds, back, count = np.unique(pair[heavy], return_inverse=True, return_counts=True)
+        begin = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        kinds, count = ranked[begin], np.diff(np.r_[begin, len(ranked)])
+        kinds, count = kinds[count >= least], count[count >= least]
         order = np.argsort(-count, kind="stable")[: SYMBOLS - names]
-        order = order[count[order] >= least]
         if not len(order):
             break
-        weight = np.zeros(len(pair) + 2, np.int64)
-        chosen = np.zeros(len(kinds), np.int64)
-        chosen[order] = len(order) - np.arange(len(order))
-        weight[heavy + 1] = chosen[back]
+        # rarest first, so that of pairs with one cell the most frequent has it; the others wait for the next round
+        chosen = kinds[order[::-1]]
+        own = (chosen * 0x9E3779B1 >> 7) & (_CELLS - 1)
+        kind_at, weight_at = np.full(_CELLS, -1), np.zeros(_CELLS, np.int32)
+        kind_at[own], weight_at[own] = chosen, np.arange(1, len(chosen) + 1)
+        weight = np.zeros(len(pair) + 2, np.int32)
+        weight[1:-1] = np.where(inner & (kind_at[cell] == pair), weight_at[cell], 0)
         here = weight[1:-1]
         # of two overlapping places the more frequent pair goes first; of equals, as in a run of one id, the left one
         take = np.flatnonzero((here > 0) & (here > weight[:-2]) & (here >= weight[2:]))
         if not len(take):
             break
-        used, slot = np.unique(here[take], return_inverse=True)
-        rules.append(kinds[order[len(order) - used]])
+        present = np.bincount(here[take], minlength=len(chosen) + 1) > 0
+        used, slot = np.flatnonzero(present), (np.cumsum(present) - 1)[here[take]]
+        rules.append(chosen[used - 1])
         seq = seq.copy()
         seq[take] = names + slot
         gone = np.ones(len(seq), bool)
