@@ -35,7 +35,7 @@ _SMALL = 1_000_000
 def lines(docs: DataFrame, least_words: int) -> DataFrame:
     """doc_id, line_no, line, its hash and its number of words, for lines with enough of them."""
     apart = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     return apart.withColumn("n", n).where((F.col("n") >= least_words) & (F.col("line") != "")).withColumn("line_key", F.xxhash64("line"))
 
 
@@ -52,7 +52,7 @@ def _halves(n: Column) -> Column:
 
 def _candidates(docs: DataFrame, least_words: int, fuzzy_words: int) -> DataFrame:
     """line_key, n, line, first and the shared sides of the distinct lines that have a half in common with a different line."""
-    own = lines(docs, least_words).where(F.col("n") >= fuzzy_words)
+    own = lines(docs, max(least_words, fuzzy_words))
     apart = own.select("line_key", F.explode(_halves(F.col("n"))).alias("half"))
     shared = materialize(apart.groupBy("half").agg(F.min("line_key").alias("a"), F.max("line_key").alias("b")).where("a <> b").select("half"))
     if shared.count() <= _SMALL:
@@ -124,8 +124,9 @@ def dedup(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8) -> DataFr
     """docs with superfluous lines taken out of text, and n_lines and n_lines_removed."""
     gone = removed_lines(docs, least_words, fuzzy_words).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
     own = docs.drop("n_lines", "n_lines_removed")
-    joined = own.join(gone, own["doc_id"].cast("long").eqNullSafe(gone["_doc"]), "left")
-    parts = F.split("text", "\n")
+    # the lines are a column, so that they are split once and not anew for each line that stays
+    joined = own.join(gone, own["doc_id"].cast("long").eqNullSafe(gone["_doc"]), "left").withColumn("_parts", F.split("text", "\n"))
+    parts = F.col("_parts")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
     n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long")
