@@ -87,8 +87,16 @@ def piece_bounds(points: np.ndarray, offsets: np.ndarray, joined: bool) -> tuple
     return start, end
 
 
+#: Bits of a hash that choose the cell of a piece.
+_CELL_BITS = 21
+
+
 class PieceCache:
-    """Ids of pieces by the hash of their bytes; emptied beyond `most` pieces, so that its memory is bounded."""
+    """Ids of pieces by the hash of their bytes; emptied beyond `most` pieces, so that its memory is bounded.
+
+    A table of cells finds most pieces by array operations; those whose cell another
+    piece has are looked up one by one.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 600_000) -> None:
         self.encode, self.most = encode, most
@@ -96,6 +104,8 @@ class PieceCache:
 
     def clear(self) -> None:
         self.slot: dict[int, int] = {}
+        self.cell_key = np.zeros(1 << _CELL_BITS, np.uint64)
+        self.cell_slot = np.full(1 << _CELL_BITS, -1, np.int32)
         self.ids = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 15, np.int64)
         self.size = np.zeros(1 << 15, np.int64)
@@ -117,21 +127,32 @@ class PieceCache:
         self.slot.update(zip(hashes, range(k, k + len(found)), strict=True))
         self.used = end
 
-    def tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces (byte spans of data) in order, and how many each piece has."""
-        hashes = span_hashes(byte_codes(data), starts, ends)
-        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.slot) + len(distinct) > self.most:
-            self.clear()
+    def _slots(self, distinct: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Slots of distinct pieces that stand in no cell of their own; from now on they do."""
         keys = distinct.tolist()
         slots = [self.slot.get(k, -1) for k in keys]
         missing = [i for i, s in enumerate(slots) if s < 0]
         if missing:
-            where = at[missing]
             raw = data.tobytes()
-            self._add([keys[i] for i in missing], [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            self._add([keys[i] for i in missing], [raw[a:b] for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)])
             slots = [self.slot[k] for k in keys]
-        slot = np.array(slots, np.int64)[back]
+        found = np.array(slots, np.int32)
+        cell, one = np.unique(distinct >> np.uint64(64 - _CELL_BITS), return_index=True)
+        self.cell_key[cell], self.cell_slot[cell] = distinct[one], found[one]
+        return found
+
+    def tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces (byte spans of data) in order, and how many each piece has."""
+        hashes = span_hashes(byte_codes(data), starts, ends)
+        cell = (hashes >> np.uint64(64 - _CELL_BITS)).astype(np.int64)
+        slot = np.where(self.cell_key[cell] == hashes, self.cell_slot[cell], -1)
+        unmet = np.flatnonzero(slot < 0)
+        if len(unmet):
+            distinct, at, back = np.unique(hashes[unmet], return_index=True, return_inverse=True)
+            if self.slot and len(self.slot) + len(distinct) > self.most:
+                self.clear()
+                return self.tokens(data, starts, ends)
+            slot[unmet] = self._slots(distinct, data, starts[unmet[at]], ends[unmet[at]])[back]
         size = self.size[slot]
         total = int(size.sum())
         begin = np.cumsum(size) - size

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import BLOCK_BYTES, text_bytes
+from .arrays import BLOCK_BYTES, spread, text_bytes
 from .pieces import PieceCache, piece_bounds
 from .tables import partitions_for, text_size
 
@@ -33,7 +33,7 @@ from .tables import partitions_for, text_size
 SYMBOLS = 1 << 16
 #: Ids of a shard; a longer document has a shard of its own.
 SHARD_IDS = 1 << 22
-_CELLS = 1 << 20
+_CELL_BITS = 20
 
 SHARD_SCHEMA = "part int, shard int, first_rule int, rules binary, expanded binary, symbols binary, doc_ids array<bigint>, doc_symbols array<bigint>, doc_ids_count array<bigint>"
 
@@ -81,6 +81,10 @@ def coder(path: str) -> ByteBpe:
     return _coders[path]
 
 
+def _cell(pair: np.ndarray) -> np.ndarray:
+    return (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - _CELL_BITS)
+
+
 def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 32, rounds: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols), the shortened sequence, and where each document ends in it.
 
@@ -89,7 +93,8 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 32,
     first as far as symbols are left, and replaces every place whose pair is more
     frequent than the pairs overlapping it.
     """
-    seq, bounds = ids.astype(np.int64), ends.astype(np.int64)
+    # a symbol has 16 bits and a pair 32
+    seq, bounds = ids.astype(np.uint32), ends.astype(np.int64)
     rules, names = [], first_rule
     for _ in range(rounds):
         if len(seq) < 2 or names >= SYMBOLS:
@@ -97,8 +102,8 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 32,
         pair = seq[:-1] << 16 | seq[1:]
         inner = np.ones(len(pair), bool)
         inner[bounds[(bounds > 0) & (bounds < len(seq))] - 1] = False
-        cell = (pair * 0x9E3779B1 >> 7) & (_CELLS - 1)
-        heavy = (np.bincount(cell, minlength=_CELLS) >= least)[cell] & inner
+        cell = _cell(pair)
+        heavy = (np.bincount(cell, minlength=1 << _CELL_BITS) >= least)[cell] & inner
         ranked = np.sort(pair[heavy])
         if not len(ranked):
             break
@@ -110,8 +115,8 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 32,
             break
         # rarest first, so that of pairs with one cell the most frequent has it; the others wait for the next round
         chosen = kinds[order[::-1]]
-        own = (chosen * 0x9E3779B1 >> 7) & (_CELLS - 1)
-        kind_at, weight_at = np.full(_CELLS, -1), np.zeros(_CELLS, np.int32)
+        own = _cell(chosen)
+        kind_at, weight_at = np.zeros(1 << _CELL_BITS, np.uint32), np.zeros(1 << _CELL_BITS, np.int32)
         kind_at[own], weight_at[own] = chosen, np.arange(1, len(chosen) + 1)
         weight = np.zeros(len(pair) + 2, np.int32)
         weight[1:-1] = np.where(inner & (kind_at[cell] == pair), weight_at[cell], 0)
@@ -125,13 +130,12 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 32,
         rules.append(chosen[used - 1])
         seq = seq.copy()
         seq[take] = names + slot
-        gone = np.ones(len(seq), bool)
-        gone[take + 1] = False
-        shift = np.r_[0, np.cumsum(~gone)]
-        bounds = bounds - shift[bounds]
-        seq = seq[gone]
+        stays = np.ones(len(seq), bool)
+        stays[take + 1] = False
+        bounds = bounds - np.searchsorted(take + 1, bounds)
+        seq = seq[stays]
         names += len(used)
-    flat = np.concatenate(rules) if rules else np.zeros(0, np.int64)
+    flat = np.concatenate(rules) if rules else np.zeros(0, np.uint32)
     return np.stack([flat >> 16, flat & 0xFFFF], 1), seq, bounds
 
 
@@ -143,20 +147,22 @@ def expanded_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
     return sizes[first_rule : first_rule + len(rules)]
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
-    """The ids that a run of symbols stands for."""
-    seq = symbols.astype(np.int64)
-    while len(seq):
-        deep = seq >= first_rule
-        if not deep.any():
-            break
-        size = 1 + deep
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
-        out[at] = np.where(deep, rules[np.where(deep, seq - first_rule, 0), 0] if len(rules) else 0, seq)
-        out[at[deep] + 1] = rules[seq[deep] - first_rule, 1]
-        seq = out
-    return seq
+def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int, sizes: np.ndarray) -> np.ndarray:
+    """The ids that a run of symbols stands for; sizes are the rules' expansion lengths."""
+    # what each rule stands for, one rule after another; a round writes those whose two parts are known
+    size = np.r_[np.ones(first_rule, np.int64), sizes]
+    start = np.r_[np.arange(first_rule), first_rule + np.cumsum(sizes) - sizes].astype(np.int64)
+    table = np.r_[np.arange(first_rule), np.zeros(int(sizes.sum()), np.int64)].astype(np.uint32)
+    left, right = rules.astype(np.int64).reshape(-1, 2).T
+    known, open_ = size == 1, np.arange(len(rules))
+    while len(open_):
+        ready = known[left[open_]] & known[right[open_]]
+        now = open_[ready]
+        for part, to in ((left[now], start[first_rule + now]), (right[now], start[first_rule + now] + size[left[now]])):
+            table[spread(to, size[part])] = table[spread(start[part], size[part])]
+        known[first_rule + now] = True
+        open_ = open_[~ready]
+    return table[spread(start[symbols], size[symbols])]
 
 
 def _shard(part: int, shard: int, ids: list[np.ndarray], sizes: list[np.ndarray], docs: list[int | None], first_rule: int) -> list:
@@ -217,7 +223,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 rules = np.frombuffer(row["rules"], "<u2").reshape(-1, 2).astype(np.int64)
-                ids = expand(np.frombuffer(row["symbols"], "<u2"), rules, row["first_rule"]).astype("<u4")
+                ids = expand(np.frombuffer(row["symbols"], "<u2"), rules, row["first_rule"], np.frombuffer(row["expanded"], "<u4").astype(np.int64)).astype("<u4", copy=False)
                 counts = np.array(row["doc_ids_count"], np.int64)
                 to = np.cumsum(counts)
                 raw = ids.tobytes()
@@ -241,7 +247,8 @@ def read_document(shard: dict, k: int) -> np.ndarray:
     rules = np.frombuffer(shard["rules"], "<u2").reshape(-1, 2).astype(np.int64)
     symbols = np.frombuffer(shard["symbols"], "<u2")
     at = shard["doc_symbols"]
-    return expand(symbols[at[k] : at[k + 1] if k + 1 < len(at) else len(symbols)], rules, shard["first_rule"])
+    sizes = np.frombuffer(shard["expanded"], "<u4").astype(np.int64)
+    return expand(symbols[at[k] : at[k + 1] if k + 1 < len(at) else len(symbols)], rules, shard["first_rule"], sizes)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
