@@ -1,7 +1,10 @@
 """Near-duplicate lines across all documents, found by a deletion-neighbourhood join; the earliest stays.
 
 A line is the text between line feeds, and its words are what stands between its
-blanks. Lines with fewer than `least_words` words are never removed. Equal lines are
+blanks. With `fold`, as the queries use it, lines are compared by their words in lower
+case, parted by runs of white space; a letter of a script written without blanks then
+counts as a word towards `least_words`, so that repeats of such lines go as well.
+Lines with fewer than `least_words` words are never removed. Equal lines are
 one class; lines with `fuzzy_words` words or more also match when one word is
 inserted, deleted or replaced. A line goes if an equal or near line stands earlier,
 that is in a smaller doc_id or further up in the same document; lines are judged on
@@ -30,13 +33,34 @@ from .tables import materialize
 
 #: Half keys that so few lines share may be broadcast; more are joined by a shuffle.
 _SMALL = 1_000_000
+#: Letters of scripts written without blanks.
+_UNSPACED = "[" + "".join(rf"\p{{Is{script}}}" for script in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")) + "]"
 
 
-def lines(docs: DataFrame, least_words: int) -> DataFrame:
+def folded(text: Column) -> Column:
+    """text in lower case with each run of white space but line feeds as one blank; single blanks are not touched, for speed."""
+    return F.regexp_replace(F.lower(text), r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")
+
+
+def _n_words(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _enough(line: Column, least_words: int, fold: bool) -> Column:
+    """Whether a line, with fold a folded and trimmed one, has the words to be removed."""
+    enough = _n_words(line) >= least_words
+    if fold:
+        enough = enough | ((F.octet_length(line) > F.length(line)) & (F.regexp_count(line, F.lit(_UNSPACED)) >= least_words))
+    return enough & (line != "")
+
+
+def lines(docs: DataFrame, least_words: int, fold: bool = False) -> DataFrame:
     """doc_id, line_no, line, its hash and its number of words, for lines with enough of them."""
-    apart = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return apart.withColumn("n", n).where((F.col("n") >= least_words) & (F.col("line") != "")).withColumn("line_key", F.xxhash64("line"))
+    text = folded(F.col("text")) if fold else F.col("text")
+    apart = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    if fold:
+        apart = apart.withColumn("line", F.trim("line"))
+    return apart.where(_enough(F.col("line"), least_words, fold)).withColumn("n", _n_words(F.col("line"))).withColumn("line_key", F.xxhash64("line"))
 
 
 def _halves(n: Column) -> Column:
@@ -50,9 +74,9 @@ def _halves(n: Column) -> Column:
     return F.when(h == low, both).otherwise(F.concat(both, F.array(key(low, 1), key(low, -1))))
 
 
-def _candidates(docs: DataFrame, least_words: int, fuzzy_words: int) -> DataFrame:
+def _candidates(docs: DataFrame, least_words: int, fuzzy_words: int, fold: bool) -> DataFrame:
     """line_key, n, line, first and the shared sides of the distinct lines that have a half in common with a different line."""
-    own = lines(docs, max(least_words, fuzzy_words))
+    own = lines(docs, max(least_words, fuzzy_words), fold).where(F.col("n") >= fuzzy_words)
     apart = own.select("line_key", F.explode(_halves(F.col("n"))).alias("half"))
     shared = materialize(apart.groupBy("half").agg(F.min("line_key").alias("a"), F.max("line_key").alias("b")).where("a <> b").select("half"))
     if shared.count() <= _SMALL:
@@ -109,20 +133,20 @@ def one_word_apart(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
-def removed_lines(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8) -> DataFrame:
+def removed_lines(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8, fold: bool = False) -> DataFrame:
     """doc_id and line_no of every line that an equal or near earlier line makes superfluous."""
-    seen = lines(docs, least_words).select("doc_id", "line_no", "line_key", "n")
+    seen = lines(docs, least_words, fold).select("doc_id", "line_no", "line_key", "n")
     spot = F.struct("doc_id", "line_no")
     twice = seen.groupBy("line_key", "n").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("line_key", "n", "first")
-    near = near_lines(materialize(_candidates(docs, least_words, fuzzy_words)))
+    near = near_lines(materialize(_candidates(docs, least_words, fuzzy_words, fold)))
     # only lines that stand more than once or have an earlier near line concern any occurrence
     kept = twice.join(near, ["line_key", "n"], "full").select("line_key", "n", F.least("first", "near_first").alias("keep"))
     return seen.join(materialize(kept), ["line_key", "n"]).where("keep < struct(doc_id, line_no)").select("doc_id", "line_no")
 
 
-def dedup(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8, fold: bool = False) -> DataFrame:
     """docs with superfluous lines taken out of text, and n_lines and n_lines_removed."""
-    gone = removed_lines(docs, least_words, fuzzy_words).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = removed_lines(docs, least_words, fuzzy_words, fold).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
     own = docs.drop("n_lines", "n_lines_removed")
     # the lines are a column, so that they are split once and not anew for each line that stays
     joined = own.join(gone, own["doc_id"].cast("long").eqNullSafe(gone["_doc"]), "left").withColumn("_parts", F.split("text", "\n"))

@@ -46,7 +46,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), fold=True)
     return done.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
