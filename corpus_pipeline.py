@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, contamination, line_dedup, ngram_join, quality
-from skein.llm.tables import table
+from skein.llm.tables import materialize, table
 from skein.llm.token_files import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,9 +24,22 @@ def deduplicated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id."""
-    groups = ngram_join.groups(docs, n=5, p=80, q=100)
-    return docs.join(groups.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    """Of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id; one without an id comes first.
+
+    A hash of id and text stands for the id, so that rows that share an id or have none
+    are judged each for itself; of rows with the same id and text one stays.
+    """
+    keyed = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    found = materialize(ngram_join.groups(keyed.select(F.col("_row").alias("doc_id"), "text"), n=5, p=80, q=100).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"), "n_shingles"))
+    linked = found.where("_row <> _group")
+    crowd = materialize(linked.select("_row", "_group").union(linked.select("_group", "_group")).distinct())
+    named = keyed.select("_row", "doc_id").join(crowd, "_row").groupBy("_group").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
+    gone = crowd.join(named, "_group").where("_row <> first._row").select("_row")
+    left = keyed.join(materialize(gone), "_row", "left_anti")
+    copies = materialize(found.where("n_shingles > 0").groupBy("_row").count().where("count > 1").select("_row"))
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy("lang", "source", "n_chars"))
+    once = left.join(copies, "_row", "left_semi").withColumn("_nth", nth).where("_nth = 1")
+    return left.join(copies, "_row", "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,8 +20,10 @@ aggregate of the earliest line for each key, never pair by pair, and the edit di
 of what is found is verified on the words.
 
 Edge cases: null and empty texts have no lines to remove and are kept; documents
-without an id count as earliest, and rows with one id as one document, whose lines
-of the same number do not remove each other; blank lines stay; extra columns are kept.
+without an id count as earliest; rows are told apart by id and a 64-bit hash of their
+text, which also orders rows of one id, so that each loses its own lines only; of rows
+with the same id and text one counts and the others lose every line with enough words;
+blank lines stay; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -54,10 +56,15 @@ def _enough(line: Column, least_words: int, fold: bool) -> Column:
     return enough & (line != "")
 
 
+def _row() -> Column:
+    """With the id, what names a row: a hash of its text and of whether it has an id."""
+    return F.xxhash64(F.col("doc_id").isNull(), "text")
+
+
 def lines(docs: DataFrame, least_words: int, fold: bool = False) -> DataFrame:
-    """doc_id, line_no, line, its hash and its number of words, for lines with enough of them."""
+    """doc_id, row, line_no, line, its hash and its number of words, for lines with enough of them."""
     text = folded(F.col("text")) if fold else F.col("text")
-    apart = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    apart = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     if fold:
         apart = apart.withColumn("line", F.trim("line"))
     return apart.where(_enough(F.col("line"), least_words, fold)).withColumn("n", _n_words(F.col("line"))).withColumn("line_key", F.xxhash64("line"))
@@ -81,8 +88,8 @@ def _candidates(docs: DataFrame, least_words: int, fuzzy_words: int, fold: bool)
     shared = materialize(apart.groupBy("half").agg(F.min("line_key").alias("a"), F.max("line_key").alias("b")).where("a <> b").select("half"))
     if shared.count() <= _SMALL:
         shared = F.broadcast(shared)
-    sides = own.select("doc_id", "line_no", "line_key", "n", "line", F.posexplode(_halves(F.col("n"))).alias("side", "half"))
-    hit = sides.join(shared, "half").select("line_key", "n", "line", F.struct("doc_id", "line_no").alias("first"), (F.col("side") % 2 == 0).alias("head"))
+    sides = own.select("doc_id", "row", "line_no", "line_key", "n", "line", F.posexplode(_halves(F.col("n"))).alias("side", "half"))
+    hit = sides.join(shared, "half").select("line_key", "n", "line", F.struct("doc_id", "row", "line_no").alias("first"), (F.col("side") % 2 == 0).alias("head"))
     return hit.groupBy("line_key", "n").agg(F.any_value("line").alias("line"), F.min("first").alias("first"), F.max("head").alias("head"), F.min("head").alias("only_head"))
 
 
@@ -134,24 +141,32 @@ def one_word_apart(a: Column, b: Column) -> Column:
 
 
 def removed_lines(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8, fold: bool = False) -> DataFrame:
-    """doc_id and line_no of every line that an equal or near earlier line makes superfluous."""
-    seen = lines(docs, least_words, fold).select("doc_id", "line_no", "line_key", "n")
-    spot = F.struct("doc_id", "line_no")
-    twice = seen.groupBy("line_key", "n").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("line_key", "n", "first")
+    """doc_id, row and line_no of every line that an equal or near earlier line makes superfluous; rows of the same id and text are one."""
+    seen = lines(docs, least_words, fold).select("doc_id", "row", "line_no", "line_key", "n")
+    spot = F.struct("doc_id", "row", "line_no")
+    twice = seen.groupBy("line_key", "n").agg(F.min(spot).alias("first"), F.count("*").alias("times")).where("times > 1").select("line_key", "n", "first")
     near = near_lines(materialize(_candidates(docs, least_words, fuzzy_words, fold)))
     # only lines that stand more than once or have an earlier near line concern any occurrence
     kept = twice.join(near, ["line_key", "n"], "full").select("line_key", "n", F.least("first", "near_first").alias("keep"))
-    return seen.join(materialize(kept), ["line_key", "n"]).where("keep < struct(doc_id, line_no)").select("doc_id", "line_no")
+    return seen.join(materialize(kept), ["line_key", "n"]).where("keep < struct(doc_id, row, line_no)").select("doc_id", "row", "line_no")
 
 
 def dedup(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8, fold: bool = False) -> DataFrame:
     """docs with superfluous lines taken out of text, and n_lines and n_lines_removed."""
-    gone = removed_lines(docs, least_words, fuzzy_words, fold).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    gone = removed_lines(docs, least_words, fuzzy_words, fold).groupBy(id_.alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
     own = docs.drop("n_lines", "n_lines_removed")
+    # of rows with the same id and text the first counts; the window is dealt out and sorted as the join is
+    ordered = [f"`{c}`" for c, kind in own.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "array", "struct", "variant"))]
+    copies = Window.partitionBy("_id", "_row").orderBy(*(ordered or ["_row"]))
+    keyed = own.withColumn("_id", id_).withColumn("_row", _row()).withColumn("_copy", F.row_number().over(copies) > 1)
     # the lines are a column, so that they are split once and not anew for each line that stays
-    joined = own.join(gone, own["doc_id"].cast("long").eqNullSafe(gone["_doc"]), "left").withColumn("_parts", F.split("text", "\n"))
+    joined = keyed.join(gone, ["_id", "_row"], "left").withColumn("_parts", F.split("text", "\n"))
     parts = F.col("_parts")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    places = F.sequence(F.lit(0), F.size(parts) - 1)
+    line = lambda i: F.trim(folded(F.get(parts, i))) if fold else F.get(parts, i)
+    joined = joined.withColumn("_gone", F.when(F.col("_copy") & F.col("text").isNotNull(), F.filter(places, lambda i: _enough(line(i), least_words, fold))).otherwise(F.col("_gone")))
+    left = F.array_except(places, F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
     n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long")
-    return joined.select(*(text.alias(c) if c == "text" else own[c] for c in own.columns), n.alias("n_lines"), F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(left)).cast("long").alias("n_lines_removed"))
+    return joined.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in own.columns), n.alias("n_lines"), F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(left)).cast("long").alias("n_lines_removed"))

@@ -1,5 +1,6 @@
 """Cases that operators once left out."""
 
+import corpus_pipeline
 from plain import frame
 
 from skein.llm import line_dedup
@@ -17,3 +18,23 @@ def test_lines_are_compared_by_folded_words(spark):
     ]
     got = {r.doc_id: (r.text, r.n_lines_removed) for r in line_dedup.dedup(frame(spark, rows), fold=True).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("ends here alone", 1), 3: ("another line of two", 2), 4: ("AB CD\n日本", 2), 5: ("ab cd\n日本", 0)}
+
+
+def test_lines_of_rows_that_share_an_id_or_have_none(spark):
+    rows = [
+        (None, "same line once more\nunique to the first row"), (None, "another line stands here\nsame line once more"), (None, "short\nnothing else like this"),
+        (5, "unlike all other lines\nsame line once more"), (5, "wholly its own line\nalso only found here"), (6, "one two three four\nx"), (6, "one two three four\nx"),
+    ]
+    got = sorted((r.doc_id or 0, r.text, r.n_lines_removed) for r in line_dedup.dedup(frame(spark, rows)).collect())
+    kept = {t for _, t, _ in got}
+    assert {"short\nnothing else like this", "wholly its own line\nalso only found here", "unlike all other lines"} <= kept
+    assert sorted(n for i, _, n in got if i == 0) == [0, 0, 1] and sum(t.count("same line once more") for t in kept) == 1
+    assert [(t, n) for i, t, n in got if i == 6] == [("one two three four\nx", 0), ("x", 1)]
+
+
+def test_groups_of_rows_that_share_an_id_or_have_none(spark):
+    prose = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [(None, prose("a")), (None, prose("a") + " x"), (None, prose("b")), (3, prose("c")), (7, prose("c") + " x"), (7, prose("d")), (8, prose("e")), (8, prose("e")), (9, None), (9, None)]
+    got = corpus_pipeline.one_of_each_group(spark, frame(spark, rows), "").collect()
+    ids = sorted((r.doc_id or 0, (r.text or "-")[0]) for r in got)
+    assert ids == [(0, "a"), (0, "b"), (3, "c"), (7, "d"), (8, "e"), (9, "-"), (9, "-")]
