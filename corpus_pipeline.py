@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def deduplicated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand earlier; one of which nothing is left goes."""
-    done = line_dedup.dedup(docs.select(*COLUMNS), fold=True).where("n_lines_removed = 0 or trim(text) <> ''")
+    """Documents without lines that stand earlier; one of which nothing is left but short lines that stand earlier goes."""
+    done = line_dedup.dedup(docs.select(*COLUMNS), fold=True, drop_copies=True)
     return done.withColumn("n_chars", F.when(F.col("n_lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

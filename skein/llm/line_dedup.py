@@ -56,18 +56,23 @@ def _enough(line: Column, least_words: int, fold: bool) -> Column:
     return enough & (line != "")
 
 
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+
+
 def _row() -> Column:
     """With the id, what names a row: a hash of its text and of whether it has an id."""
     return F.xxhash64(F.col("doc_id").isNull(), "text")
 
 
-def lines(docs: DataFrame, least_words: int, fold: bool = False) -> DataFrame:
-    """doc_id, row, line_no, line, its hash and its number of words, for lines with enough of them."""
+def lines(docs: DataFrame, least_words: int, fold: bool = False, short: bool = False) -> DataFrame:
+    """doc_id, row, line_no, line, its hash and its number of words, for lines with enough of them, or with short those with too few but some."""
     text = folded(F.col("text")) if fold else F.col("text")
     apart = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     if fold:
         apart = apart.withColumn("line", F.trim("line"))
-    return apart.where(_enough(F.col("line"), least_words, fold)).withColumn("n", _n_words(F.col("line"))).withColumn("line_key", F.xxhash64("line"))
+    enough = _enough(F.col("line"), least_words, fold)
+    return apart.where(~enough & F.col("line").rlike(r"[^ \t\x0B\f\r]") if short else enough).withColumn("n", _n_words(F.col("line"))).withColumn("line_key", F.xxhash64("line"))
 
 
 def _halves(n: Column) -> Column:
@@ -151,21 +156,44 @@ def removed_lines(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8, f
     return seen.join(materialize(kept), ["line_key", "n"]).where("keep < struct(doc_id, row, line_no)").select("doc_id", "row", "line_no")
 
 
-def dedup(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8, fold: bool = False) -> DataFrame:
-    """docs with superfluous lines taken out of text, and n_lines and n_lines_removed."""
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    gone = removed_lines(docs, least_words, fuzzy_words, fold).groupBy(id_.alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
+def emptied(docs: DataFrame, gone: DataFrame, least_words: int = 3, fold: bool = False) -> DataFrame:
+    """_id and _row of the rows of `gone` that lose every line with enough words, and whose shorter lines all stand earlier too."""
+    parts = F.split(folded(F.col("text")) if fold else F.col("text"), "\n")
+    n = F.size(F.filter(parts, lambda x: _enough(F.trim(x) if fold else x, least_words, fold)))
+    held = docs.select(_id().alias("_id"), _row().alias("_row"), n.alias("_n")).distinct()
+    stripped = materialize(held.join(gone.select("_id", "_row", F.size("_gone").alias("_lost")), ["_id", "_row"]).where("_n = _lost").select("_id", "_row"))
+    rest = lines(docs, least_words, fold, short=True).select("doc_id", "row", "line_no", "line_key")
+    spot = F.struct("doc_id", "row", "line_no")
+    firsts = rest.groupBy("line_key").agg(F.min(spot).alias("first"))
+    own = rest.withColumn("_id", _id()).withColumn("_row", F.col("row")).join(stripped, ["_id", "_row"], "left_semi")
+    # a short line that stands nowhere earlier keeps its row
+    held_up = own.join(firsts, "line_key").where(F.col("first").eqNullSafe(spot)).select("_id", "_row").distinct()
+    return stripped.join(held_up, ["_id", "_row"], "left_anti")
+
+
+def dedup(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8, fold: bool = False, drop_copies: bool = False) -> DataFrame:
+    """docs with superfluous lines taken out of text, and n_lines and n_lines_removed.
+
+    With drop_copies, a row goes that loses lines and of which no line is left but blank
+    ones and lines too short to be removed that stand earlier as well.
+    """
+    gone = removed_lines(docs, least_words, fuzzy_words, fold).groupBy(_id().alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
+    if drop_copies:
+        gone = materialize(gone)
+        gone = gone.join(emptied(docs, gone, least_words, fold).withColumn("_empty", F.lit(True)), ["_id", "_row"], "left")
     own = docs.drop("n_lines", "n_lines_removed")
     # of rows with the same id and text the first counts; the window is dealt out and sorted as the join is
     ordered = [f"`{c}`" for c, kind in own.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "array", "struct", "variant"))]
     copies = Window.partitionBy("_id", "_row").orderBy(*(ordered or ["_row"]))
-    keyed = own.withColumn("_id", id_).withColumn("_row", _row()).withColumn("_copy", F.row_number().over(copies) > 1)
+    keyed = own.withColumn("_id", _id()).withColumn("_row", _row()).withColumn("_copy", F.row_number().over(copies) > 1)
     # the lines are a column, so that they are split once and not anew for each line that stays
     joined = keyed.join(gone, ["_id", "_row"], "left").withColumn("_parts", F.split("text", "\n"))
     parts = F.col("_parts")
     places = F.sequence(F.lit(0), F.size(parts) - 1)
     line = lambda i: F.trim(folded(F.get(parts, i))) if fold else F.get(parts, i)
     joined = joined.withColumn("_gone", F.when(F.col("_copy") & F.col("text").isNotNull(), F.filter(places, lambda i: _enough(line(i), least_words, fold))).otherwise(F.col("_gone")))
+    if drop_copies:
+        joined = joined.where(F.col("_empty").isNull() & ~(F.col("_copy") & F.coalesce(F.size("_gone") > 0, F.lit(False))))
     left = F.array_except(places, F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
     n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long")

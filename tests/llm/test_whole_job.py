@@ -38,3 +38,13 @@ def test_groups_of_rows_that_share_an_id_or_have_none(spark):
     got = corpus_pipeline.one_of_each_group(spark, frame(spark, rows), "").collect()
     ids = sorted((r.doc_id or 0, (r.text or "-")[0]) for r in got)
     assert ids == [(0, "a"), (0, "b"), (3, "c"), (7, "d"), (8, "e"), (9, "-"), (9, "-")]
+
+
+def test_exact_copies_leave_no_stub(spark):
+    text = "Haanth.\nthe first long line here\n\nAnd ornd."
+    rows = [
+        (1, text), (2, text), (3, "the first long line here\n\n"), (4, "the first long line here\nHaanth.\nonly here"), (5, "the first long line here\nnew new\nnew new"),
+        (6, "the first long line here\nnew new"), (7, "Haanth."), (8, ""), (9, None), (None, text), (None, text),
+    ]
+    got = {r.doc_id: r.text for r in corpus_pipeline.deduplicated_lines(spark, frame(spark, rows), "").collect()}
+    assert got == {None: text, 4: "Haanth.\nonly here", 5: "new new\nnew new", 7: "Haanth.", 8: "", 9: None}
