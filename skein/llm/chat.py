@@ -16,7 +16,10 @@ for results `no call` or `second result`. A call without a result has a null
 result_turn.
 
 One row comes out for each message, call and result, so that a conversation of any
-length is never gathered in one place. Canonical JSON has its names in order and no
+length is never gathered in one place. A message with calls has a row of its own, with
+what it holds beside `tool_calls` and with its turn's role, if it holds more than that
+or its list of calls is empty; otherwise its calls' rows say all of it. Rows stand in
+the order of (conv_id, order_turn, order_call, order_kind, turn). Canonical JSON has its names in order and no
 white space, at every depth.
 
 Edge cases: a null or empty text is a message with empty content; text that is not
@@ -119,14 +122,32 @@ def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return joined.select(*key, problem.alias("schema_problem"))
 
 
+def _no_call() -> list[Column]:
+    """The columns of a message's row that only calls and results fill."""
+    empty = (F.lit(None).cast(t).alias(c) for c, t in (("call_no", "int"), ("call_id", "string"), ("call_turn", "bigint"), ("result_turn", "bigint")))
+    return [F.lit("message").alias("kind"), *empty, F.lit(0).alias("level"), F.lit(None).cast("string").alias("problem")]
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """rows with order_call (-1 without a call, else by level, then call_no) and order_kind (message, call, result)."""
+    call = F.coalesce(F.shiftleft(F.col("level").cast("long"), 32) + F.col("call_no"), F.lit(-1).cast("long"))
+    kind = F.when(F.col("kind") == "message", 0).when(F.col("kind") == "call", 1).otherwise(2)
+    return rows.withColumn("order_call", call).withColumn("order_kind", kind)
+
+
 def link(conversations: DataFrame, schemas: DataFrame) -> DataFrame:
-    """A row for each message, call and result: conv_id, turn, kind, call_no, call_id, call_turn, result_turn, level, problem, json; sorted by (conv_id, order_turn, order_call, order_kind, turn)."""
+    """A row for each message, call and result: conv_id, turn, kind, call_no, call_id, call_turn, result_turn, level, problem, json and the order columns; sorted by (conv_id, order_turn, order_call, order_kind, turn)."""
     own = messages(conversations)
-    plain = own.where("calls is null and result_of is null").select("conv_id", "turn", F.lit("message").alias("kind"), F.lit(None).cast("int").alias("call_no"), *(F.lit(None).cast(t).alias(c) for c, t in (("call_id", "string"), ("call_turn", "bigint"), ("result_turn", "bigint"))), F.lit(0).alias("level"), F.lit(None).cast("string").alias("problem"), F.col("turn").alias("order_turn"), F.to_json(F.struct(F.col("text").alias("content"), "role")).alias("json"))
+    plain = own.where("calls is null and result_of is null").select("conv_id", "turn", *_no_call(), F.col("turn").alias("order_turn"), F.to_json(F.struct(F.col("text").alias("content"), "role")).alias("json"))
+    plain = ordered(plain)
     has_calls = own.where("calls is not null")
     has_results = own.where("result_of is not null")
     if has_calls.isEmpty() and has_results.isEmpty():
         return plain
+    rest = F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, _: ~k.isin("tool_calls", "role"))
+    beside = has_calls.withColumn("rest", rest).where("size(rest) > 0 or size(calls) = 0")
+    whole = F.to_json(F.to_variant_object(F.map_concat("rest", F.create_map(F.lit("role"), F.col("role").cast("variant")))))
+    beside = ordered(beside.select("conv_id", "turn", *_no_call(), F.col("turn").alias("order_turn"), whole.alias("json")))
     calls = materialize(calls_of(own))
     results = materialize(has_results.select("conv_id", "turn", F.col("result_of").alias("call_id"), F.coalesce(F.to_json(F.try_variant_get("v", "$.content", "variant")), F.lit("null")).alias("content")))
     first_call = _first(calls, ["conv_id", "call_id"], ["turn", "call_no"]).select("conv_id", "call_id", F.col("one.turn").alias("call_turn"), F.col("one.call_no").alias("call_no"))
@@ -141,7 +162,7 @@ def link(conversations: DataFrame, schemas: DataFrame) -> DataFrame:
     met = results.join(first_call, ["conv_id", "call_id"], "left").join(first_result, ["conv_id", "call_id"], "left").join(level, ["conv_id", "call_id"], "left")
     fault = F.when(F.col("call_turn").isNull(), "no call").when(F.col("turn") != F.col("result_turn"), "second result")
     result_rows = met.select("conv_id", "turn", F.lit("result").alias("kind"), "call_no", "call_id", "call_turn", "result_turn", F.coalesce("level", F.lit(0)).alias("level"), fault.alias("problem"), F.coalesce("call_turn", "turn").alias("order_turn"), body(content=F.col("content"), role=F.lit('"tool"'), tool_call_id=text("call_id")).alias("json"))
-    return plain.unionByName(call_rows).unionByName(result_rows)
+    return plain.unionByName(beside).unionByName(ordered(call_rows)).unionByName(ordered(result_rows))
 
 
 #: Tools that conversations may call, with their arguments, and the arguments that must be there.

@@ -1,9 +1,11 @@
 """Cases that operators once left out."""
 
+import json
+
 import corpus_pipeline
 from plain import frame
 
-from skein.llm import line_dedup
+from skein.llm import chat, line_dedup
 
 
 def test_lines_are_compared_by_folded_words(spark):
@@ -48,3 +50,23 @@ def test_exact_copies_leave_no_stub(spark):
     ]
     got = {r.doc_id: r.text for r in corpus_pipeline.deduplicated_lines(spark, frame(spark, rows), "").collect()}
     assert got == {None: text, 4: "Haanth.\nonly here", 5: "new new\nnew new", 7: "Haanth.", 8: "", 9: None}
+
+
+def test_messages_with_calls_keep_what_stands_beside_them(spark):
+    call = lambda i, **more: {"id": i, "name": "calculator", "arguments": {"expression": "1"}, **more}
+    rows = [
+        (1, 0, "assistant", json.dumps({"z": {"b": None, "a": 1}, "content": "let me \"see\"", "tool_calls": [call("a", after=["b"]), call("b")]})),
+        (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": 1})), (1, 2, "tool", json.dumps({"tool_call_id": "b", "content": 2})),
+        (2, 0, "assistant", json.dumps({"content": "no calls", "tool_calls": []})), (2, 1, "assistant", '{"tool_calls": []}'), (2, 2, "assistant", json.dumps({"tool_calls": [call("c")]})),
+    ]
+    got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chat.tool_schemas(spark, chat.TOOLS, chat.REQUIRED))
+    in_order = got.orderBy("conv_id", "order_turn", "order_call", "order_kind", "turn").collect()
+    assert [(r.conv_id, r.turn, r.kind, r.call_id) for r in in_order] == [
+        (1, 0, "message", None), (1, 0, "call", "b"), (1, 2, "result", "b"), (1, 0, "call", "a"), (1, 1, "result", "a"),
+        (2, 0, "message", None), (2, 1, "message", None), (2, 2, "call", "c"),
+    ]
+    assert [r.json for r in in_order if r.kind == "message"] == [
+        '{"content":"let me \\"see\\"","role":"assistant","z":{"a":1,"b":null}}', '{"content":"no calls","role":"assistant"}', '{"role":"assistant"}',
+    ]
+    plain = chat.link(spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string"), chat.tool_schemas(spark, chat.TOOLS, chat.REQUIRED))
+    assert plain.columns == got.columns
