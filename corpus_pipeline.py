@@ -14,7 +14,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor a certified rule rejects."""
-    return quality.keep(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    return quality.keep(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), joint=True)
 
 
 def deduplicated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

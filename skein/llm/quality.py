@@ -6,7 +6,10 @@ per stratum and rule, labelled good documents say how many each step would rejec
 and the exact binomial tail decides whether its false rejections are below the
 allowed share. Steps are tested in order and the first that fails ends the climb, so
 no correction is needed along a ladder; over rules and strata the error is divided
-(Bonferroni). A stratum with too few labels has no rule.
+(Bonferroni). With `joint`, as the queries use it, all rules of a stratum climb
+together: step i is the set rejected by any rule at its i-th cutoff, the sets grow with
+i, and each is tested at the whole share, so that only the strata divide the risk. A
+stratum with too few labels has no rule.
 
 Edge cases: a null, empty or blank text has no words and fails the base rule; ties on
 a cutoff are kept; a missing stratum is one of its own; a label without a document or
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -130,22 +134,25 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in log))
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", allowed: float = FALSE_REJECTIONS, risk: float = RISK) -> DataFrame:
+def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", allowed: float = FALSE_REJECTIONS, risk: float = RISK, joint: bool = False) -> DataFrame:
     """Per stratum one column a rule: the strictest certified cutoff, or null where none is."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     held = measured.where(~base_failed()).join(good, "doc_id", "left_semi").select(F.col(stratum).alias("stratum"), *(v.alias(k) for k, v in ratios().items()))
     # a good document counts against every step that would reject it: one count per step, summed before any shuffle
     steps = [F.sum(F.when(F.col(rule) > cut, 1).otherwise(0)).alias(f"{rule}_{i}") for rule, ladder in LADDERS.items() for i, cut in enumerate(ladder)]
+    together = zip(*LADDERS.values(), strict=True)
+    either = [reduce(Column.__or__, (F.col(rule) > cut for rule, cut in zip(LADDERS, cuts, strict=True))) for cuts in together]
+    steps = [F.count_if(hit).alias(f"joint_{i}") for i, hit in enumerate(either)] if joint else steps
     counted = materialize(held.groupBy("stratum").agg(F.count("*").alias("n"), *steps))
-    tests = max(1, counted.count()) * len(LADDERS)
-    share, level = allowed / len(LADDERS), risk / tests
+    climbs = 1 if joint else len(LADDERS)
+    share, level = allowed / climbs, risk / (max(1, counted.count()) * climbs)
 
     def climb(group: pd.DataFrame) -> pd.DataFrame:
         row, out = group.iloc[0], {}
         for rule, ladder in LADDERS.items():
             best = None
             for i, cut in enumerate(ladder):
-                if binomial_tail(int(row[f"{rule}_{i}"]), int(row["n"]), share) > level:
+                if binomial_tail(int(row[f"{'joint' if joint else rule}_{i}"]), int(row["n"]), share) > level:
                     break
                 best = cut
             out[rule] = [best]
@@ -154,11 +161,11 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", allow
     return counted.groupBy("stratum").applyInPandas(climb, "stratum string, " + ", ".join(f"{r} double" for r in LADDERS))
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", joint: bool = False) -> DataFrame:
     """doc_id, COUNTS, base_failed, the ratios' verdict in `kept` and the failed rules in `failed`, for every row of docs."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias(stratum), F.col("text"))
     measured = materialize(measure(plain))
-    return _verdicts(measured, cutoffs(measured, labels, stratum), stratum).select("doc_id", *COUNTS, "base_failed", "failed", "kept")
+    return _verdicts(measured, cutoffs(measured, labels, stratum, joint=joint), stratum).select("doc_id", *COUNTS, "base_failed", "failed", "kept")
 
 
 def _verdicts(measured: DataFrame, certified: DataFrame, stratum: str) -> DataFrame:
@@ -169,8 +176,8 @@ def _verdicts(measured: DataFrame, certified: DataFrame, stratum: str) -> DataFr
     return joined.withColumns({"base_failed": base_failed(), "failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
-def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", joint: bool = False) -> DataFrame:
     """The rows of docs, whole, that no rule rejects; the cutoffs are certified on docs themselves."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias(stratum), F.col("text"))
-    certified = materialize(cutoffs(materialize(measure(plain)), labels, stratum))
+    certified = materialize(cutoffs(materialize(measure(plain)), labels, stratum, joint=joint))
     return _verdicts(measure(docs, whole=True), certified, stratum).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns if c not in COUNTS))

@@ -20,7 +20,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("n_lines")
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), joint=True).drop("n_lines")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

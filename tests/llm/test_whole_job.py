@@ -5,7 +5,7 @@ import json
 import corpus_pipeline
 from plain import frame
 
-from skein.llm import chat, line_dedup
+from skein.llm import chat, line_dedup, quality
 
 
 def test_lines_are_compared_by_folded_words(spark):
@@ -70,3 +70,12 @@ def test_messages_with_calls_keep_what_stands_beside_them(spark):
     ]
     plain = chat.link(spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string"), chat.tool_schemas(spark, chat.TOOLS, chat.REQUIRED))
     assert plain.columns == got.columns
+
+
+def test_rules_are_certified_on_a_few_hundred_good_labels(spark):
+    rows = [(i, " ".join(f"word{chr(97 + (i * k) % 26)}{k}" for k in range(60))) for i in range(500)] + [(1000 + i, " ".join(f"word{k} ##" for k in range(60))) for i in range(5)]
+    labels = spark.createDataFrame([(i, int(i < 1000), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in quality.judge(frame(spark, rows), labels, joint=True).collect()}
+    assert kept == {i: i < 1000 for i, _ in rows}
+    few = {r.doc_id: r.kept for r in quality.judge(frame(spark, rows), labels.where("doc_id >= 250"), joint=True).collect()}
+    assert all(few.values())
