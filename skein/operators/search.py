@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..graph import Graph
 from .traverse import incident, search_text
 
@@ -35,11 +34,10 @@ def _hits(nodes: DataFrame, query: str, fields: dict[str, float]) -> Column:
 
 
 def _overlap(nodes: DataFrame, words: list[str], fields: dict[str, float]) -> Column:
-    if not words:
-        return F.lit(0.0)
-    times = F.create_map(*(x for t in sorted(set(words)) for x in (F.lit(t), F.lit(words.count(t)))))
-    one = lambda f: F.aggregate(tokens(_field(nodes, f)), F.lit(0), lambda n, t: n + F.coalesce(F.try_element_at(times, t), F.lit(0)))
-    return sum((one(f) * F.lit(w) for f, w in fields.items()), F.lit(0.0))
+    """How often each field has one of the words as a whole token, weighted; a word given twice counts twice."""
+    often = [sorted({w for w in words if words.count(w) >= n}) for n in range(1, max(map(words.count, words), default=0) + 1)]
+    counts = lambda f: sum((F.regexp_count(_field(nodes, f), F.lit(f"(?i)(?<![A-Za-z0-9])(?:{'|'.join(some)})(?![A-Za-z0-9])")) for some in often), F.lit(0))
+    return sum((counts(f) * F.lit(w) for f, w in fields.items()), F.lit(0.0))
 
 
 def _bonus() -> Column:
@@ -52,22 +50,22 @@ def _bonus() -> Column:
 def search(graph: Graph, query: str, limit: int = 10, label: str | None = None, fallback: bool = True) -> DataFrame:
     """The best `limit` nodes with `score` and `mode`: exact phrase hits, or if there are none at all, token matches, or the first by id.
 
-    Both scores come from one pass; a top-k for each is kept per task, so that only
-    2 * limit rows meet.
+    One pass ranks exact hits before token matches before the rest, so that a top-k of
+    each task is all that meets; of the `limit` rows found those of the best kind stay.
     """
     nodes = graph.nodes if label is None else graph.nodes.where(F.col("label") == label)
-    exact = F.round(_hits(nodes, query, WEIGHTS) + _bonus(), 4)
-    both = _hits(nodes, query, WEIGHTS) + _overlap(nodes, query_tokens(query), WEIGHTS)
-    scored = nodes.withColumn("_exact", F.when(_hits(nodes, query, WEIGHTS) > 0, exact)).withColumn("_any", F.when(both > 0, F.round(both + _bonus(), 4)))
-    top = lambda df, score, mode: df.withColumns({"score": score, "mode": F.lit(mode)}).orderBy(F.desc("score"), "id").limit(limit).drop("_exact", "_any")
-    found = top(scored.where("_exact is not null"), F.col("_exact"), "exact")
-    if not fallback:
-        return found
-    some = found.select(F.lit(True).alias("_x")).limit(1)
-    near = top(scored.where("_any is not null"), F.col("_any"), "fallback").join(F.broadcast(some), F.lit(True), "left_anti")  # one row at most
-    one = near.select(F.lit(True).alias("_x")).limit(1).unionByName(some)
-    first = top(scored, F.lit(0.0), "first").join(F.broadcast(one), F.lit(True), "left_anti")
-    return found.unionByName(near).unionByName(first).withColumns({"confidence": F.when(F.col("mode") == "exact", F.col("confidence")).otherwise("low"), "source": F.when(F.col("mode") == "exact", F.col("source")).otherwise("deterministic-search")})
+    scored = nodes.withColumn("_hits", _hits(nodes, query, WEIGHTS))
+    # tokens are counted only in nodes without the phrase
+    scored = scored.withColumn("_any", F.when(F.col("_hits") > 0, F.col("_hits")).otherwise(_overlap(nodes, query_tokens(query), WEIGHTS)) if fallback else F.col("_hits"))
+    rank = F.when(F.col("_hits") > 0, 0).when(F.col("_any") > 0, 1).otherwise(2)
+    ranked = scored.withColumn("_rank", rank).withColumn("score", F.when(F.col("_rank") < 2, F.round(F.col("_any") + _bonus(), 4)).otherwise(0.0))
+    best = (ranked if fallback else ranked.where("_rank = 0")).orderBy("_rank", F.desc("score"), "id").limit(limit)
+    # a window over the `limit` rows that are left
+    kind = best.withColumn("_best", F.min("_rank").over(Window.partitionBy(F.lit(0)))).where("_rank = _best")
+    mode = F.element_at(F.array(F.lit("exact"), F.lit("fallback"), F.lit("first")), F.col("_rank") + 1)
+    exact = F.col("_rank") == 0
+    named = kind.withColumns({"mode": mode, "confidence": F.when(exact, F.col("confidence")).otherwise("low"), "source": F.when(exact, F.col("source")).otherwise("deterministic-search")})
+    return named.orderBy(F.desc("score"), "id").select(*nodes.columns, "score", "mode")
 
 
 def search_edges(graph: Graph, found: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Merging traces: spans become edges between the nodes they name, with stubs for targets unknown.
 
-Spans have an ordinal, name, service, target_service, path and topic. A span's end is
+Spans have an ordinal (any type that can be ordered, unlike for every span), name, service, target_service, path and topic. A span's end is
 looked up by topic, then path, then name, each first with the end's service, then with
 any; of nodes with equal signatures the last counts. A source that is not found is any
 first node of its service. A target that is not found becomes a stub; spans without a
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph, as_edges, as_nodes
 
+#: The ordinal of stubs, which come after all nodes that were there.
+_LAST = 1 << 62
 
 def signatures(nodes: DataFrame) -> DataFrame:
     """service ('' for any), key and the last node that has them, with its service and when the signature was first seen."""
@@ -49,7 +51,7 @@ def merge(graph: Graph, spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     stub_id = F.concat(F.col("f.stub_service"), F.lit(":otel:"), F.substring(F.sha1(F.concat(F.col("f.stub_service"), F.lit(":"), what)), 1, 10))
     stubs = first.select("share", "ordinal", stub_id.alias("stub"), F.col("f.stub_service").alias("stub_at"), F.nullif("f.topic", F.lit("")).alias("topic"), F.nullif("f.path", F.lit("")).alias("path"))
     messaged = F.col("topic").isNotNull()
-    nodes = as_nodes(stubs.select(F.col("stub").alias("id"), F.when(messaged, "KafkaConsumer").otherwise("Endpoint").alias("label"), F.col("stub_at").alias("service"), F.lit("otel-trace").alias("source"), F.lit("low").alias("confidence"), "path", F.when(messaged, F.array("topic")).alias("topics"), F.when(messaged, "consumer").alias("message_role"), F.when(messaged, "trace").alias("bus"), "ordinal"))
+    nodes = as_nodes(stubs.select(F.col("stub").alias("id"), F.when(messaged, "KafkaConsumer").otherwise("Endpoint").alias("label"), F.col("stub_at").alias("service"), F.lit("otel-trace").alias("source"), F.lit("low").alias("confidence"), "path", F.when(messaged, F.array("topic")).alias("topics"), F.when(messaged, "consumer").alias("message_role"), F.when(messaged, "trace").alias("bus"), F.lit(_LAST).alias("ordinal")))
     nodes = nodes.join(graph.nodes.select("id"), "id", "left_anti").dropDuplicates(["id"]).select(*nodes.columns)
     ended = met.withColumn("share", F.when(F.col("t1").isNull(), shared)).join(stubs.select("share", "stub", "stub_at"), "share", "left")
     ended = ended.withColumns({"dst": F.coalesce("t1", "stub"), "to_service": F.coalesce("to1", "stub_at")}).where("src is not null and src <> dst")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_test_path
-from ..graph import Graph
+from ..graph import Graph, materialize
 
 
 def _errors(df: DataFrame, kind: str, detail) -> DataFrame:
@@ -62,6 +62,10 @@ def unapproved_low(graph: Graph, allowed: list[str]) -> DataFrame:
 
 def verify(graph: Graph, suite: dict) -> DataFrame:
     """All errors of a suite: services, no_duplicate_node_ids, no_test_path_edges, forbidden_labels, min_counts, required_edges, confidence."""
+    # the graph is computed once for all checks, with the columns that they read
+    have = graph.nodes.columns
+    nodes = graph.nodes.select(*(c for c in ("id", "label", "service", "file", "path", "topic", "confidence", "source") if c in have))
+    graph = Graph(materialize(nodes), materialize(graph.edges.select("type", "src", "dst", "from_service", "to_service", "confidence", "source")))
     parts = []
     if suite.get("services"):
         parts.append(missing_services(graph, suite["services"]))

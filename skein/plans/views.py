@@ -10,7 +10,7 @@ from ..graph import Graph, prop
 # The views that are always there.
 DEFAULT = {
     "endpoints": {"kind": "nodes", "label": "Endpoint", "sort": ["service", "path"]},
-    "cross-service-edges": {"kind": "edges", "cross_repo": True, "sort": ["type", "from_service", "to_service"]},
+    "cross-service-edges": {"kind": "edges", "cross_repo": True, "sort": ["from_service", "to_service", "type"]},
     "kafka-topics": {"kind": "group_edges", "edge_type": "KAFKA_DELIVERS", "group_by": {"side": "from", "property": "topic"}, "fields": {"producers": {"side": "from", "property": "service"}, "consumers": {"side": "to", "property": "service"}}},
 }
 _SIDE = {"from": "src", "to": "dst"}
@@ -53,18 +53,23 @@ def _edges(graph: Graph, view: dict, params: dict) -> DataFrame:
 
 
 def _groups(graph: Graph, view: dict, params: dict) -> DataFrame:
-    """For each value of a property at one end of the edges, sorted distinct values of others; values are made distinct before they are gathered."""
+    """For each value of a property at one end of the edges, sorted distinct values of others.
+
+    Each end of the edges meets the nodes once, with just the properties asked for; sets
+    are gathered before they are shuffled.
+    """
     edges = _edges(graph, {k: view[k] for k in ("edge_type", "where") if view.get(k)}, params)
-    nodes, by = graph.nodes, view["group_by"]
-    key, key_id = nodes.select(F.col("id").alias("_k_id"), prop(nodes, by["property"]).cast("string").alias("group_key")), "_k_id"
-    own = edges.select("src", "dst").distinct().join(key, F.col(_SIDE[by["side"]]) == F.col(key_id)).where("group_key is not null")
-    out = own.select("group_key").distinct()
-    for name, spec in view.get("fields", {}).items():
-        values = nodes.select(F.col("id").alias("_v_id"), prop(nodes, spec["property"]).cast("string").alias("_v"))
-        found = own.join(values, F.col(_SIDE[spec["side"]]) == F.col("_v_id")).where("_v is not null").select("group_key", "_v").distinct()
-        listed = found.groupBy("group_key").agg(F.array_sort(F.collect_list("_v")).alias(name))
-        out = out.join(listed, "group_key", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
-    return out.orderBy("group_key")
+    by = view["group_by"]
+    asked = {"group_key": by, **view.get("fields", {})}
+    own = edges.select("src", "dst")
+    for end in ("from", "to"):
+        wanted = {name: spec["property"] for name, spec in asked.items() if spec["side"] == end}
+        if wanted:
+            values = graph.nodes.select(F.col("id").alias(_SIDE[end]), *(prop(graph.nodes, p).cast("string").alias(f"_{i}_{end}") for i, p in enumerate(wanted.values())))
+            own = own.join(values, _SIDE[end], "inner" if by["side"] == end else "left").withColumnsRenamed({f"_{i}_{end}": f"_v_{name}" for i, name in enumerate(wanted)})
+    sets = [F.array_sort(F.collect_set(f"`_v_{name}`")).alias(name) for name in view.get("fields", {})]
+    named = own.where("_v_group_key is not null").groupBy(F.col("_v_group_key").alias("group_key"))
+    return (named.agg(*sets) if sets else named.agg(F.count("*")).select("group_key")).orderBy("group_key")
 
 
 def checked_views(specs: dict[str, dict]) -> dict[str, dict]:

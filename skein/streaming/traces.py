@@ -15,7 +15,9 @@ def merge_stream(documents: DataFrame, base: Graph, path: str, checkpoint: str)
     """Start merging a stream of trace documents (value) into the additions kept at path.
 
     Each batch is merged into the base and all additions so far, and what it adds is
-    written under its own number, so that a repeated batch replaces itself.
+    written under its own number, so that a repeated batch replaces itself. Documents are
+    named by a digest of their text: within a batch they have no order, and equal ones
+    add nothing.
     """
 
     def batch(df: DataFrame, number: int) -> None:
@@ -24,7 +26,7 @@ def merge_stream(documents: DataFrame, base: Graph, path: str, checkpoint: str)
         if number:
             earlier = lambda part: spark.read.parquet(f"{path}/{part}").where(F.col("batch") < number)
             nodes, edges = nodes.unionByName(as_nodes(earlier("nodes"))), edges.unionByName(as_edges(earlier("edges")))
-        new_nodes, new_edges, _ = merge(Graph(nodes, edges), spans(df.select(F.lit(0).alias("ordinal"), "value")))
+        new_nodes, new_edges, _ = merge(Graph(nodes, edges), spans(df.select(F.sha2("value", 256).alias("ordinal"), "value").dropDuplicates(["value"])))
         new_nodes.write.mode("overwrite").parquet(f"{path}/nodes/batch={number}")
         new_edges.write.mode("overwrite").parquet(f"{path}/edges/batch={number}")
 

@@ -1,21 +1,25 @@
+import json
+
 import pytest
 
 from skein import plugins
+from skein.graph import Graph
 from skein.operators import clusters, dedup, extract, link, resolve, search, trace, traverse, verify
 from skein.plans import lenses
 from skein.plans.cypher import PatternQuery, from_text
 from skein.plans.views import overlaid, run_view
-from skein.sources.readers import from_rows, normalized, spans
+from skein.sources.readers import from_rows, spans
+from skein.streaming.traces import merge_stream
 
 
 @pytest.fixture(scope="module")
 def graph(spark):
     nodes = [
-        {"id": "e1", "label": "Endpoint", "service": "a", "path": "/api/permits/motor", "http_method": "GET", "source": "pack:x", "confidence": "high"},
-        {"id": "e2", "label": "Endpoint", "service": "a", "path": "/api/permits/home", "source": "llm:y", "confidence": "low"},
-        {"id": "c1", "label": "HttpCall", "service": "web", "host_var": "http://A/", "path": "/api/permits/motor", "confidence": "high"},
-        {"id": "p1", "label": "KafkaProducer", "service": "a", "topic": "permit.approved", "message_role": "producer", "bus": "kafka", "delivery_edge": "KAFKA_DELIVERS", "confidence": "high"},
-        {"id": "k1", "label": "KafkaConsumer", "service": "b", "topics": ["permit.approved", "other"], "message_role": "consumer", "bus": "kafka", "confidence": "medium"},
+        {"id": "e1", "label": "Endpoint", "service": "a", "path": "/api/loans/motor", "http_method": "GET", "source": "pack:x", "confidence": "high"},
+        {"id": "e2", "label": "Endpoint", "service": "a", "path": "/api/loans/home", "source": "llm:y", "confidence": "low"},
+        {"id": "c1", "label": "HttpCall", "service": "web", "host_var": "http://A/", "path": "/api/loans/motor", "confidence": "high"},
+        {"id": "p1", "label": "KafkaProducer", "service": "a", "topic": "loan.granted", "message_role": "producer", "bus": "kafka", "delivery_edge": "KAFKA_DELIVERS", "confidence": "high"},
+        {"id": "k1", "label": "KafkaConsumer", "service": "b", "topics": ["loan.granted", "other"], "message_role": "consumer", "bus": "kafka", "confidence": "medium"},
     ]
     edges = [{"type": "CROSSES_TIER", "from": "c1", "to": "e1", "from_service": "web", "to_service": "a", "cross_repo": True, "confidence": "high"}, {"type": "KAFKA_DELIVERS", "from": "p1", "to": "k1", "from_service": "a", "to_service": "b", "cross_repo": True, "confidence": "high"}]
     return from_rows(spark, nodes, edges)
@@ -26,11 +30,11 @@ def ids(df, column="id"):
 
 
 def test_flow_goes_from_calls_over_producers_to_consumers(graph):
-    nodes, edges = traverse.flow(graph, "/api/permits/motor")
+    nodes, edges = traverse.flow(graph, "/api/loans/motor")
     assert {r["id"]: r["distance"] for r in nodes.collect()} == {"c1": 0, "e1": 0, "p1": 1, "k1": 2}
     assert ids(edges, "type") == ["CROSSES_TIER", "KAFKA_DELIVERS"]
     steps = traverse.explain(graph, edges).orderBy("hop").collect()
-    assert [s["description"] for s in steps] == ["web calls a GET /api/permits/motor (/api/permits/motor)", "a publishes to b KafkaConsumer(permit.approved, other) (permit.approved)"]
+    assert [s["description"] for s in steps] == ["web calls a GET /api/loans/motor (/api/loans/motor)", "a publishes to b KafkaConsumer(loan.granted, other) (loan.granted)"]
 
 
 def test_callers_of_nothing_have_no_nodes(graph):
@@ -64,12 +68,12 @@ def test_links(spark, graph):
 
 
 def test_search_modes(graph):
-    assert [(r["id"], r["mode"]) for r in search.search(graph, "permits/motor").collect()] == [("e1", "exact"), ("c1", "exact")]
+    assert [(r["id"], r["mode"]) for r in search.search(graph, "loans/motor").collect()] == [("e1", "exact"), ("c1", "exact")]
     near = search.search(graph, "automobile license", 3).collect()
     assert {r["mode"] for r in near} == {"fallback"} and {r["confidence"] for r in near} == {"low"} and near[0]["id"] == "e1"
     assert [r["mode"] for r in search.search(graph, "zzz", 2).collect()] == ["first", "first"]
     assert search.search(graph, "zzz", fallback=False).count() == 0
-    assert ids(search.search_edges(graph, search.search(graph, "permits/motor")), "type") == ["CROSSES_TIER"]
+    assert ids(search.search_edges(graph, search.search(graph, "loans/motor")), "type") == ["CROSSES_TIER"]
     assert {r["mode"] for r in search.search_any(graph, "motor").collect()} == {"exact"}
 
 
@@ -78,41 +82,41 @@ def test_views_and_lenses(graph):
     assert ids(run_view(graph, views["endpoints"])) == ["e1", "e2"]
     assert ids(run_view(graph, views["mine"], {"service": "b"})) == ["k1"]
     group = run_view(graph, views["kafka-topics"]).first()
-    assert (group["group_key"], group["producers"], group["consumers"]) == ("permit.approved", ["a"], ["b"])
+    assert (group["group_key"], group["producers"], group["consumers"]) == ("loan.granted", ["a"], ["b"])
     with pytest.raises(ValueError):
         run_view(graph, {"kind": "pie"})
     assert ids(lenses.lens(graph, "pattern.endpoints")) == ["e1", "e2"]
-    assert ids(lenses.lens(graph, "route.api.permits")) == ["c1", "e1", "e2"]
-    assert "permits" in ids(clusters.domains(graph), "token")
+    assert ids(lenses.lens(graph, "route.api.loans")) == ["c1", "e1", "e2"]
+    assert "loans" in ids(clusters.domains(graph), "token")
     kept = clusters.persisted(graph, clusters.domains(graph))
     again = clusters.persisted(kept, clusters.domains(graph))
     assert kept.nodes.count() == again.nodes.count() and kept.edges.count() == again.edges.count()
-    assert ids(lenses.lens(kept, "domain.permits")) == ["c1", "e1", "e2"]
+    assert ids(lenses.lens(kept, "domain.loans")) == ["c1", "e1", "e2"]
     assert {r["origin"] for r in lenses.catalog(kept).collect()} >= {"builtin", "persisted"}
 
 
 def test_verify(graph):
-    suite = {"services": ["a", "z"], "no_duplicate_node_ids": True, "forbidden_labels": ["HttpCall"], "min_counts": {"Endpoint": 3, "nodes": 5}, "required_edges": [{"type": "CROSSES_TIER", "path": "/api/permits/motor"}, {"topic": "x"}], "confidence": {"no_unapproved_low": True, "allowed_low_sources": []}}
+    suite = {"services": ["a", "z"], "no_duplicate_node_ids": True, "forbidden_labels": ["HttpCall"], "min_counts": {"Endpoint": 3, "nodes": 5}, "required_edges": [{"type": "CROSSES_TIER", "path": "/api/loans/motor"}, {"topic": "x"}], "confidence": {"no_unapproved_low": True, "allowed_low_sources": []}}
     assert sorted((r["kind"], r["detail"]) for r in verify.verify(graph, suite).collect()) == [("count", "Endpoint 2 < 3"), ("forbidden node label", "HttpCall c1"), ("missing required edge", "x"), ("missing service", "z"), ("unapproved low confidence", "e2")]
 
 
 def test_extraction_and_resolving(spark):
-    java = '@RestController\n@RequestMapping("/api")\nclass Permits {\n  static final String TOPIC = "permit.new";\n  @GetMapping("/one")\n  public String one(String x) {\n  }\n}\n'
-    files = spark.createDataFrame([("a", "src/Permits.java", java), ("a", "web.xml", "<web xmlns=\"u\">\n<servlet id='1'><name>N</name></servlet></web>"), ("a", "bad.xml", "<a><b>"), ("a", "x.properties", "k.topic = v\nother"), ("a", "empty.java", None)], "service string, file string, content string")
+    java = '@RestController\n@RequestMapping("/api")\nclass Loans {\n  static final String TOPIC = "loan.new";\n  @GetMapping("/one")\n  public String one(String x) {\n  }\n}\n'
+    files = spark.createDataFrame([("a", "src/Loans.java", java), ("a", "web.xml", "<web xmlns=\"u\">\n<servlet id='1'><name>N</name></servlet></web>"), ("a", "bad.xml", "<a><b>"), ("a", "x.properties", "k.topic = v\nother"), ("a", "empty.java", None)], "service string, file string, content string")
     rules = [
         {"name": "e", "match": {"files": ["*.java"], "strategy": "annotation-method", "class_annotations": ["@RestController"], "base_path_annotation": "@RequestMapping", "method_annotations": {"Get": "GET"}}, "emit": {"label": "Endpoint", "source": "pack:e", "values": {"path": "{{path}}", "http_method": "{{http_method}}", "handler": "{{class_name}}.{{method_name}}"}}},
         {"name": "s", "match": {"files": ["*.xml"], "strategy": "xml-query", "select": ".//servlet", "captures": {"n": "name", "i": "@id"}}, "emit": {"label": "Servlet", "values": {"name": "{{n}}-{{i}}"}}},
         {"name": "k", "match": {"files": ["*.properties"], "strategy": "config-key", "key_pattern": r"(?P<key>[\w.]+)\.topic\s*=\s*(?P<v>\S+)"}, "emit": {"label": "ConfigProperty", "values": {"key": "{{key}}", "default_value": "{{v|none}}", "topics": ["{{v}}", "fixed"]}}},
     ]
     got = {r["label"]: r for r in extract.extract(files, rules).collect()}
-    assert (got["Endpoint"]["path"], got["Endpoint"]["handler"], got["Endpoint"]["line"]) == ("/api/one", "Permits.one", 5)
+    assert (got["Endpoint"]["path"], got["Endpoint"]["handler"], got["Endpoint"]["line"]) == ("/api/one", "Loans.one", 5)
     assert (got["Servlet"]["name"], got["Servlet"]["line"]) == ("N-1", 2)
     assert got["ConfigProperty"]["topics"] == ["v", "fixed"] and got["ConfigProperty"]["line"] == 1
     with pytest.raises(NotImplementedError):
         extract.extract(files, [{"name": "t", "match": {"strategy": "tree-sitter"}, "emit": {}}])
-    nodes = from_rows(spark, [{"id": "p", "label": "KafkaProducer", "service": "a", "file": "src/Permits.java", "topic_const": "Permits.TOPIC"}], []).nodes
+    nodes = from_rows(spark, [{"id": "p", "label": "KafkaProducer", "service": "a", "file": "src/Loans.java", "topic_const": "Loans.TOPIC"}], []).nodes
     done = resolve.substitute_constants(nodes, extract.string_constants(files), {"topic_const": "topic"})
-    assert done.first()["topic"] == "permit.new" and done.first()["topics"] == ["permit.new"]
+    assert done.first()["topic"] == "loan.new" and done.first()["topics"] == ["loan.new"]
     assert resolve.apply_hints(done, [{"match": {"label": "KafkaProducer"}, "set": {"topic": "t"}}, {"match": {"label": "X"}, "set": {"topic": "u"}}]).first()["topic"] == "t"
 
 
@@ -121,13 +125,36 @@ def test_dedup_and_traces(spark, graph):
     once = dedup.call_sites(sites)
     assert [(r["id"], r["duplicate_count"]) for r in once.nodes.collect()] == [("s0", 3)] and ids(once.edges, "src") == ["s0"]
     otlp = '{"resourceSpans":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"web"}}]},"scopeSpans":[{"spans":[{"name":"GET /api/new","attributes":[{"key":"peer.service","value":{"stringValue":"c"}}]}]}]}]}'
-    plain = '{"service":"web","spans":[{"name":"x","attributes":{"http.route":"/api/permits/home","peer.service":"a"}}]}'
+    plain = '{"service":"web","spans":[{"name":"x","attributes":{"http.route":"/api/loans/home","peer.service":"a"}}]}'
     found = spans(spark.createDataFrame([(0, otlp), (1, plain)], "ordinal int, value string"))
-    assert sorted((r["service"], r["target_service"], r["path"]) for r in found.collect()) == [("web", "a", "/api/permits/home"), ("web", "c", "/api/new")]
+    assert sorted((r["service"], r["target_service"], r["path"]) for r in found.collect()) == [("web", "a", "/api/loans/home"), ("web", "c", "/api/new")]
     merged = trace.merged(graph, found)
-    assert merged.nodes.count() == 6 and merged.edges.count() == 4
+    # the second span finds one node for both its ends, so that only the first adds an edge
+    assert merged.nodes.count() == 6 and merged.edges.count() == 3
     assert trace.merge(merged, found)[1].count() == 0
-    assert normalized is not None
+    ends = '{"service":"a","spans":[{"name":"y","attributes":{"http.route":"/api/loans/motor","messaging.destination.name":"other"}}]}'
+    assert [r["ordinal"]["document"] for r in spans(spark.createDataFrame([(7, ends)], "ordinal int, value string")).collect()] == [7]
+    listed = '{"resourceSpans":[{"scopeSpans":[{"spans":[{"name":"z","attributes":[{"key":"url.path","value":{"arrayValue":{"values":[{"stringValue":"p"},{"intValue":"3"}]}}},{"key":"peer.service","value":{"kvlistValue":{"values":[{"key":"k","value":{"stringValue":"v"}}]}}}]}]}]}],"spans":[{"name":"not read"}]}'
+    assert [(r["name"], r["path"], r["target_service"]) for r in spans(spark.createDataFrame([(0, listed)], "ordinal int, value string")).collect()] == [("z", '["p","3"]', '{"k":"v"}')]
+
+
+def test_streamed_traces(spark, graph, tmp_path):
+    span = lambda target, path: json.dumps({"service": "web", "spans": [{"name": "call", "attributes": {"http.route": path, "peer.service": target}}]})
+    base = Graph(graph.nodes, graph.edges.limit(0))
+    known = from_rows(spark, [x for i in range(4) for x in ({"id": f"n{i}", "label": "Endpoint", "service": f"s{i}", "path": f"/p{i}"}, {"id": f"w{i}", "label": "HttpCall", "service": "web", "path": f"/p{i}"})], [])
+    incoming = tmp_path / "in"
+    incoming.mkdir()
+    (incoming / "a.txt").write_text("\n".join([span("s0", "/p0"), span("s1", "/p1"), span("s1", "/p1"), span("gone", "/new")]))
+    for expected in ({"n0", "n1"}, {"n0", "n1", "n2"}):
+        query = merge_stream(spark.readStream.option("maxFilesPerTrigger", 1).text(str(incoming)), Graph(known.nodes, base.edges), str(tmp_path / "out"), str(tmp_path / "state"))
+        query.processAllAvailable()
+        query.stop()
+        edges = spark.read.parquet(str(tmp_path / "out/edges"))
+        assert {(r["src"], r["dst"]) for r in edges.collect() if ":otel:" not in r["dst"]} == {(n.replace("n", "w"), n) for n in expected}
+        nodes = spark.read.parquet(str(tmp_path / "out/nodes"))
+        assert nodes.count() == nodes.select("id").distinct().count() == 1
+        (incoming / "b.txt").write_text("\n".join([span("gone", "/new"), span("s2", "/p2")]))
+    assert edges.count() == edges.select("type", "src", "dst").distinct().count()
 
 
 def test_plugins_are_gated(graph):
