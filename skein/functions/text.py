@@ -64,21 +64,71 @@ def line_of_offset(text: Column, offset: Column) -> Column:
 
 
 def sql_operation(text: Column) -> Column:
-    return F.upper(F.regexp_extract(F.ltrim(text), r"(?i)^(select|insert|update|delete|merge|call)\b", 1))
+    """The statement's verb in upper case if a blank, a tab or a bracket follows it, else ''."""
+    return F.upper(F.regexp_extract(text, r"(?i)^\s*(select|insert|update|delete|merge|call)[ \t(]", 1))
 
 
 def strip_segments(path: Column, n: int) -> Column:
-    """A gateway's target path: without the first n segments."""
+    """A path without its first n segments."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
     return F.concat(F.lit("/"), F.array_join(F.slice(parts, n + 1, F.greatest(F.size(parts), F.lit(1))), "/"))
 
 
+def gateway_path(pattern: Column, n: int = 0) -> Column:
+    """A gateway's target path: the first of its patterns, without the stars at its end and its first n segments."""
+    return strip_segments(F.regexp_replace(F.trim(F.substring_index(pattern, ",", 1)), r"\*\*$", ""), n)
+
+
 def extract_topics(text: Column) -> Column:
-    """All quoted literals, or an unknown one."""
-    found = F.regexp_extract_all(text, F.lit('"([^"]*)"'), F.lit(1))
+    """The literals of a list or a single value given as `topics`, else all quoted literals, else an unknown one."""
+    quoted = lambda x: F.regexp_extract_all(x, F.lit('"([^"]+)"'), F.lit(1))
+    single = F.regexp_extract(text, r'topics\s*=\s*"([^"]+)"', 1)
+    given = F.concat(quoted(F.regexp_extract(text, r"topics\s*=\s*\{([^}]+)\}", 1)), F.filter(F.array(single), lambda x: x != ""))
+    found = F.when(F.size(given) > 0, given).otherwise(quoted(text))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("{unknown}")))
 
 
+def group_id(text: Column) -> Column:
+    """The literal given as `groupId`, or ''."""
+    return F.regexp_extract(text, r'groupId\s*=\s*"([^"]+)"', 1)
+
+
+def object_string_value(text: Column, key: str) -> Column:
+    """The quoted value of a key of an object literal, or ''."""
+    return F.regexp_extract(text, rf"""{key}\s*:\s*['"]([^'"]+)['"]""", 1)
+
+
+def action_path(namespace: Column, name: Column, extension: Column) -> Column:
+    """The path of an action: absolute as it stands, else below its namespace; with the extension unless it ends so."""
+    action = F.trim(name)
+    base = F.when(action.startswith("/"), action).otherwise(join_paths(namespace, action))
+    return F.when((extension != "") & ~base.endswith(extension), F.concat(base, extension)).otherwise(base)
+
+
+def sent_topic(text: Column, methods: list[str]) -> Column:
+    """literal and variable: what follows the longest of the sending methods that the text has, as far as either can be read."""
+    out = F.struct(F.lit(None).cast("string").alias("literal"), F.lit(None).cast("string").alias("variable"))
+    for m in sorted(methods, key=len):
+        tail = F.substring(text, F.locate(m, text) + len(m), F.length(text))
+        literal, variable = F.nullif(F.regexp_extract(tail, r'^\s*"([^"]+)"', 1), F.lit("")), F.nullif(F.regexp_extract(tail, r"^\s*(\w+)", 1), F.lit(""))
+        found = F.struct(literal.alias("literal"), F.when(literal.isNull(), variable).alias("variable"))
+        out = F.when(text.contains(m) & (literal.isNotNull() | variable.isNotNull()), found).otherwise(out)
+    return out
+
+
+def string_fields(text: Column) -> Column:
+    """name -> value of string fields that a class's text sets; of a name set twice the last value."""
+    found = F.regexp_extract_all(text, F.lit(r'\bString\s+(\w+\s*=\s*"[^"]+")'), F.lit(1))
+    pair = F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^(\w+)", 1), F.regexp_extract(x, r'"([^"]+)"', 1)))
+    return F.aggregate(pair, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["col1"]), F.create_map(p["col1"], p["col2"])))
+
+
+def previous_key(lines: Column, at: Column, key: str) -> Column:
+    """Whether one of the four lines before line `at` (from 0) starts with the key and a colon."""
+    start = F.greatest(at - 4, F.lit(0))
+    return F.exists(F.slice(lines, start + 1, at - start), lambda x: x.rlike(rf"^\s*{key}\s*:"))
+
+
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters and digits, in lower case; split before lowering, so that accented letters part words."""
     return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+"), lambda t: t != ""), lambda t: F.lower(t))

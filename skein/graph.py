@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,17 +50,26 @@ def prop(df: DataFrame, name: str) -> Column:
     return F.try_element_at("props", F.lit(name)) if "props" in df.columns else F.lit(None).cast("string")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df computed once into the shared checkpoint folder; a lost executor loses nothing.
+def _checkpoint_base(spark: SparkSession) -> str:
+    """The session's checkpoint folder; where none is set (tests on one machine) a temporary one, set once for both uses."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="skein-checkpoint-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base
 
-    Where the session names no folder (tests on one machine) a temporary one is set.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-checkpoint-"))
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df computed once into the shared checkpoint folder; a lost executor loses nothing."""
+    _checkpoint_base(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all machines see, beside the checkpoints."""
+    return f"{_checkpoint_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def version(graph: Graph) -> DataFrame:
     """One row, `graph_version`: the start of a digest over all node ids and edge keys.
 

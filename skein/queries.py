@@ -82,10 +82,10 @@ def relation_conditions(spark: SparkSession, sf: str) -> DataFrame:
     return _renamed(q.where("c.segment STARTS WITH 'AUTO' AND c.name CONTAINS '#0000000' AND o.id ENDS WITH '7' AND o.confidence = 'high'").returns("c.id", "o.id"))
 
 
-@_query(E + "SELECT a.src AS c_id, b.dst AS s_id FROM edges a JOIN edges b ON a.dst = b.src JOIN nodes o ON o.id = a.dst WHERE a.type = 'PLACED' AND b.type = 'FILLED_BY' AND o.status = 'P'")
+@_query("SELECT DISTINCT 'Customer:' || o_custkey AS c_id, 'Supplier:' || l_suppkey AS s_id, o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'")
 def shared_variable(spark: SparkSession, sf: str) -> DataFrame:
     q = PatternQuery(estate.estate(spark, sf)).match("(c:Customer)-[p:PLACED]->(o:Order)").match("(o:Order)-[f:FILLED_BY]->(s:Supplier)")
-    return _renamed(q.where("o.status = 'P'").returns("c.id", "s.id"))
+    return _renamed(q.where("o.status = 'P'").returns("c.id", "s.id", "o.id")).select("c_id", "s_id", F.substring("o_id", 7, 40).cast("long").alias("o_orderkey"))
 
 
 @_query(E + "SELECT dst AS n_id, src AS s_id FROM edges WHERE type = 'IN_NATION' AND src LIKE 'Supplier:%'")
@@ -582,11 +582,15 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    from . import source_queries
+
+    return _queries | source_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    from . import source_queries
+
+    return _sql | source_queries.oracle_sql()
 
 
 __all__ = ["entry", "oracle_sql", "queries", "readers"]

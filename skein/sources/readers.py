@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,21 +12,55 @@ from pyspark.sql import types as T
 from ..functions.text import slug
 from ..graph import EDGE, NODE, Graph, as_edges, as_nodes
 from ..operators.extract import glob_regex
+from .rules import service_names, service_settings
 
-# Folders that are never read.
+# Folders that are never read, patterns of tests, what marks a folder as a service, and the endings of source files.
 EXCLUDED = ("node_modules", "target", "build", "dist", ".git", "__pycache__")
+TESTS = ("src/test/*", "tests/*", "__tests__/*", "*Tests.java", "*.test.js", "*.test.ts", "*.test.tsx", "*.spec.js", "*.spec.ts", "*.spec.tsx")
+MARKERS = ("package.json", "pom.xml")
+ENDINGS = (".java", ".js", ".jsx", ".ts", ".tsx", ".yml", ".yaml", ".properties", ".xml", ".jsp", ".jspx", ".tag", ".tld", ".sql", ".json")
 
 
-def workspace(spark: SparkSession, path: str, globs: str = "*", excluded: tuple[str, ...] = EXCLUDED, patterns: tuple[str, ...] = ()) -> DataFrame:
-    """service (the first folder), file (the path below it) and content of the files of a workspace; what is not UTF-8 is dropped from the text."""
+def listed(spark: SparkSession, path: str, globs: str = "*") -> DataFrame:
+    """folder (the first below path, '' for files that lie in it), file (the path below that) and content of all files; what is not UTF-8 is dropped."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", globs).load(path)
-    root = path.rstrip("/").rsplit("/", 1)[-1]
+    root = re.escape(path.rstrip("/").rsplit("/", 1)[-1])
     below = F.regexp_extract("path", rf"/{root}/(.*)$", 1)
-    own = raw.select(F.regexp_extract(below, "^([^/]*)/", 1).alias("service"), F.regexp_replace(below, "^[^/]*/", "").alias("file"), F.decode("content", "UTF-8").alias("content"))
-    out = own.where(~F.exists(F.split("file", "/"), lambda p: p.isin(*excluded)))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    return raw.select(F.regexp_extract(below, "^([^/]*)/", 1).alias("folder"), F.regexp_replace(below, "^[^/]*/", "").alias("file"), text.alias("content"))
+
+
+def service_roots(files: DataFrame, config: str = "service.yaml") -> DataFrame:
+    """The folders that are services: they have a marker file at their top or a source file anywhere, and no dot before their name."""
+    marked = F.col("file").isin(config, *MARKERS)
+    source = F.regexp_extract("file", r"(\.[^./]+)$", 1).isin(*ENDINGS)
+    return files.where((F.col("folder") != "") & ~F.startswith("folder", F.lit(".")) & (marked | source)).select("folder").distinct()
+
+
+def workspace(spark: SparkSession, path: str, globs: str = "*", excluded: tuple[str, ...] = EXCLUDED, patterns: tuple[str, ...] = TESTS, config: str = "service.yaml") -> DataFrame:
+    """service, file (the path below the service) and content of the files of a workspace.
+
+    Each folder that looks like a service is one, named by its settings; if none does,
+    the workspace itself is the service. Folders in `excluded`, files that fit `patterns`
+    (but for services that include their tests) and those a service leaves out itself
+    are not read.
+    """
+    files = listed(spark, path, globs)
+    roots = service_roots(files, config)
+    if roots.isEmpty():
+        files = files.select(F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("folder"), F.concat_ws("/", F.nullif("folder", F.lit("")), "file").alias("file"), "content")
+    else:
+        files = files.join(roots, "folder", "left_semi")
+    out = files.where(~F.exists(F.split("file", "/"), lambda p: p.isin(*excluded)))
+    own = service_settings(files, config).select("folder", "exclude", "include_tests")
+    out = out.join(service_names(files, config), "folder").join(own, "folder", "left")
+    tests = F.coalesce(F.col("include_tests"), F.lit(False))
     for p in patterns:
-        out = out.where(~F.col("file").rlike(glob_regex(p)))
-    return out.withColumn("service", slug(F.col("service"))).withColumn("content", F.replace("content", F.lit("\ufffd"), F.lit("")))
+        out = out.where(tests | ~F.col("file").rlike(glob_regex(p)))
+    # a service's own patterns are globs: escaped, with * for anything
+    fits = lambda p: F.regexp_like(F.col("file"), F.concat(F.lit("^(?:.*/)?"), F.regexp_replace(F.regexp_replace(p, r"([.+(){}|^$\\\[\]?])", r"\\$1"), r"\*+", ".*"), F.lit("$")))
+    out = out.where(~F.coalesce(F.exists("exclude", fits), F.lit(False)))
+    return out.select("service", "file", "content")
 
 
 def graph_json(spark: SparkSession, path: str) -> Graph:
@@ -59,7 +94,9 @@ def call_graph(spark: SparkSession, path: str) -> Graph:
     return Graph(as_nodes(own), as_edges(edges))
 
 
-_VALUE = "struct<stringValue:string,intValue:string,doubleValue:string,boolValue:string>"
+_SCALAR = "stringValue:string,intValue:string,doubleValue:string,boolValue:string"
+_LIST = f"arrayValue:struct<values:array<struct<{_SCALAR}>>>,kvlistValue:struct<values:array<struct<key:string,value:struct<{_SCALAR}>>>>"
+_VALUE = f"struct<{_SCALAR},{_LIST}>"
 _ATTRS = f"array<struct<key:string,value:{_VALUE}>>"
 _SPANS = f"array<struct<name:string,service:string,serviceName:string,attributes:{_ATTRS}>>"
 _SCOPES = f"array<struct<spans:{_SPANS}>>"
@@ -68,25 +105,35 @@ PLAIN = "struct<service:string,spans:array<struct<name:string,service:string,ser
 
 
 def attributes(attrs: Column) -> Column:
-    """OTLP attributes as a map of strings; of repeated keys the last counts."""
-    value = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"], v["boolValue"])
+    """OTLP attributes as a map of strings; of repeated keys the last counts.
+
+    Lists and key-value lists of scalars are JSON texts; what is nested deeper is null in them.
+    """
+    scalar = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"], v["boolValue"])
+    listed = lambda v: F.to_json(F.transform(v["arrayValue"]["values"], scalar))
+    pairs = lambda v: F.to_json(F.map_from_entries(F.transform(v["kvlistValue"]["values"], lambda e: F.struct(e["key"], scalar(e["value"])))))
+    value = lambda v: F.coalesce(scalar(v), listed(v), pairs(v))
     return F.aggregate(F.coalesce(attrs, F.array().cast(_ATTRS)), F.create_map().cast("map<string,string>"), lambda m, a: F.map_concat(F.map_filter(m, lambda k, _: k != a["key"]), F.create_map(a["key"], value(a["value"]))))
 
 
 def spans(texts: DataFrame) -> DataFrame:
-    """Spans of trace documents (ordinal, value): OTLP or a plain list; numbered in order."""
+    """Spans of trace documents (ordinal, value): OTLP, or where that is missing a plain list.
+
+    A span's ordinal is its document's with its places in it, so that no two spans of
+    different documents share one if the documents' ordinals differ, and spans keep their order.
+    """
     otlp = texts.select("ordinal", F.from_json("value", OTLP).alias("t"))
     res = otlp.select("ordinal", F.posexplode("t.resourceSpans").alias("i", "r"))
     scopes = res.select("ordinal", "i", attributes(F.col("r.resource.attributes")).alias("res"), F.posexplode(F.concat(F.coalesce("r.scopeSpans", F.array().cast(_SCOPES)), F.coalesce("r.instrumentationLibrarySpans", F.array().cast(_SCOPES)))).alias("j", "s"))
     deep = scopes.select("ordinal", "i", "j", "res", F.posexplode("s.spans").alias("k", "s")).select("ordinal", "i", "j", "k", "s.name", F.coalesce("s.service", "s.serviceName", F.try_element_at("res", F.lit("service.name"))).alias("hint"), attributes(F.col("s.attributes")).alias("attrs"))
-    plain = texts.select("ordinal", F.from_json("value", PLAIN).alias("t")).select("ordinal", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("t.service").alias("all"), F.posexplode("t.spans").alias("k", "s")).select("ordinal", "i", "j", "k", "s.name", F.coalesce("s.service", "s.serviceName", "all").alias("hint"), F.col("s.attributes").alias("attrs"))
+    plain = texts.where(F.get_json_object("value", "$.resourceSpans").isNull()).select("ordinal", F.from_json("value", PLAIN).alias("t")).select("ordinal", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("t.service").alias("all"), F.posexplode("t.spans").alias("k", "s")).select("ordinal", "i", "j", "k", "s.name", F.coalesce("s.service", "s.serviceName", "all").alias("hint"), F.col("s.attributes").alias("attrs"))
     return normalized(deep.unionByName(plain))
 
 
 def normalized(raw: DataFrame) -> DataFrame:
     """ordinal, name, service, target_service, path and topic from rows (ordinal, i, j, k, name, hint, attrs)."""
     a = lambda *keys: F.coalesce(*(F.nullif(F.try_element_at("attrs", F.lit(k)), F.lit("")) for k in keys))
-    place = ((F.col("ordinal").cast("long") * 1000 + F.col("i")) * 1000 + F.col("j")) * 100_000 + F.col("k")
+    place = F.struct(F.col("ordinal").alias("document"), "i", "j", "k")
     named = F.nullif(F.regexp_extract(F.coalesce("name", F.lit("")), r"(?:^|\W)(/[A-Za-z0-9_./{}-]+)", 1), F.lit(""))
     return raw.select(place.alias("ordinal"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("hint", a("service.name")).alias("service"), a("peer.service", "server.address", "net.peer.name").alias("target_service"), F.coalesce(a("http.route", "http.target", "url.path"), named).alias("path"), a("messaging.destination.name", "messaging.destination", "messaging.kafka.topic").alias("topic"))
 
