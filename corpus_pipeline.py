@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, contamination, line_dedup, ngram_join, quality
-from skein.llm.tables import materialize, table
-from skein.llm.token_files import shared_folder
+from skein.llm.tables import materialize, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 

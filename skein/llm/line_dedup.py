@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import materialize
+from .tables import materialize, stored
 
 #: Half keys that so few lines share may be broadcast; more are joined by a shuffle.
 _SMALL = 1_000_000
@@ -40,8 +40,11 @@ _UNSPACED = "[" + "".join(rf"\p{{Is{script}}}" for script in ("Han", "Hiragana",
 
 
 def folded(text: Column) -> Column:
-    """text in lower case with each run of white space but line feeds as one blank; single blanks are not touched, for speed."""
-    return F.regexp_replace(F.lower(text), r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")
+    """text in lower case with each run of white space but line feeds as one blank; the regex runs only where two blanks meet, for speed."""
+    blanks = F.lower(text)
+    for c in "\t\x0b\f\r":
+        blanks = F.replace(blanks, F.lit(c), F.lit(" "))
+    return F.when(F.contains(blanks, F.lit("  ")), F.regexp_replace(blanks, " {2,}", " ")).otherwise(blanks)
 
 
 def _n_words(line: Column) -> Column:
@@ -66,13 +69,21 @@ def _row() -> Column:
 
 
 def lines(docs: DataFrame, least_words: int, fold: bool = False, short: bool = False) -> DataFrame:
-    """doc_id, row, line_no, line, its hash and its number of words, for lines with enough of them, or with short those with too few but some."""
+    """doc_id, row, line_no, line, its hash, its number of words and whether they are enough; with short also those with too few but some."""
     text = folded(F.col("text")) if fold else F.col("text")
-    apart = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), text.alias("text"))
+    # folded in a column of its own, and the outer form: else Spark folds each text again to tell whether it has lines
+    apart = own.select("doc_id", "row", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     if fold:
         apart = apart.withColumn("line", F.trim("line"))
     enough = _enough(F.col("line"), least_words, fold)
-    return apart.where(~enough & F.col("line").rlike(r"[^ \t\x0B\f\r]") if short else enough).withColumn("n", _n_words(F.col("line"))).withColumn("line_key", F.xxhash64("line"))
+    apart = apart.where(F.col("line").rlike(r"[^ \t\x0B\f\r]") if short else enough)
+    return apart.withColumns({"n": _n_words(F.col("line")), "line_key": F.xxhash64("line"), "enough": enough if short else F.lit(True)})
+
+
+def keyed_lines(docs: DataFrame, least_words: int, fold: bool, short: bool) -> DataFrame:
+    """lines() without the lines themselves, written once as a table, so that texts are split once for all that needs only their keys."""
+    return stored(lines(docs, least_words, fold, short).drop("line"), "line-keys")
 
 
 def _halves(n: Column) -> Column:
@@ -122,12 +133,14 @@ def _variants(texts: DataFrame) -> DataFrame:
 
 
 def near_lines(texts: DataFrame) -> DataFrame:
-    """line_key, n and the earliest line one word apart, for lines that have an earlier one."""
+    """line_key, n and the earliest line one word apart, for lines that have one, be it earlier or not."""
     each = _variants(texts)
     # the earliest for each key, of whole lines and of lines cut short apart: two lines cut to the same may not be near, and must not hide one that is
     entry = F.struct("first", "line_key", "n")
     met = each.groupBy("key").agg(F.min(F.when(~F.col("whole"), entry)).alias("cut_first"), F.min(F.when(F.col("whole"), entry)).alias("all_first"), F.min("line_key").alias("a"), F.max("line_key").alias("b")).where("a <> b").drop("a", "b")
-    found = each.join(met, "key").select("line_key", "n", "first", F.explode(F.array_compact(F.array("cut_first", "all_first"))).alias("o")).where("o.first < first")
+    # a line's own place does not move with its variants; that it is asked for here keeps the windows' shuffle the one of `met`
+    own = each.where("first is not null").select("key", "line_key", "n")
+    found = own.join(met, "key").select("line_key", "n", F.explode(F.array_compact(F.array("cut_first", "all_first"))).alias("o")).where("o.line_key <> line_key or o.n <> n")
     pairs = found.select("line_key", "n", F.col("o.line_key").alias("o_key"), F.col("o.n").alias("o_n"), F.col("o.first").alias("near_first")).distinct()
     a = texts.select("line_key", "n", F.col("line").alias("a"))
     b = texts.select(F.col("line_key").alias("o_key"), F.col("n").alias("o_n"), F.col("line").alias("b"))
@@ -145,29 +158,32 @@ def one_word_apart(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
-def removed_lines(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8, fold: bool = False) -> DataFrame:
-    """doc_id, row and line_no of every line that an equal or near earlier line makes superfluous; rows of the same id and text are one."""
-    seen = lines(docs, least_words, fold).select("doc_id", "row", "line_no", "line_key", "n")
+def removed_lines(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8, fold: bool = False, seen: DataFrame | None = None) -> DataFrame:
+    """doc_id, row and line_no of every line that an equal or near earlier line makes superfluous; rows of the same id and text are one.
+
+    seen: the keyed lines of docs, where they are there already.
+    """
+    seen = (keyed_lines(docs, least_words, fold, False) if seen is None else seen).where("enough").drop("enough")
     spot = F.struct("doc_id", "row", "line_no")
     twice = seen.groupBy("line_key", "n").agg(F.min(spot).alias("first"), F.count("*").alias("times")).where("times > 1").select("line_key", "n", "first")
     near = near_lines(materialize(_candidates(docs, least_words, fuzzy_words, fold)))
     # only lines that stand more than once or have an earlier near line concern any occurrence
     kept = twice.join(near, ["line_key", "n"], "full").select("line_key", "n", F.least("first", "near_first").alias("keep"))
+    # a near line that stands later than the line itself changes nothing
     return seen.join(materialize(kept), ["line_key", "n"]).where("keep < struct(doc_id, row, line_no)").select("doc_id", "row", "line_no")
 
 
-def emptied(docs: DataFrame, gone: DataFrame, least_words: int = 3, fold: bool = False) -> DataFrame:
-    """_id and _row of the rows of `gone` that lose every line with enough words, and whose shorter lines all stand earlier too."""
-    parts = F.split(folded(F.col("text")) if fold else F.col("text"), "\n")
-    n = F.size(F.filter(parts, lambda x: _enough(F.trim(x) if fold else x, least_words, fold)))
-    held = docs.select(_id().alias("_id"), _row().alias("_row"), n.alias("_n")).distinct()
+def emptied(seen: DataFrame, gone: DataFrame) -> DataFrame:
+    """_id and _row of the rows of `gone` that lose every line with enough words, and whose shorter lines all stand earlier too; seen has all lines that are not blank."""
+    own = seen.withColumns({"_id": _id(), "_row": F.col("row")})
+    # rows of the same id and text count once
+    held = own.where("enough").groupBy("_id", "_row").agg(F.countDistinct("line_no").alias("_n"))
     stripped = materialize(held.join(gone.select("_id", "_row", F.size("_gone").alias("_lost")), ["_id", "_row"]).where("_n = _lost").select("_id", "_row"))
-    rest = lines(docs, least_words, fold, short=True).select("doc_id", "row", "line_no", "line_key")
     spot = F.struct("doc_id", "row", "line_no")
-    firsts = rest.groupBy("line_key").agg(F.min(spot).alias("first"))
-    own = rest.withColumn("_id", _id()).withColumn("_row", F.col("row")).join(stripped, ["_id", "_row"], "left_semi")
+    firsts = seen.where("not enough").groupBy("line_key").agg(F.min(spot).alias("first"))
     # a short line that stands nowhere earlier keeps its row
-    held_up = own.join(firsts, "line_key").where(F.col("first").eqNullSafe(spot)).select("_id", "_row").distinct()
+    rest = own.where("not enough").join(stripped, ["_id", "_row"], "left_semi")
+    held_up = rest.join(firsts, "line_key").where(F.col("first").eqNullSafe(spot)).select("_id", "_row").distinct()
     return stripped.join(held_up, ["_id", "_row"], "left_anti")
 
 
@@ -177,10 +193,11 @@ def dedup(docs: DataFrame, least_words: int = 3, fuzzy_words: int = 8, fold: boo
     With drop_copies, a row goes that loses lines and of which no line is left but blank
     ones and lines too short to be removed that stand earlier as well.
     """
-    gone = removed_lines(docs, least_words, fuzzy_words, fold).groupBy(_id().alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
+    seen = keyed_lines(docs, least_words, fold, drop_copies)
+    gone = removed_lines(docs, least_words, fuzzy_words, fold, seen).groupBy(_id().alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
     if drop_copies:
         gone = materialize(gone)
-        gone = gone.join(emptied(docs, gone, least_words, fold).withColumn("_empty", F.lit(True)), ["_id", "_row"], "left")
+        gone = gone.join(emptied(seen, gone).withColumn("_empty", F.lit(True)), ["_id", "_row"], "left")
     own = docs.drop("n_lines", "n_lines_removed")
     # of rows with the same id and text the first counts; the window is dealt out and sorted as the join is
     ordered = [f"`{c}`" for c, kind in own.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "array", "struct", "variant"))]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, contamination, fm_dedup, line_dedup, ngram_join, quality, suffix_dedup, token_files, url_filters
-from .tables import table
+from .tables import shared_folder, table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_files.shared_folder(spark, "token-files")
+    path = shared_folder(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, bpe.vocabulary_path(spark, "byte_bpe_50k.json"))
     return token_files.read(spark, path).drop("token_ids")
 

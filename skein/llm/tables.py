@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,18 +13,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _checkpoint_base(spark: SparkSession) -> str:
+    """The session's checkpoint folder; where none is set (tests on one machine) a temporary one, set once for both uses."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="skein-checkpoint-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that lost executors lose nothing.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests
-    on one machine) does a temporary folder stand in.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-checkpoint-"))
+    """df, computed once and kept in the shared checkpoint folder, so that lost executors lose nothing."""
+    _checkpoint_base(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all machines see, beside the checkpoints."""
+    return f"{_checkpoint_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: smaller than a checkpoint where columns repeat."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_size(df: DataFrame, *columns: str) -> int:
     """Bytes of the columns over all rows."""
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0))

@@ -15,8 +15,6 @@ gives no shard and no rows; extra columns are not read.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -249,9 +247,3 @@ def read_document(shard: dict, k: int) -> np.ndarray:
     at = shard["doc_symbols"]
     sizes = np.frombuffer(shard["expanded"], "<u4").astype(np.int64)
     return expand(symbols[at[k] : at[k + 1] if k + 1 < len(at) else len(symbols)], rules, shard["first_rule"], sizes)
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all machines see: beside the checkpoints, or a temporary one where none are set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
