@@ -2,7 +2,8 @@
 
 Documents are range-partitioned by id. A task encodes its documents, cuts their ids
 into shards of bounded size at document ends, and replaces frequent pairs of ids by
-nonterminals, round after round, never across a document's end. A shard's row holds
+nonterminals, round after round, never across a document's end, until no pair is
+frequent or the symbols are used up. A shard's row holds
 the rules, the length to which each rule expands, the shortened sequence, and for
 each document where its symbols begin and how many ids they stand for; so one
 document is read by expanding its own symbols alone.
@@ -27,11 +28,20 @@ from .arrays import BLOCK_BYTES, spread, text_bytes
 from .pieces import PieceCache, piece_bounds
 from .tables import partitions_for, text_size
 
-#: Symbols are 16-bit: a shard has as many nonterminals as the vocabulary leaves room for.
-SYMBOLS = 1 << 16
+#: A pair is frequent if a shard has it so many times: a rule takes 8 bytes, and a replaced pair saves 2.
+#: With a vocabulary of 50,000 the symbols, not this bound, end the rounds of a full shard;
+#: symbols of 32 bits would go on, to fewer symbols that take more bytes.
+FREQUENT = 32
 #: Ids of a shard; a longer document has a shard of its own.
 SHARD_IDS = 1 << 22
 _CELL_BITS = 20
+#: Shards whose ids one task sums up.
+_SHARDS = 4096
+
+
+def symbol_bits(first_rule: int) -> int:
+    """16 where the vocabulary leaves some thousands of symbols for nonterminals, else 32."""
+    return 16 if first_rule <= (1 << 16) - (1 << 12) else 32
 
 SHARD_SCHEMA = "part int, shard int, first_rule int, rules binary, expanded binary, symbols binary, doc_ids array<bigint>, doc_symbols array<bigint>, doc_ids_count array<bigint>"
 
@@ -80,69 +90,82 @@ def coder(path: str) -> ByteBpe:
 
 
 def _cell(pair: np.ndarray) -> np.ndarray:
+    if pair.dtype == np.uint64:
+        return (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CELL_BITS)
     return (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - _CELL_BITS)
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 32, rounds: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols), the shortened sequence, and where each document ends in it.
 
-    ends: where each document ends in ids. A round counts all neighbouring pairs that
-    lie within a document, takes those found `least` times or more, most frequent
-    first as far as symbols are left, and replaces every place whose pair is more
-    frequent than the pairs overlapping it.
+    ends: where each document ends in ids. A round counts neighbouring pairs that lie
+    within a document, takes those found `least` times or more, most frequent first as
+    far as symbols are left, and replaces every place whose pair is more frequent than
+    the pairs overlapping it. Only places whose pair was frequent before, or that stand
+    beside a new symbol, are counted again: all others have become rarer if anything.
     """
-    # a symbol has 16 bits and a pair 32
-    seq, bounds = ids.astype(np.uint32), ends.astype(np.int64)
-    rules, names = [], first_rule
-    for _ in range(rounds):
-        if len(seq) < 2 or names >= SYMBOLS:
-            break
-        pair = seq[:-1] << 16 | seq[1:]
-        inner = np.ones(len(pair), bool)
-        inner[bounds[(bounds > 0) & (bounds < len(seq))] - 1] = False
+    bits = symbol_bits(first_rule)
+    # a symbol takes half of a pair
+    seq, bounds = ids.astype(np.uint32 if bits == 16 else np.uint64), ends.astype(np.int64)
+    rules, names, live = [], first_rule, None
+    while len(seq) > 1 and names < 1 << bits:
+        half = seq.dtype.type(bits)
+        if live is None:
+            pair = seq[:-1] << half | seq[1:]
+            live = np.arange(len(pair))
+            apart = bounds[(bounds > 0) & (bounds < len(seq))] - 1
+        else:
+            pair, apart = seq[live] << half | seq[live + 1], live[:0]
         cell = _cell(pair)
-        heavy = (np.bincount(cell, minlength=1 << _CELL_BITS) >= least)[cell] & inner
-        ranked = np.sort(pair[heavy])
-        if not len(ranked):
-            break
-        begin = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        heavy = (np.bincount(cell, minlength=1 << _CELL_BITS) >= least)[cell]
+        heavy[apart] = False
+        live, pair, cell = live[heavy], pair[heavy], cell[heavy]
+        ranked = np.sort(pair)
+        begin = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
         kinds, count = ranked[begin], np.diff(np.r_[begin, len(ranked)])
         kinds, count = kinds[count >= least], count[count >= least]
-        order = np.argsort(-count, kind="stable")[: SYMBOLS - names]
-        if not len(order):
+        if not len(kinds):
             break
         # rarest first, so that of pairs with one cell the most frequent has it; the others wait for the next round
-        chosen = kinds[order[::-1]]
+        chosen = kinds[np.argsort(-count, kind="stable")[: (1 << bits) - names][::-1]]
         own = _cell(chosen)
-        kind_at, weight_at = np.zeros(1 << _CELL_BITS, np.uint32), np.zeros(1 << _CELL_BITS, np.int32)
+        kind_at, weight_at = np.zeros(1 << _CELL_BITS, seq.dtype), np.zeros(1 << _CELL_BITS, np.int32)
         kind_at[own], weight_at[own] = chosen, np.arange(1, len(chosen) + 1)
-        weight = np.zeros(len(pair) + 2, np.int32)
-        weight[1:-1] = np.where(inner & (kind_at[cell] == pair), weight_at[cell], 0)
-        here = weight[1:-1]
+        here = np.where(kind_at[cell] == pair, weight_at[cell], 0)
+        weight = np.zeros(len(seq) + 2, np.int32)
+        weight[live + 1] = here
         # of two overlapping places the more frequent pair goes first; of equals, as in a run of one id, the left one
-        take = np.flatnonzero((here > 0) & (here > weight[:-2]) & (here >= weight[2:]))
-        if not len(take):
-            break
-        present = np.bincount(here[take], minlength=len(chosen) + 1) > 0
-        used, slot = np.flatnonzero(present), (np.cumsum(present) - 1)[here[take]]
+        won = (here > 0) & (here > weight[live]) & (here >= weight[live + 2])
+        take = live[won]
+        present = np.bincount(here[won], minlength=len(chosen) + 1) > 0
+        used, slot = np.flatnonzero(present), (np.cumsum(present) - 1)[here[won]]
         rules.append(chosen[used - 1])
-        seq = seq.copy()
         seq[take] = names + slot
         stays = np.ones(len(seq), bool)
         stays[take + 1] = False
+        again = live[~won]
+        again = again[stays[again]]
+        again -= np.searchsorted(take + 1, again)
         bounds = bounds - np.searchsorted(take + 1, bounds)
         seq = seq[stays]
         names += len(used)
-    flat = np.concatenate(rules) if rules else np.zeros(0, np.uint32)
-    return np.stack([flat >> 16, flat & 0xFFFF], 1), seq, bounds
+        # the new symbols' places, after what stood before them has gone
+        fresh = take - np.arange(len(take))
+        open_ = np.zeros(len(seq), bool)
+        open_[again] = open_[fresh] = open_[np.maximum(fresh - 1, 0)] = True
+        # the last place of a document has no neighbour
+        open_[bounds[bounds > 0] - 1] = open_[-1:] = False
+        live = np.flatnonzero(open_)
+    flat = np.concatenate(rules) if rules else np.zeros(0, seq.dtype)
+    return np.stack([flat >> flat.dtype.type(bits), flat & flat.dtype.type((1 << bits) - 1)], 1), seq, bounds
 
 
 def expanded_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
     """To how many ids each rule expands; a rule names only ids and earlier rules."""
-    sizes = np.ones(SYMBOLS, np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        sizes[first_rule + i] = sizes[a] + sizes[b]
-    return sizes[first_rule : first_rule + len(rules)]
+    sizes: list[int] = []
+    for a, b in rules.tolist():
+        sizes.append((1 if a < first_rule else sizes[a - first_rule]) + (1 if b < first_rule else sizes[b - first_rule]))
+    return np.array(sizes, np.int64)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int, sizes: np.ndarray) -> np.ndarray:
@@ -163,10 +186,15 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int, sizes: np.nd
     return table[spread(start[symbols], size[symbols])]
 
 
+def _kind(first_rule: int) -> str:
+    return "<u2" if symbol_bits(first_rule) == 16 else "<u4"
+
+
 def _shard(part: int, shard: int, ids: list[np.ndarray], sizes: list[np.ndarray], docs: list[int | None], first_rule: int) -> list:
     flat, counts = np.concatenate(ids), np.concatenate(sizes)
     rules, seq, bounds = repair(flat, np.cumsum(counts), first_rule)
-    return [part, shard, first_rule, rules.astype("<u2").tobytes(), expanded_lengths(rules, first_rule).astype("<u4").tobytes(), seq.astype("<u2").tobytes(), docs, np.r_[0, bounds[:-1]].tolist(), counts.tolist()]
+    kind = _kind(first_rule)
+    return [part, shard, first_rule, rules.astype(kind).tobytes(), expanded_lengths(rules, first_rule).astype("<u4").tobytes(), seq.astype(kind).tobytes(), docs, np.r_[0, bounds[:-1]].tolist(), counts.tolist()]
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, part_bytes: int = 16 << 20) -> None:
@@ -213,15 +241,18 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, part_byt
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and token_ids of every document in the files."""
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    # one row a shard: the only thing that is summed in one place
-    totals = shards.select("part", "shard", F.aggregate("doc_ids_count", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    starts = totals.select("part", "shard", (F.sum("n").over(Window.orderBy("part", "shard")) - F.col("n")).alias("shard_start"))
+    # one row a shard; within runs of parts the sums are taken apart, and only the runs' own sums are added up in one place
+    totals = shards.select("part", "shard", F.aggregate("doc_ids_count", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).withColumn("run", F.floor(F.col("part") / _SHARDS))
+    runs = totals.groupBy("run").agg(F.sum("n").alias("all")).select("run", (F.sum("all").over(Window.orderBy("run")) - F.col("all")).alias("run_start"))
+    inside = totals.withColumn("inside", F.sum("n").over(Window.partitionBy("run").orderBy("part", "shard")) - F.col("n"))
+    starts = inside.join(F.broadcast(runs), "run").select("part", "shard", (F.col("run_start") + F.col("inside")).alias("shard_start"))  # a row for each 4096 parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                rules = np.frombuffer(row["rules"], "<u2").reshape(-1, 2).astype(np.int64)
-                ids = expand(np.frombuffer(row["symbols"], "<u2"), rules, row["first_rule"], np.frombuffer(row["expanded"], "<u4").astype(np.int64)).astype("<u4", copy=False)
+                kind = _kind(row["first_rule"])
+                rules = np.frombuffer(row["rules"], kind).reshape(-1, 2).astype(np.int64)
+                ids = expand(np.frombuffer(row["symbols"], kind), rules, row["first_rule"], np.frombuffer(row["expanded"], "<u4").astype(np.int64)).astype("<u4", copy=False)
                 counts = np.array(row["doc_ids_count"], np.int64)
                 to = np.cumsum(counts)
                 raw = ids.tobytes()
@@ -242,8 +273,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def read_document(shard: dict, k: int) -> np.ndarray:
     """Ids of the k-th document of one shard row, from its own symbols alone."""
-    rules = np.frombuffer(shard["rules"], "<u2").reshape(-1, 2).astype(np.int64)
-    symbols = np.frombuffer(shard["symbols"], "<u2")
+    kind = _kind(shard["first_rule"])
+    rules = np.frombuffer(shard["rules"], kind).reshape(-1, 2).astype(np.int64)
+    symbols = np.frombuffer(shard["symbols"], kind)
     at = shard["doc_symbols"]
     sizes = np.frombuffer(shard["expanded"], "<u4").astype(np.int64)
     return expand(symbols[at[k] : at[k + 1] if k + 1 < len(at) else len(symbols)], rules, shard["first_rule"], sizes)
