@@ -6,8 +6,8 @@ the pages make weighted edges between hosts. Trust starts at hosts in proportion
 their pages that a rule allows and follows the links; distrust starts at hosts in
 proportion to their pages that a rule blocks and follows the links backwards, for a
 host that links to bad ones is suspect. Both are personalised PageRanks, with one
-page's mass the same in either. A host is
-blocked where its distrust exceeds `ratio` times its trust.
+page's mass the same in either. Rounds go on until what still moves is below a tolerance. A host is blocked where its distrust exceeds `ratio` times its trust. In the
+graph, though not in the result, a host stands without a user part and a port.
 
 Edge cases: a url that is null or has no "://" has an empty host and path, fits no
 rule and is allowed unless its (empty) host is distrusted, which cannot be; a page
@@ -26,8 +26,12 @@ from .tables import materialize
 
 #: (host, path, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: Share of a host's mass that follows its links, rounds, and how many times the trust the distrust of an allowed host may be.
-DAMPING, ROUNDS, RATIO = 0.85, 8, 2.0
+#: Share of a host's mass that follows its links, and how many times the trust the distrust of an allowed host may be.
+DAMPING, RATIO = 0.85, 2.0
+#: Of the whole mass, which is 1 at most, how much may still move when the rounds end; after ROUNDS no more can.
+TOLERANCE, ROUNDS = 1e-6, 88
+#: Rounds between two looks at what still moves, where lineage is cut.
+_LOOK = 8
 _UPPER = "".join(map(chr, range(65, 91)))
 
 
@@ -39,6 +43,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), _UPPER, _UPPER.lower()), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
+def bare_host(host: Column) -> Column:
+    """A host as the graph names it: without a user part and a port."""
+    return F.regexp_replace(host, r"^[^@]*@|:\d+$", "")
+
+
 def with_rule(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """pages with host, path, and the longest rule that fits and its verdict, else nulls."""
     host, path = host_and_path(F.col("url"))
@@ -52,25 +61,33 @@ def with_rule(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> Da
 def host_links(pages: DataFrame) -> DataFrame:
     """src, dst and n: how many links lead from one host to another."""
     links = F.regexp_extract_all("html", F.lit(r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""), F.lit(1))
-    apart = pages.select(F.col("host").alias("src"), F.explode(links).alias("raw"))
-    dst = F.translate(F.regexp_replace("raw", r"^[^@]*@|:\d+$", ""), _UPPER, _UPPER.lower())
+    apart = pages.select(bare_host(F.col("host")).alias("src"), F.explode(links).alias("raw"))
+    dst = F.translate(bare_host(F.col("raw")), _UPPER, _UPPER.lower())
     return apart.select("src", dst.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank: (host, mass) from (host, seed) over (src, dst, n). Mass of hosts without links ends there."""
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Personalised PageRank: (host, mass) from (host, seed) over (src, dst, n). Mass of hosts without links ends there.
+
+    Every round adds to the masses of the one before, so that what all together have
+    gained since the last look tells whether anything still moves.
+    """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     steps = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
-    start = seeds.select("host", F.col("seed").alias("mass"))
-    if steps.isEmpty():
-        return start.select("host", (F.col("mass") * (1 - damping)).alias("mass"))
     base = seeds.select("host", (F.col("seed") * (1 - damping)).alias("mass"))
-    now = base
-    for k in range(rounds):
+    if steps.isEmpty():
+        return base
+    whole = lambda df: df.agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("m")).first()["m"]
+    base = materialize(base)
+    now, mass = base, whole(base)
+    for k in range(ROUNDS):
         moved = steps.join(now, steps["src"] == now["host"]).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
         now = base.unionByName(moved).groupBy("host").agg(F.sum("mass").alias("mass"))
-        if k % 4 == 3:
+        if k % _LOOK == _LOOK - 1:
             now = materialize(now)
+            before, mass = mass, whole(now)
+            if mass - before <= tolerance:
+                break
     return now
 
 
@@ -89,10 +106,10 @@ def host_scores(judged: DataFrame, links: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, ratio: float = RATIO) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page."""
     own = with_rule(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), rules)
-    light = own.drop("html", "url")
+    light = own.drop("html", "url").withColumn("node", bare_host(F.col("host")))
     # one aggregate of all pages' hosts and links: the hot host is summed before anything is joined
-    scores = host_scores(light, materialize(host_links(own)))
-    bad = scores.where(F.col("distrust") > ratio * F.col("trust")).select("host", F.lit(True).alias("bad"))
-    joined = light.join(bad, "host", "left")
+    scores = host_scores(light.select(F.col("node").alias("host"), "rule_verdict"), materialize(host_links(own)))
+    bad = scores.where(F.col("distrust") > ratio * F.col("trust")).select(F.col("host").alias("node"), F.lit(True).alias("bad"))
+    joined = light.join(bad, "node", "left")
     verdict = F.coalesce("rule_verdict", F.when(F.col("bad"), "block").otherwise("allow"))
     return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
