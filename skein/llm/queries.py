@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, fm_dedup, line_dedup, ngram_join, quality, suffix_dedup, token_files, url_filters
+from . import bpe, chat, contamination, fm_dedup, line_dedup, ngram_join, oracles, quality, suffix_dedup, token_files, url_filters
 from .tables import shared_folder, table
 
 
@@ -20,7 +20,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), joint=True).drop("n_lines")
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), joint=True).drop("n_lines").withColumn("failed", F.array_join("failed", ","))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(table(spark, sf_dir, "conversations"), chat.tool_schemas(spark, chat.TOOLS, chat.REQUIRED))
+    return chat.link(chat.from_turns(table(spark, sf_dir, "conversations")), chat.tool_schemas(spark, chat.TOOLS, chat.REQUIRED))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
