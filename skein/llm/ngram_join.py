@@ -13,9 +13,10 @@ where they are counted; unlike single frequent n-grams, a branch is seldom share
 texts that merely quote the same passage.
 
 The sets of each branch, named by its smallest set, are built into a path-compressed
-trie. A set that traverses it counts what it shares with an edge once for all sets
-below, and leaves a subtree when the shared n-grams plus what can remain fall short of
-the least overlap, or when all its sets are already in its component. First the
+trie, down to every place where two sets part. A set that traverses it counts what it
+shares with an edge once for all sets below, and leaves a subtree when the shared
+n-grams plus what can remain fall short of the least overlap, or when all its sets are
+already in its component. First the
 smallest set of each branch traverses the tries of the others, in chunks; that
 connects most copies. Where a branch still holds several components, the sets outside
 its largest one traverse all its chunks, so that no link between components is lost.
@@ -23,7 +24,9 @@ its largest one traverse all its chunks, so that no link between components is l
 Edge cases: a null, empty or blank text has an empty set and is linked with nothing;
 fewer words than n are one n-gram; documents without an id are measured, and linked
 with nothing; rows with one id count as one document each, linked if their sets are;
-an empty table gives no rows; extra columns are not read.
+an empty table gives no rows; extra columns are not read. Sets are named by 64 bits and
+compared by 48 bits of each n-gram's hash: among a billion different sets the chance
+that any two share a name is about one in forty.
 """
 
 from __future__ import annotations
@@ -44,8 +47,8 @@ _U = np.uint64
 CHUNK = 1024
 #: Text bytes whose branches one reducing task gathers.
 _BUCKET_BYTES = 16 << 20
-#: Levels on which the trie branches; below them each set's rest is an edge of its own.
-LEVELS = 4
+#: N-grams of one edge of the trie; a longer run is a chain of edges, so that its bound is looked at on the way.
+EDGE = 64
 
 
 class Jaccard:
@@ -157,24 +160,26 @@ class Trie:
         sizes = np.array([len(s) for s in ranked], np.int64)
         grams, nodes, level = [], [], [(0, len(ranked), 0, -1)]
         self.children: list[tuple[int, int]] = []
-        step = 0
         while level:
-            step, below = step + 1, []
+            below = []
             for low, high, at, parent in level:
-                cuts = list(range(low, high + 1)) if step == LEVELS else [low, *(np.flatnonzero(shared[low + 1 : high] <= at) + low + 1).tolist(), high]
+                cuts = [low, *(np.flatnonzero(shared[low + 1 : high] <= at) + low + 1).tolist(), high]
                 if parent >= 0:
                     self.children[parent] = (len(nodes), len(nodes) + len(cuts) - 1)
                 else:
                     self.roots = (0, len(cuts) - 1)
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    end = int(sizes[a]) if b - a == 1 else int(shared[a + 1 : b].min())
+                    whole = int(sizes[a]) if b - a == 1 else int(shared[a + 1 : b].min())
+                    end = min(whole, at + EDGE)
                     grams.append(ranked[a][at:end])
-                    if b - a > 1:
+                    leaf = b - a == 1 and end == whole
+                    if not leaf:
                         below.append((a, b, end, len(nodes)))
-                    nodes.append((a, b, end, int(sizes[a:b].min()), int(sizes[a:b].max())))
+                    nodes.append((a, b, end, int(sizes[a:b].min()), int(sizes[a:b].max()), leaf))
                     self.children.append((0, 0))
             level = below
-        self.low, self.high, self.depth, self.shortest, self.longest = np.array(nodes, np.int64).reshape(-1, 5).T
+        self.low, self.high, self.depth, self.shortest, self.longest, leaves = np.array(nodes, np.int64).reshape(-1, 6).T
+        self.leaf = leaves > 0
         self.at = np.r_[0, np.cumsum([len(g) for g in grams])].astype(np.int64)
         self.grams = np.concatenate([np.zeros(0, _U), *grams])
         # n-grams by number, so that a probe looks them up in a table of its own
@@ -183,13 +188,13 @@ class Trie:
         self.number, self.mark = np.searchsorted(known, self.grams), np.zeros(len(known), bool)
         self.kids = np.array(self.children, np.int64).reshape(-1, 2)
 
-    def similar(self, probe: np.ndarray, x: int, component: np.ndarray, rule: Jaccard, allowed: np.ndarray) -> np.ndarray:
-        """Sets linked with the probe, which is set x, of those allowed and of another component than its own.
+    def similar(self, probe: np.ndarray, x: int, component: np.ndarray, rule: Jaccard) -> np.ndarray:
+        """Sets linked with the probe, which is set x, and of another component than its own.
 
         A level of the trie at a time: what is left of the level before is counted,
         bounded and led on to its children together.
         """
-        open_ = np.r_[0, np.cumsum((allowed & (component != component[x]))[self.order])]
+        open_ = np.r_[0, np.cumsum((component != component[x])[self.order])]
         self.mark[self.own[x]] = True
         live, shared = np.arange(*self.roots), np.zeros(self.roots[1] - self.roots[0], np.int64)
         found = [np.zeros(0, np.int64)]
@@ -209,7 +214,7 @@ class Trie:
             rest = np.minimum(len(probe) - last, self.longest[live] - self.depth[live])
             ok = shared + rest >= need
             live, shared = live[ok], shared[ok]
-            leaf = self.high[live] - self.low[live] == 1
+            leaf = self.leaf[live]
             n = self.shortest[live[leaf]]
             linked = rule.q * shared[leaf] >= rule.p * (len(probe) + n - shared[leaf])
             found.append(self.order[self.low[live[leaf]][linked]])
@@ -221,52 +226,12 @@ class Trie:
         return np.concatenate(found)
 
 
-class Segments:
-    """How many segments of the order two sets agree in: linked ones differ in no more segments than n-grams."""
-
-    def __init__(self, sets: list[np.ndarray], rule: Jaccard) -> None:
-        n = np.array([len(s) for s in sets], np.int64)
-        self.group = rule.group(n)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
-        self.row = np.zeros((len(sets), 2), np.int64)
-        for level in np.unique(np.r_[self.group, self.group - 1]).tolist():
-            # sets of this group and of the next, the only partners of one another at this level
-            own = np.flatnonzero((self.group == level) | (self.group == level + 1))
-            if level < 0 or not (self.group[own] == level).any():
-                continue
-            d = int(rule.bound(np.array([level]))[0])
-            m = rule.segments(d)
-            kept = np.zeros((len(own), m), np.uint32)
-            for i, k in enumerate(own.tolist()):
-                segment = (((sets[k] >> _U(16)) * _U(m)) >> _U(32)).astype(np.int64)
-                total = np.r_[_U(0), np.cumsum(mix(sets[k] + _U(3)), dtype=_U)]
-                at = np.searchsorted(segment, np.arange(m + 1))
-                kept[i] = (total[at[1:]] - total[at[:-1]]) >> _U(32)
-            self.tables[level] = (own, kept, m - d)
-            self.row[own, (self.group[own] != level).astype(np.int64)] = np.arange(len(own))
-
-    def allowed(self, x: int) -> np.ndarray:
-        out = np.zeros(len(self.group), bool)
-        for step in (0, 1):
-            level = int(self.group[x]) - step
-            if level in self.tables:
-                own, kept, least = self.tables[level]
-                agree = (kept == kept[self.row[x, step]]).sum(axis=1) >= least
-                # from the group below only its own sets are new partners
-                out[own[agree]] |= True if step == 0 else self.group[own[agree]] == level
-        return out
-
-
 def trie_links(sets: list[np.ndarray], rule: Jaccard, labels: list[int], probes: list[int]) -> list[tuple[int, int]]:
     """Links from the probing sets to others, enough to connect what their links connect; sets with one label are connected."""
-    trie, near, links = Trie(sets), Segments(sets, rule), []
+    trie, links = Trie(sets), []
     _, component = np.unique(np.array(labels, np.int64), return_inverse=True)
     for x in probes:
-        allowed = near.allowed(x)
-        allowed &= component != component[x]
-        if not allowed.any():
-            continue
-        for y in trie.similar(sets[x], x, component, rule, allowed).tolist():
+        for y in trie.similar(sets[x], x, component, rule).tolist():
             if component[y] != component[x]:
                 links.append((x, y))
                 component[component == component[y]] = component[x]
@@ -429,7 +394,8 @@ def _verified(blocks_of: DataFrame, sets: DataFrame, rule: Jaccard) -> DataFrame
 def set_components(docs: DataFrame, sizes: DataFrame, n: int, rule: Jaccard) -> DataFrame:
     """name and component of every set that is linked with a different one."""
     pairs = materialize(candidates(docs, n, rule))
-    count = pairs.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    # written first, so that its join to a hot branch's sets can be split
+    count = materialize(pairs.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")))
     members = pairs.select("leader", F.col("member").alias("name")).join(count, "leader").withColumn("chunk", F.pmod(F.xxhash64("name"), F.col("chunks")))
     # each chunk of a branch has its smallest set with it
     led = count.select("leader", F.col("leader").alias("name"), "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
@@ -442,7 +408,7 @@ def set_components(docs: DataFrame, sizes: DataFrame, n: int, rule: Jaccard) ->
     named = dealt.join(label.withColumnRenamed("node", "name"), "name", "left").select("leader", "name", "chunks", "chunk", F.coalesce("component", "name").alias("label"))
     named = materialize(named)
     sums = named.dropDuplicates(["leader", "name"]).groupBy("leader", "label").agg(F.count("*").alias("n"))
-    mixed = sums.groupBy("leader").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("kinds"), F.sum("n").alias("all")).where("kinds > 1 and `all` > 2").select("leader", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / CHUNK).alias("parts"))
+    mixed = materialize(sums.groupBy("leader").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("kinds"), F.sum("n").alias("all")).where("kinds > 1 and `all` > 2").select("leader", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / CHUNK).alias("parts")))
     rows = materialize(named.join(mixed, "leader"))
     if rows.isEmpty():
         return label
