@@ -8,8 +8,10 @@ again until none of `seed` tokens is left. The marked share of the item's tokens
 its coverage; a document that covers half of an item, in whatever order, is
 contaminated.
 
-The benchmark goes to the executors in blocks of bounded size, one pass over the
-documents for each block, so that its size is no limit.
+The benchmark goes to the executors in blocks of bounded size, one at a time. Where one
+block holds it, that is one pass without a shuffle. Else each block takes a pass of its
+own, which writes what it finds for the texts that share a seed with it, and the best of
+all blocks is joined to the documents by two hashes of their text.
 
 Edge cases: a null or empty text matches nothing, nor does an item without tokens; an
 item shorter than a seed must be found whole; among items of equal coverage the
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Block, blocks, text_bytes, window_hashes, within
-from .tables import text_size
+from .tables import aside, materialize, text_size
 
 #: Tokens of the shortest tile, and the covered share of an item from which a document is contaminated.
 SEED, COVERAGE = 5, 0.5
@@ -140,39 +142,51 @@ _ADDED = ["coverage", "item_id", "n_tiled", "n_items"]
 
 def cover(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """docs with the coverage, id and tiled tokens of the item each text covers most, and how many items it covers by half."""
-    kept = [c for c in docs.columns if c not in _ADDED]
-    out = docs.select(*(F.col(f"`{c}`") for c in kept), F.lit(0.0).alias("coverage"), F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_tiled"), F.lit(0).cast("long").alias("n_items"))
+    own = docs.drop(*_ADDED)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
     n = max(1, -(-text_size(items, "text") // block))
+    context = docs.sparkSession.sparkContext
+    if n == 1:
+        return _pass(own, context.broadcast(Seeds([tuple(r) for r in items.collect()], seed)), True)
+    keyed, names = aside(own, "text")
+    keyed = keyed.withColumns({"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit(1), "text")})
+    texts, found = keyed.select("_a", "_b", "text"), None
     for part in range(n):
-        # one block of the benchmark at a time comes to the driver and goes out to the executors
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part) if n > 1 else items
-        seeds = docs.sparkSession.sparkContext.broadcast(Seeds([tuple(r) for r in mine.collect()], seed))
-        out = _pass(out, kept, seeds)
-    return out
-
-
-def _pass(docs: DataFrame, kept: list[str], seeds) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    lowered = docs.withColumn("_lowered", F.lower("text"))
+        # one block of the benchmark comes to the driver and goes out to the executors, and is gone when its finds are written
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part)
+        seeds = context.broadcast(Seeds([tuple(r) for r in mine.collect()], seed))
+        hits = materialize(_pass(texts, seeds, False).drop("text").dropDuplicates(["_a", "_b"]))
+        seeds.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    best = F.max(F.struct("coverage", (-F.col("item_id")).alias("rank"), "n_tiled"))
+    # written first, so that the join of a text with very many copies can be split
+    most = materialize(found.groupBy("_a", "_b").agg(best.alias("best"), F.sum("n_items").alias("n_items")))
+    joined = keyed.join(most, ["_a", "_b"], "left")
+    values = {"coverage": F.coalesce("best.coverage", F.lit(0.0)), "item_id": -F.col("best.rank"), "n_tiled": F.coalesce("best.n_tiled", F.lit(0)), "n_items": F.coalesce("n_items", F.lit(0))}
+    return joined.select(*(F.col(n).alias(c) for c, n in names.items()), *(v.alias(k) for k, v in values.items()))
+
+
+def _pass(docs: DataFrame, seeds, whole: bool) -> DataFrame:
+    """docs with what their texts cover of one block's items; without whole only the rows that share a seed with it."""
     names = docs.columns
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "coverage double, item_id long, n_tiled long, n_items long"])
+    fresh = "_".join(["lowered", *names])
+    lowered = docs.select(*(F.col(f"`{c}`") for c in names), F.lower("text").alias(fresh))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = seeds.value
         for batch in batches:
             for block in blocks(batch.column(len(names))):
-                part = batch.slice(block.first, len(block))
                 best = _best(block, own)
-                cols = [part.column(i) for i in range(len(names))]
-                if best:
-                    old = [part.column(names.index(c)).to_pylist() for c in _ADDED]
-                    for r, (share, item, tokens, items) in best.items():
-                        old[3][r] += items
-                        if (share, -item) > (old[0][r], -(old[1][r] if old[1][r] is not None else 1 << 62)):
-                            old[0][r], old[1][r], old[2][r] = share, item, tokens
-                    for c, values, kind in zip(_ADDED, old, (pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True):
-                        cols[names.index(c)] = pa.array(values, kind)
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                part = batch.slice(block.first, len(block)).select(list(range(len(names))))
+                rows = list(range(len(block)) if whole else sorted(best))
+                if not rows:
+                    continue
+                part = part if whole else part.take(pa.array(rows, pa.int32()))
+                none = (0.0, None, 0, 0)
+                found = zip(*(best.get(r, none) for r in rows), strict=True)
+                added = [pa.array(v, kind) for v, kind in zip(found, (pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*names, *_ADDED])
 
     return lowered.mapInArrow(run, schema)
 

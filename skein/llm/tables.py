@@ -54,3 +54,9 @@ def partitions_for(spark: SparkSession, size: int, each: int) -> int:
 def bare(df: DataFrame, **columns: Column | str) -> DataFrame:
     """The named columns alone, so that clashing or odd extra columns of the input do no harm."""
     return df.select(*(F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in columns.items()))
+
+
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but the used ones under names that clash with nothing, and by what name each column is found."""
+    names = {c: c if c in used else f"_given_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
