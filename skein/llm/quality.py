@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Block, blocks, byte_codes, row_of, span_hashes, sums_by_row, window_hashes, within
-from .tables import materialize
+from .tables import aside, materialize
 
 #: Share of good documents that all rules of a stratum together may reject, and the risk that the share is exceeded.
 FALSE_REJECTIONS, RISK = 0.01, 0.05
@@ -180,4 +180,5 @@ def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", joint: bool
     """The rows of docs, whole, that no rule rejects; the cutoffs are certified on docs themselves."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias(stratum), F.col("text"))
     certified = materialize(cutoffs(materialize(measure(plain)), labels, stratum, joint=joint))
-    return _verdicts(measure(docs, whole=True), certified, stratum).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns if c not in COUNTS))
+    own, names = aside(docs, "doc_id", "text", stratum)
+    return _verdicts(measure(own, whole=True), certified, stratum).where("kept").select(*(F.col(n).alias(c) for c, n in names.items()))
