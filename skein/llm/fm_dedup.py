@@ -54,16 +54,20 @@ class WaveletTree:
 
 
 class FmIndex:
-    """Backward search over texts of symbols 1..sigma, each closed by 0."""
+    """Backward search over texts of symbols 1..sigma, each closed by 0.
+
+    Of the suffix array only which text each suffix belongs to is kept, beside the tree.
+    """
 
     def __init__(self, text: np.ndarray, owner: np.ndarray, close: np.ndarray) -> None:
-        self.order = suffix_array(text, owner, close)
-        before = text[self.order - 1]
-        before[self.order == 0] = 0
+        order = suffix_array(text, owner, close)
+        self.owner = owner[order].astype(np.int32)
+        before = text[order - 1]
+        before[order == 0] = 0
         bits = max(1, int(text.max(initial=0)).bit_length())
         self.tree = WaveletTree(before, bits)
         sigma = np.arange(1 << bits)
-        self.start = np.searchsorted(text[self.order], sigma)
+        self.start = np.searchsorted(text[order], sigma)
         self.zero = self.tree.rank(sigma, np.zeros(1 << bits, np.int64))
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +105,7 @@ def earliest(symbols: np.ndarray, offsets: np.ndarray, doc: np.ndarray, length:
         own, back = np.unique(low, return_inverse=True)
         top = np.zeros(len(own), np.int64)
         top[back] = high
-        held = doc[owner[index.order]]
+        held = doc[index.owner]
         cuts = np.stack([own, top], 1).ravel()
         least = np.minimum.reduceat(np.r_[held, np.iinfo(np.int64).max], cuts)[::2]
         out[live] = least[back]
