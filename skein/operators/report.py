@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, materialize
 from ..plans.views import DEFAULT, run_view
 
 
+#: Of each part's counts the report shows so many, most frequent first, and says how many more there are.
+MOST = 200
+
+
 def counts(graph: Graph) -> DataFrame:
     """part, key and n: nodes by service and label, edges by type, both by confidence."""
     one = lambda df, column, part: df.groupBy(F.coalesce(F.col(column), F.lit("")).alias("key")).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "key", "n")
@@ -29,10 +33,15 @@ def edge_list(graph: Graph) -> DataFrame:
 
 def render(graph: Graph, views: dict[str, dict] | None = None) -> str:
     """The report; a view that fails is named in it instead of ending it."""
-    rows = counts(graph).orderBy("part", F.desc("n"), "key").limit(1000).collect()  # services and labels, not nodes
+    own = materialize(counts(graph))
+    kinds = {r["part"]: r["kinds"] for r in own.groupBy("part").agg(F.count("*").alias("kinds")).collect()}
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "key"))
+    rows = own.withColumn("place", place).where(F.col("place") <= MOST).orderBy("part", "place").collect()
     lines = ["# Graph report", ""]
     for part in ("service", "label", "type", "confidence"):
-        lines += [f"## By {part}", "", *(f"- {r['key']}: {r['n']}" for r in rows if r["part"] == part), ""]
+        shown = [f"- {r['key']}: {r['n']}" for r in rows if r["part"] == part]
+        more = [f"- and {kinds[part] - MOST} more"] if kinds.get(part, 0) > MOST else []
+        lines += [f"## By {part}", "", *shown, *more, ""]
     cross = graph.edges.where("cross_repo").count()
     lines += [f"Cross-service edges: {cross}", "", "## Views", ""]
     for name, view in (DEFAULT if views is None else views).items():
