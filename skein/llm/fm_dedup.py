@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import blocks, spread, sums_by_row
-from .repeats import Shard, Unit, covered, marked_runs, marks, with_marks
+from .repeats import Marks, Shard, Unit, covered, marked_runs, marks, with_marks
 from .suffixes import joined, suffix_array, windows
 
 
@@ -113,17 +113,15 @@ def earliest(symbols: np.ndarray, offsets: np.ndarray, doc: np.ndarray, length:
 
 
 def _engine(length: int):
-    def engine(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = len(shard.offsets) - 1
-        doc = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(doc, shard.segment, shard.x)
-        least, first = earliest(shard.symbols, shard.offsets, doc, length)
-        counts = np.diff(first)[shard.segment]
-        place = np.repeat(np.arange(len(shard.segment)), counts)
-        window = spread(first[shard.segment], counts)
-        a, b = marked_runs(least[window] < shard.x[place], place)
-        base = first[shard.segment[place[a]]]
-        return place[a], window[a] - base, window[b - 1] + 1 - base
+    def engine(shard: Shard) -> Marks:
+        least, first = earliest(shard.symbols, shard.offsets, shard.least, length)
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        # windows that some place of the segment has from an earlier document, in runs with one earliest document
+        flags = least < shard.most[owner]
+        group = np.cumsum(np.r_[False, (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])]) if len(owner) else owner
+        a, b = marked_runs(flags, group)
+        segment = owner[a]
+        return Marks(segment, a - first[segment], b - first[segment], least[a])
 
     return engine
 

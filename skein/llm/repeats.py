@@ -7,8 +7,11 @@ minimiser is found once in the corpus is not repeated. Which ones are found agai
 kept in a bitmap of fixed size (other minimisers may share a bit; that costs work, not
 correctness). Then each run of windows with one repeated minimiser becomes a segment
 and goes to the shard of its minimiser, where all equal windows meet. Equal segments
-of a task travel once, with the places they stand at. A shard's engine tells which
-windows are repeated; what it marks comes back to the documents by a join.
+of a task travel once, with how often and from which to which row they stand. A
+shard's engine tells which windows are repeated. The places of a segment never meet in
+one task: they are joined to what the engine marks in the segment, and a segment that
+stands in very many places is a skewed key of that join, which adaptive execution splits.
+Segments are named by 64 bits, and equal names taken for equal segments.
 """
 
 from __future__ import annotations
@@ -127,75 +130,93 @@ def repeated_minimisers(docs: DataFrame, unit: Unit, size: int) -> np.ndarray:
 
 
 class Shard(NamedTuple):
-    """Distinct segments of a shard, and the places where they stand."""
+    """Distinct segments of a shard: their symbols, how often each stands in the corpus, and its smallest and greatest x."""
 
     symbols: np.ndarray
     offsets: np.ndarray
+    copies: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+
+
+class Marks(NamedTuple):
+    """Runs of windows: the segment, the first window and the one after the last, and the x that places must exceed (None: all places)."""
+
     segment: np.ndarray
-    x: np.ndarray
-    y: np.ndarray
-    start: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+    above: np.ndarray | None
+
+
+class Hits(NamedTuple):
+    """Segments of a block whose minimiser may be repeated: first symbol and end, minimiser, row, place in the row, and name."""
 
+    begin: np.ndarray
+    end: np.ndarray
+    seed: np.ndarray
+    row: np.ndarray
+    start: np.ndarray
+    names: np.ndarray
 
-_PARTS = ("payload", "sizes", "names", "segment", "x", "y", "start")
 
+_PARTS = ("payload", "sizes", "names", "copies", "least", "most")
 
-def marks(docs: DataFrame, unit: Unit, engine: Callable[[Shard], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """x, y, begin and end of the symbols that the engine marks; docs has the columns x, y (longs that name the row) and text.
 
-    The engine gives, for each run of marked windows, the place (an index into
-    segment, x, y and start), the first window in the segment and the one after the last.
-    """
+def marks(docs: DataFrame, unit: Unit, engine: Callable[[Shard], Marks]) -> DataFrame:
+    """x, y, begin and end of the symbols that the engine marks; docs has the columns x, y (longs that name the row) and text."""
     spark = docs.sparkSession
     size = text_size(docs, "text")
     bitmap: Broadcast = spark.sparkContext.broadcast(repeated_minimisers(docs, unit, size))
     shards = partitions_for(spark, size, unit.shard_bytes)
+    own = docs.select("x", "y", "text")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hits(codes: np.ndarray, offsets: np.ndarray) -> Hits | None:
         bits = bitmap.value
+        begin, end, seed = runs(codes, offsets, unit)
+        bit = seed >> _U(64 - BITS)
+        hit = np.flatnonzero((bits[(bit >> _U(3)).astype(np.int64)] >> (_U(7) - (bit & _U(7))).astype(np.uint8)) & 1)
+        if not len(hit):
+            return None
+        begin, end = begin[hit], end[hit]
+        row = np.searchsorted(offsets, begin, "right") - 1
+        names = span_hashes(codes, begin, end, _words_pow if unit.words else _bytes_pow)
+        return Hits(begin, end, seed[hit], row, begin - offsets[row], names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         weight = 0
 
         def flush() -> pa.RecordBatch:
-            payload, sizes, names, shard, x, y, start = (np.concatenate([h[i] for h in held]) for i in range(7))
+            payload, sizes, names, shard, x = (np.concatenate([h[i] for h in held]) for i in range(5))
             _, first, kind = np.unique(names, return_index=True, return_inverse=True)
+            copies = np.bincount(kind)
+            least, most = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
+            np.minimum.at(least, kind, x)
+            np.maximum.at(most, kind, x)
             begin = np.cumsum(sizes) - sizes
-            place_shard = shard
             order = np.argsort(shard[first], kind="stable")
             used, cuts = np.unique(shard[first][order], return_index=True)
-            places = np.argsort(place_shard, kind="stable")
-            lows = np.searchsorted(place_shard[places], used, "left")
-            highs = np.searchsorted(place_shard[places], used, "right")
-            local = np.empty(len(first), np.int64)
             rows: dict[str, list] = {p: [] for p in ("shard", *_PARTS)}
             symbols = payload.reshape(-1, unit.width)
-            for s, a, b, lo, hi in zip(used.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(order)], lows.tolist(), highs.tolist(), strict=True):
-                own = first[order[a:b]]
-                local[order[a:b]] = np.arange(b - a)
-                at = places[lo:hi]
+            for s, a, b in zip(used.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+                one = order[a:b]
+                at = first[one]
                 rows["shard"].append(s)
-                rows["payload"].append(symbols[spread(begin[own], sizes[own])].tobytes())
-                rows["sizes"].append(sizes[own].astype("<i4").tobytes())
-                rows["names"].append(names[own].tobytes())
-                rows["segment"].append(local[kind[at]].astype("<i4").tobytes())
-                for p, values in (("x", x), ("y", y), ("start", start)):
-                    rows[p].append(values[at].astype("<i8").tobytes())
+                rows["payload"].append(symbols[spread(begin[at], sizes[at])].tobytes())
+                for p, values in (("sizes", sizes[at]), ("names", names[at]), ("copies", copies[one]), ("least", least[one]), ("most", most[one])):
+                    rows[p].append(values.astype("<i4" if p == "sizes" else "<u8" if p == "names" else "<i8").tobytes())
             return pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int32()), *(pa.array(rows[p], pa.binary()) for p in _PARTS)], names=["shard", *_PARTS])
 
         for batch in batches:
             for block in blocks(batch.column(2)):
                 codes, offsets = unit.symbols(block)
-                begin, end, seed = runs(codes, offsets, unit)
-                bit = seed >> _U(64 - BITS)
-                hit = np.flatnonzero((bits[(bit >> _U(3)).astype(np.int64)] >> (_U(7) - (bit & _U(7))).astype(np.uint8)) & 1)
-                if not len(hit):
+                hit = hits(codes, offsets)
+                if hit is None:
                     continue
-                begin, end, seed = begin[hit], end[hit], seed[hit]
-                row = np.searchsorted(offsets, begin, "right") - 1
-                x, y = (batch.column(i).slice(block.first, len(block)).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
-                names = span_hashes(codes, begin, end, _words_pow if unit.words else _bytes_pow)
-                held.append((unit.payload(block, codes, spread(begin, end - begin)), end - begin, names, (mix(seed + _U(5)) % _U(shards)).astype(np.int64), x, y, begin - offsets[row]))
-                weight += len(held[-1][0]) + 40 * len(begin)
+                x = batch.column(0).slice(block.first, len(block)).to_numpy(zero_copy_only=False)[hit.row]
+                size = hit.end - hit.begin
+                held.append((unit.payload(block, codes, spread(hit.begin, size)), size, hit.names, (mix(hit.seed + _U(5)) % _U(shards)).astype(np.int64), x))
+                weight += len(held[-1][0]) + 40 * len(size)
                 if weight > 24 << 20:
                     yield flush()
                     held, weight = [], 0
@@ -203,13 +224,10 @@ def marks(docs: DataFrame, unit: Unit, engine: Callable[[Shard], tuple[np.ndarra
             yield flush()
 
     def judge(table: pa.Table) -> pa.Table:
-        lists = {p: table.column(p).to_pylist() for p in _PARTS}
-        sizes = [np.frombuffer(b, "<i4").astype(np.int64) for b in lists["sizes"]]
-        shift = np.cumsum([0, *map(len, sizes)])
-        size = np.concatenate(sizes)
-        raw = np.frombuffer(b"".join(lists["payload"]), np.uint8).reshape(-1, unit.width)
-        names = np.concatenate([np.frombuffer(b, "<u8") for b in lists["names"]])
-        _, first, kind = np.unique(names, return_index=True, return_inverse=True)
+        read = lambda part, kind: np.frombuffer(b"".join(table.column(part).to_pylist()), kind)
+        size, names = read("sizes", "<i4").astype(np.int64), read("names", "<u8")
+        raw = read("payload", np.uint8).reshape(-1, unit.width)
+        names, first, kind = np.unique(names, return_index=True, return_inverse=True)
         begin = np.cumsum(size) - size
         if unit.words:
             wide = np.zeros((len(raw), 8), np.uint8)
@@ -218,14 +236,28 @@ def marks(docs: DataFrame, unit: Unit, engine: Callable[[Shard], tuple[np.ndarra
         else:
             symbols = raw.ravel()
         symbols = symbols[spread(begin[first], size[first])]
-        segment = kind[np.concatenate([np.frombuffer(b, "<i4").astype(np.int64) + s for b, s in zip(lists["segment"], shift, strict=False)])]
-        x, y, start = (np.concatenate([np.frombuffer(b, "<i8") for b in lists[p]]) for p in ("x", "y", "start"))
-        shard = Shard(symbols, np.r_[0, np.cumsum(size[first])], segment, x, y, start)
-        place, a, b = engine(shard)
-        return pa.table({"x": pa.array(x[place], pa.int64()), "y": pa.array(y[place], pa.int64()), "begin": pa.array(start[place] + a, pa.int64()), "end": pa.array(start[place] + b - 1 + unit.length, pa.int64())})
-
-    schema = "shard int, " + ", ".join(f"{p} binary" for p in _PARTS)
-    return docs.select("x", "y", "text").mapInArrow(cut, schema).groupBy("shard").applyInArrow(judge, "x long, y long, begin long, `end` long")
+        copies = np.zeros(len(first), np.int64)
+        least, most = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
+        np.add.at(copies, kind, read("copies", "<i8"))
+        np.minimum.at(least, kind, read("least", "<i8"))
+        np.maximum.at(most, kind, read("most", "<i8"))
+        out = engine(Shard(symbols, np.r_[0, np.cumsum(size[first])], copies, least, most))
+        above = pa.nulls(len(out.segment), pa.int64()) if out.above is None else pa.array(out.above, pa.int64())
+        return pa.table({"name": pa.array(names[out.segment].view(np.int64), pa.int64()), "a": pa.array(out.first, pa.int64()), "b": pa.array(out.end - 1 + unit.length, pa.int64()), "above": above})
+
+    def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(2)):
+                hit = hits(*unit.symbols(block))
+                if hit is not None:
+                    x, y = (batch.column(i).slice(block.first, len(block)).take(pa.array(hit.row)) for i in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(hit.names.view(np.int64)), x, y, pa.array(hit.start, pa.int32())], names=["name", "x", "y", "start"])
+
+    segments = own.mapInArrow(cut, "shard int, " + ", ".join(f"{p} binary" for p in _PARTS))
+    marked = segments.groupBy("shard").applyInArrow(judge, "name long, a long, b long, above long")
+    places = own.mapInArrow(stand, "name long, x long, y long, start int")
+    found = places.join(marked, "name").where(F.col("above").isNull() | (F.col("x") > F.col("above")))
+    return found.select("x", "y", (F.col("start") + F.col("a")).alias("begin"), (F.col("start") + F.col("b")).alias("end"))
 
 
 def marked_runs(flags: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import blocks, spread, sums_by_row
-from .repeats import Shard, Unit, covered, marked_runs, marks, with_marks
+from .arrays import blocks, sums_by_row
+from .repeats import Marks, Shard, Unit, covered, marked_runs, marks, with_marks
 from .suffixes import common_prefixes, joined, suffix_array, windows
 
 #: Symbols of one suffix array.
@@ -98,17 +98,12 @@ def repeated_windows(symbols: np.ndarray, offsets: np.ndarray, copies: np.ndarra
 
 
 def _engine(length: int):
-    def engine(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        copies = np.bincount(shard.segment, minlength=len(shard.offsets) - 1)
-        flags, first = repeated_windows(shard.symbols, shard.offsets, copies, length)
+    def engine(shard: Shard) -> Marks:
+        flags, first = repeated_windows(shard.symbols, shard.offsets, shard.copies, length)
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
         a, b = marked_runs(flags, owner)
-        # a segment's runs, at each place where it stands
-        low, high = np.searchsorted(owner[a], shard.segment, "left"), np.searchsorted(owner[a], shard.segment, "right")
-        place = np.repeat(np.arange(len(shard.segment)), high - low)
-        run = spread(low, high - low)
-        base = first[shard.segment[place]]
-        return place, a[run] - base, b[run] - base
+        segment = owner[a]
+        return Marks(segment, a - first[segment], b - first[segment], None)
 
     return engine
 
