@@ -90,6 +90,25 @@ def test_fm_index_dedup(spark, seed, length, k):
     assert _by_id(fm_dedup.dedup(frame(spark, rows), length=length, k=k), "n_words", "n_removed", "kept_sha256") == earlier_passages(rows, length)
 
 
+def test_dedup_of_a_passage_that_most_documents_have(spark):
+    rnd = random.Random(33)
+    passage = " ".join(f"common{i}" for i in range(60))
+    rows = [(i, f"start{i} {passage} end{rnd.random()}" if i % 3 else f"lone{i} text{i} of{i} its{i} own{i}") for i in range(600)]
+    split = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+    }
+    for k, v in split.items():
+        spark.conf.set(k, v)
+    try:
+        docs = frame(spark, rows).repartition(16)
+        assert _by_id(suffix_dedup.dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeated_bytes(rows, 400)
+        assert _by_id(fm_dedup.dedup(docs), "n_words", "n_removed", "kept_sha256") == earlier_passages(rows, 13)
+    finally:
+        for k in split:
+            spark.conf.unset(k)
+
+
 def test_dedup_of_no_rows(spark):
     none = frame(spark, [(1, "x")]).limit(0)
     for run in (suffix_dedup.dedup, fm_dedup.dedup, line_dedup.dedup, lambda d: bpe.digests(d, bpe.vocabulary_path(spark, "word_bpe_49k.json"))):
