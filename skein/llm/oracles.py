@@ -127,7 +127,38 @@ made AS (
 SELECT conv_id, turn, kind, call_no::INT AS call_no, call_id, call_turn, result_turn, coalesce(level, 0)::INT AS level, problem, order_turn, json,
 coalesce(coalesce(level, 0)::BIGINT * 4294967296 + call_no, -1)::BIGINT AS order_call, order_kind::INT AS order_kind FROM made"""
 
+#: crc32 has no function there: each distinct text's bytes go through a table of 256, one step of the recursion a byte.
+SPELLINGS = """WITH RECURSIVE steps AS (SELECT i, i::UBIGINT AS c, 0 AS k FROM range(256) AS t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8),
+bytes AS (SELECT i, c FROM steps WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents WHERE text IS NOT NULL),
+kinds AS (SELECT run, hex(encode(doc_id || ':' || run)) AS h, count(*) AS m, row_number() OVER () AS k FROM runs GROUP BY doc_id, run),
+summed AS (
+  SELECT k, h, 4294967295::UBIGINT AS c, 0 AS pos FROM kinds
+  UNION ALL SELECT s.k, s.h, xor(s.c // 256, b.c), s.pos + 1 FROM summed s JOIN bytes b ON b.i = xor(s.c % 256, ('0x' || s.h[2 * s.pos + 1:2 * s.pos + 2])::UBIGINT) WHERE 2 * s.pos < length(s.h)),
+crcs AS (SELECT k, xor(c, 4294967295::UBIGINT) AS c FROM summed WHERE 2 * pos = length(h)),
+cut AS (SELECT m, CASE WHEN c % 97 = 0 THEN run[:(c % length(run))::BIGINT] || run[(c % length(run))::BIGINT + 2:] ELSE run END AS word FROM kinds JOIN crcs USING (k)),
+words AS (SELECT word, sum(m)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+places AS (SELECT word, n, i, word[:i] AS a, word[i + 2:] AS b FROM words, range(0, length(word)) AS t(i)),
+cuts AS (SELECT DISTINCT word, n, a || b AS less FROM places),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS other_n FROM places x JOIN places y USING (i, a, b) WHERE x.word <> y.word
+  UNION ALL SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.less = w.word
+  UNION ALL SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.less = w.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS best_n, arg_min(other, (-other_n, other)) AS other FROM near GROUP BY word),
+judged AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * w.n THEN other END AS form, CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM judged UNION ALL SELECT walk.word, j.form FROM walk JOIN judged j ON walk.root = j.word WHERE j.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.root FROM walk JOIN judged j ON walk.root = j.word WHERE j.form IS NULL)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM judged JOIN ends USING (word)"""
+
+INFILL = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents),
+drawn AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::UBIGINT % (len(u) + 1) AS p, ('0x' || h[9:16])::UBIGINT % (len(u) + 1) AS q, ('0x' || h[25:32])::UBIGINT % 100 < 50 AS spm FROM t),
+cut AS (SELECT *, array_to_string(u[:least(p, q)::BIGINT], '') AS a, array_to_string(u[least(p, q)::BIGINT + 1:greatest(p, q)::BIGINT], '') AS b, array_to_string(u[greatest(p, q)::BIGINT + 1:], '') AS c,
+  text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain FROM drawn)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN length(a) END AS prefix_chars, CASE WHEN NOT plain THEN length(b) END AS middle_chars,
+sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || c || '<P>' || a || '<M>' || b ELSE '<P>' || a || '<S>' || c || '<M>' || b END) AS output_sha256, sha256(text) AS restored_sha256 FROM cut"""
+
 SQL = {
     "op1_ngram_jaccard_join": NGRAM_JOIN, "op3_suffix_array_dedup": REPEATED_BYTES, "op4_substring_dedup": EARLIER_PASSAGES,
     "op6_quality_rules": _quality(), "op8_chat_formatting": CHATS, "op9_line_dedup": NEAR_LINES,
+    "op11_spelling_variants": SPELLINGS, "op12_fill_in_middle": INFILL,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, fm_dedup, line_dedup, ngram_join, oracles, quality, suffix_dedup, token_files, url_filters
+from . import bpe, chat, contamination, fm_dedup, infill, line_dedup, ngram_join, oracles, packing, quality, spelling, suffix_dedup, token_files, url_filters
 from .tables import shared_folder, table
 
 
@@ -54,10 +54,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    restored = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), bpe.vocabulary_path(spark, "byte_bpe_50k.json"), capacity=2048, ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_ngram_jaccard_join, op2_bpe, op3_suffix_array_dedup, op4_substring_dedup, op5_url_filters,
         op6_quality_rules, op7_token_files, op8_chat_formatting, op9_line_dedup, op10_decontamination,
+        op11_spelling_variants, op12_fill_in_middle, op13_best_fit_packing,
     )
     return {f.__name__: f for f in own}
 
