@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,8 @@ def _checkpoint_base(spark: SparkSession) -> str:
     """The session's checkpoint folder; where none is set (tests on one machine) a temporary one, set once for both uses."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines see")
         base = tempfile.mkdtemp(prefix="skein-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return base
