@@ -582,15 +582,15 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import source_queries
+    from . import code_queries, source_queries
 
-    return _queries | source_queries.queries()
+    return _queries | source_queries.queries() | code_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import source_queries
+    from . import code_queries, source_queries
 
-    return _sql | source_queries.oracle_sql()
+    return _sql | source_queries.oracle_sql() | code_queries.oracle_sql()
 
 
 __all__ = ["entry", "oracle_sql", "queries", "readers"]
