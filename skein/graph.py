@@ -73,6 +73,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_checkpoint_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """df, written once into the shared folder in as many buckets by keys as shuffles have partitions: joins and groups on these keys (and more) leave it where it is."""
+    spark, name = df.sparkSession, f"skein_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # dealt as the buckets are, so that a task writes one file
+    df.repartition(n, *keys).write.format("parquet").option("path", shared_folder(spark, name)).bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    return spark.table(name)
+
+
 def version(graph: Graph) -> DataFrame:
     """One row, `graph_version`: the start of a digest over all node ids and edge keys.
 

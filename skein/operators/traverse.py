@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph, materialize
+from ..graph import Graph, bucketed, materialize
 
 # The edge types that a flow follows.
 FLOW_TYPES = ("HANDLES", "HANDLES_KAFKA", "HANDLES_MESSAGE", "CROSSES_TIER", "KAFKA_DELIVERS", "MESSAGE_DELIVERS", "EMITS")
@@ -72,17 +72,20 @@ def flow_nodes(graph: Graph, anchors: DataFrame, depth: int = 8, types: tuple[st
     The sources of calls into the anchors start at distance 0 with them. A step goes
     along an edge of the given types, or from an endpoint or consumer to the producers
     of its service. Each level is one join of the last level's nodes, which are kept
-    apart from those visited before; a level that finds nothing ends the walk.
+    apart from those visited before; a level that finds nothing ends the walk. Edges are
+    bucketed by their source once and stay there, as hubs by id and producers by service:
+    a level moves only what the last one found.
     """
-    steps = graph.edges.where(F.col("type").isin(*types)).select("src", "dst").distinct()
+    steps = bucketed(graph.edges.where(F.col("type").isin(*types)).select("src", "dst"), "src")
     calls = graph.edges.where("type = 'CROSSES_TIER'").select("src", "dst")
     starts = anchors.select("id").distinct()
     before = calls.join(starts.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
     visited = materialize(starts.unionByName(before).distinct().withColumn("distance", F.lit(0)))
-    hubs = graph.nodes.where("label in ('Endpoint', 'KafkaConsumer', 'MessageConsumer') or message_role = 'consumer'").select("id", "service").where("service <> ''")
-    producers = graph.nodes.where("message_role = 'producer'").select("service", F.col("id").alias("next"))
+    hubs = bucketed(graph.nodes.where("label in ('Endpoint', 'KafkaConsumer', 'MessageConsumer') or message_role = 'consumer'").select("id", "service").where("service <> ''"), "id")
+    producers = bucketed(graph.nodes.where("message_role = 'producer'").select("service", F.col("id").alias("next")), "service")
+    found = visited
     for level in range(depth):
-        frontier = visited.where(F.col("distance") == level).select("id")
+        frontier = found.select("id")
         along = frontier.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("next"))
         # services first: a service's producers are found once however many of its endpoints were reached
         aside = hubs.join(frontier, "id", "left_semi").select("service").distinct().join(producers, "service").select("next")

@@ -5,9 +5,15 @@
 `from_text` reads the same clauses from the lines of a stored lens. Properties are
 flat columns `var__prop` until the end, so that Catalyst prunes and pushes down.
 
+Clauses are kept until rows are asked for. MATCH clauses that follow each other are a
+graph whose edges are shared variables: connected ones are joined along it, whatever
+order they are written in, and only what is truly apart is crossed, each part joined
+first. A MATCH never moves over an optional clause, whose outcome it would change.
+
 An optional clause applies as a whole: if any binding matches, those that do not are
 dropped; if none does, all go on with its variables unbound. Conditions hold after all
-clauses, whatever line they stand on, and compare strings; a missing value is ''.
+clauses, whatever line they stand on, and compare strings; a missing value is '', and
+booleans are 'True' and 'False'.
 """
 
 from __future__ import annotations
@@ -28,7 +34,8 @@ _EDGE_COLUMNS = ("type", "src", "dst", "from_service", "to_service", "cross_repo
 class PatternQuery:
     def __init__(self, graph: Graph, params: dict[str, str] | None = None) -> None:
         self.graph, self.params = graph, params or {}
-        self.rows: DataFrame | None = None
+        self.steps: list[tuple[str, DataFrame, dict[str, str]]] = []
+        self.done: tuple[int, DataFrame | None] = (0, None)
         self.kinds: dict[str, str] = {}
         self.tests: list[str] = []
         self.labels: set[str] = set()
@@ -73,39 +80,38 @@ class PatternQuery:
             return self._hop(found)
         raise ValueError(f"unsupported pattern: {pattern}")
 
-    def _joined(self, made: DataFrame, kinds: dict[str, str]) -> DataFrame:
-        if self.rows is None:
-            return made
-        shared = [v for v, kind in kinds.items() if kind == "node" and v in self.kinds]
-        rows = self.rows
-        again = [v for v, kind in kinds.items() if kind == "edge" and v in self.kinds]
-        rows = rows.drop(*(c for c in rows.columns for v in again if c.startswith(f"{v}__")))  # the later clause's edge counts
-        if not shared:
-            return rows.crossJoin(made)
-        keyed = made.drop(*(c for c in made.columns for v in shared if c.startswith(f"{v}__") and c != f"{v}__id"))
-        return rows.join(keyed, [f"{v}__id" for v in shared])
-
-    def match(self, pattern: str) -> PatternQuery:
+    def _take(self, how: str, pattern: str) -> PatternQuery:
         made, kinds = self._clause(pattern)
-        self.rows = self._joined(made, kinds)
+        self.steps.append((how, made, kinds))
         self.kinds |= kinds
         return self
 
+    def match(self, pattern: str) -> PatternQuery:
+        return self._take("all", pattern)
+
     def optional_match(self, pattern: str, strict: bool = False) -> PatternQuery:
-        """The clause as a whole, or with strict a left join row by row."""
-        made, kinds = self._clause(pattern)
-        before = self.rows
-        inner = self._joined(made, kinds)
-        if strict and before is not None:
-            keys = [f"{v}__id" for v in kinds if v in self.kinds]
-            self.rows = before.unionByName(inner.limit(0), allowMissingColumns=True) if not keys else inner.unionByName(before.join(inner.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
-        elif before is None:
-            self.rows = inner
-        else:
-            some = inner.select(F.lit(True).alias("_some")).limit(1)
-            self.rows = inner.unionByName(before.join(F.broadcast(some), F.lit(True), "left_anti"), allowMissingColumns=True)  # one row at most
-        self.kinds |= kinds
-        return self
+        """The clause as a whole, or with strict a left join row by row (without a shared variable both are the same)."""
+        return self._take("strict" if strict else "some", pattern)
+
+    @property
+    def rows(self) -> DataFrame | None:
+        """All bindings of the clauses so far."""
+        if self.done[0] != len(self.steps):
+            rows, bound, at = None, {}, 0
+            while at < len(self.steps):
+                to = at
+                while to < len(self.steps) and self.steps[to][0] == "all":
+                    to += 1
+                if to > at:
+                    rows = _all_joined(rows, bound, [(made, kinds) for _, made, kinds in self.steps[at:to]])
+                else:
+                    to += 1
+                    rows = _with_optional(rows, bound, *self.steps[at])
+                for _, _, kinds in self.steps[at:to]:
+                    bound |= kinds
+                at = to
+            self.done = (len(self.steps), rows)
+        return self.done[1]
 
     def where(self, *conditions: str) -> PatternQuery:
         for text in conditions:
@@ -126,7 +132,9 @@ class PatternQuery:
             raise ValueError(f"unsupported condition: {text}")
         var, name, how, raw = found.groups()
         wanted = str(self.params.get(raw.strip()[1:])) if raw.strip().startswith("$") else raw.strip().strip("'\"")
-        value = F.coalesce(self._value(var, name).cast("string"), F.lit(""))
+        value = self._value(var, name)
+        truth = self.rows.schema[f"{var}__{name}"].dataType.simpleString() == "boolean" if f"{var}__{name}" in self.rows.columns else False
+        value = F.coalesce(F.initcap(value.cast("string")) if truth else value.cast("string"), F.lit(""))
         return {"CONTAINS": value.contains, "STARTS WITH": value.startswith, "ENDS WITH": value.endswith, "=": lambda x: value == x}[how.upper()](wanted)
 
     def validate(self) -> PatternQuery:
@@ -172,6 +180,54 @@ class PatternQuery:
         return Graph(nodes, edges)
 
 
+def _joined(rows: DataFrame | None, bound: dict[str, str], made: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    if rows is None:
+        return made
+    shared = [v for v, kind in kinds.items() if kind == "node" and v in bound]
+    again = [v for v, kind in kinds.items() if kind == "edge" and v in bound]
+    rows = rows.drop(*(c for c in rows.columns for v in again if c.startswith(f"{v}__")))  # the later clause's edge counts
+    if not shared:
+        return rows.crossJoin(made)
+    keyed = made.drop(*(c for c in made.columns for v in shared if c.startswith(f"{v}__") and c != f"{v}__id"))
+    return rows.join(keyed, [f"{v}__id" for v in shared])
+
+
+def _all_joined(rows: DataFrame | None, bound: dict[str, str], clauses: list[tuple[DataFrame, dict[str, str]]]) -> DataFrame:
+    """The clauses' bindings together: each connected part of them is joined by itself, and parts are crossed last."""
+    edges = [v for _, kinds in clauses for v, kind in kinds.items() if kind == "edge"]
+    if len(set(edges)) < len(edges) or any(v in bound for v in edges):
+        # an edge variable bound anew depends on the written order
+        for made, kinds in clauses:
+            rows, bound = _joined(rows, bound, made, kinds), bound | kinds
+        return rows
+    left, parts = list(clauses), []
+    seed, known = rows, dict(bound)
+    while left:
+        near = next((c for c in left if any(kind == "node" and v in known for v, kind in c[1].items())), None)
+        if near is None:
+            if seed is not None:
+                parts.append(seed)
+            near, seed, known = left[0], None, {}
+        left.remove(near)
+        seed, known = _joined(seed, known, *near), known | near[1]
+    parts.append(seed)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.crossJoin(part)
+    return out
+
+
+def _with_optional(before: DataFrame | None, bound: dict[str, str], how: str, made: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    inner = _joined(before, bound, made, kinds)
+    if before is None:
+        return inner
+    keys = [f"{v}__id" for v, kind in kinds.items() if kind == "node" and v in bound]
+    if how == "strict" and keys:
+        return inner.unionByName(before.join(inner.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
+    some = inner.select(F.lit(True).alias("_some")).limit(1)
+    return inner.unionByName(before.join(F.broadcast(some), F.lit(True), "left_anti"), allowMissingColumns=True)  # one row at most
+
+
 def from_text(graph: Graph, text: str | list[str], params: dict[str, str] | None = None) -> DataFrame:
     """Run a stored lens: one clause a line, `MATCH`, `OPTIONAL MATCH`, `WHERE` or `RETURN`, which must be there."""
     query, items = PatternQuery(graph, params), None

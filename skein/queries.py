@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import estate
 from .functions import text
-from .graph import Graph, materialize, version
+from .graph import Graph, as_nodes, materialize, version
 from .operators import aggregate, clusters, dedup, extract, link, resolve, search, trace, traverse, verify
 from .plans import views
 from .plans.cypher import PatternQuery, from_text
@@ -113,6 +113,41 @@ def optional_none(spark: SparkSession, sf: str) -> DataFrame:
     return _renamed(PatternQuery(estate.estate(spark, sf)).match("(r:Region)").optional_match("(r:Region)-[i:IN_NATION]->(s:Supplier)").returns("r.id", "s.id"))
 
 
+@_query(E + """SELECT c.id AS c_id, o.id AS o_id, s.dst AS s_id FROM edges e JOIN nodes c ON c.id = e.src JOIN nodes o ON o.id = e.dst JOIN edges s ON s.src = o.id AND s.type = 'FILLED_BY'
+WHERE e.type = 'PLACED' AND o.confidence = 'low'""")
+def clause_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes first, and only then the clauses that connect them: joined all the same, never crossed."""
+    lines = ["MATCH (c:Customer)", "MATCH (s:Supplier)", "MATCH (o:Order)", "MATCH (o)-[f:FILLED_BY]->(s)", "MATCH (c)-[p:PLACED]->(o)", "WHERE o.confidence = 'low'", "RETURN c.id, o.id, s.id"]
+    return _renamed(from_text(estate.estate(spark, sf), lines))
+
+
+@_query(E + "SELECT n.id AS n_id, r.id AS r_id, e.type AS i_type FROM nodes n CROSS JOIN nodes r LEFT JOIN edges e ON e.type = 'IN_REGION' AND e.src = n.id AND e.dst = r.id WHERE n.label = 'Nation' AND r.label = 'Region'")
+def clauses_apart(spark: SparkSession, sf: str) -> DataFrame:
+    """What no clause connects is crossed, as asked; the optional clause then keeps each pair that is not in it."""
+    q = PatternQuery(estate.estate(spark, sf)).match("(n:Nation)").match("(r:Region)").optional_match("(n:Nation)-[i:IN_REGION]->(r:Region)", strict=True)
+    return _renamed(q.returns("n.id", "r.id", "i.type"))
+
+
+@_query(E + "SELECT o.id AS o_id, f.dst AS s_id FROM nodes o LEFT JOIN edges f ON f.type = 'FILLED_BY' AND f.src = o.id WHERE o.label = 'Order'")
+def optional_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """Row by row: an order without suppliers stays, although others have some."""
+    q = PatternQuery(estate.estate(spark, sf)).match("(o:Order)").optional_match("(o:Order)-[f:FILLED_BY]->(s:Supplier)", strict=True)
+    return _renamed(q.returns("o.id", "s.id"))
+
+
+@_query(N + "SELECT r.id AS r_id, n.id AS n_id FROM nodes r LEFT JOIN nodes n ON n.label = 'Nation' WHERE r.label = 'Region'")
+def optional_strict_apart(spark: SparkSession, sf: str) -> DataFrame:
+    q = PatternQuery(estate.estate(spark, sf)).match("(r:Region)").optional_match("(n:Nation)", strict=True)
+    return _renamed(q.returns("r.id", "n.id"))
+
+
+@_query(E + "SELECT src AS o_id, dst AS s_id FROM edges WHERE type = 'FILLED_BY' AND from_service <> to_service AND confidence = 'low'")
+def boolean_condition(spark: SparkSession, sf: str) -> DataFrame:
+    """Booleans compare by their names."""
+    q = PatternQuery(estate.estate(spark, sf)).match("(o:Order)-[f:FILLED_BY]->(s:Supplier)").where("f.cross_repo = 'True' AND f.confidence = 'low'")
+    return _renamed(q.returns("o.id", "s.id"))
+
+
 @_query(N + "SELECT id AS p_id, name AS p_name FROM nodes WHERE label = 'Part' AND contains(path, 'brand-1')")
 def parameter_lens(spark: SparkSession, sf: str) -> DataFrame:
     return _renamed(from_text(estate.estate(spark, sf), ["MATCH (p:Part)", "WHERE p.path CONTAINS $query", "RETURN p.id, p.name"], {"query": "brand-1"}))
@@ -224,6 +259,21 @@ def topic_groups(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.topics(_linked(spark, sf)).withColumns({c: F.array_join(c, ",") for c in ("producers", "consumers")})
 
 
+@_query("""WITH k AS (SELECT p_partkey AS o, 's' || p_size AS service, 'app.' || lower(p_brand) || '.topic' || p_partkey AS key FROM part),
+vars AS (SELECT 'Q:' || o AS id, service, CASE WHEN o % 5 > 0 THEN key[-(1 + o % 9):] END AS var, o FROM k),
+met AS (SELECT id, arg_min('v' || k.o, k.o) AS value FROM vars JOIN k ON k.service = vars.service AND ends_with(key, var) AND k.o % 3 > 0 GROUP BY id)
+SELECT id, CASE WHEN vars.o % 5 = 0 THEN 'literal' ELSE coalesce(value, '{unknown}') END AS resolved FROM vars LEFT JOIN met USING (id)""")
+def topics_by_suffix(spark: SparkSession, sf: str) -> DataFrame:
+    """Producers whose variable is an ending, of one to nine characters, of settings' keys: many keys of a service share the short ones, and some have none."""
+    part, o = estate.table(spark, sf, "part"), F.col("p_partkey")
+    key = F.concat(F.lit("app."), F.lower("p_brand"), F.lit(".topic"), o)
+    service = F.concat(F.lit("s"), "p_size")
+    var = F.expr("right(key, 1 + p_partkey % 9)")
+    made = part.withColumn("key", key).select(F.concat(F.lit("Q:"), o).alias("id"), service.alias("service"), F.lit("producer").alias("message_role"), F.when(o % 5 == 0, "literal").alias("topic"), F.when(o % 5 > 0, var).alias("topic_var"), o.alias("ordinal"))
+    kept = part.where(o % 3 > 0).select(F.concat(F.lit("C:"), o).alias("id"), F.lit("ConfigProperty").alias("label"), service.alias("service"), F.create_map(F.lit("key"), key, F.lit("default_value"), F.concat(F.lit("v"), o)).alias("props"), o.alias("ordinal"))
+    return link.resolved_topics(as_nodes(made).unionByName(as_nodes(kept))).select("id", "resolved")
+
+
 @_query(f"SELECT * FROM ({_TOPICS}) WHERE list_contains(string_split(consumers, ','), 'nation-3')")
 def topic_groups_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.topics(_linked(spark, sf), consumer_service="nation-3").withColumns({c: F.array_join(c, ",") for c in ("producers", "consumers")})

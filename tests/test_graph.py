@@ -3,7 +3,7 @@ import json
 import pytest
 
 from skein import plugins
-from skein.graph import Graph
+from skein.graph import Graph, bucketed
 from skein.operators import clusters, dedup, extract, link, resolve, search, trace, traverse, verify
 from skein.plans import lenses
 from skein.plans.cypher import PatternQuery, from_text
@@ -113,7 +113,7 @@ def test_extraction_and_resolving(spark):
     assert (got["Servlet"]["name"], got["Servlet"]["line"]) == ("N-1", 2)
     assert got["ConfigProperty"]["topics"] == ["v", "fixed"] and got["ConfigProperty"]["line"] == 1
     with pytest.raises(NotImplementedError):
-        extract.extract(files, [{"name": "t", "match": {"strategy": "tree-sitter"}, "emit": {}}])
+        extract.extract(files, [{"name": "t", "match": {"strategy": "tree-sitter", "tree_sitter": {"extractor": "query"}}, "emit": {}}])
     nodes = from_rows(spark, [{"id": "p", "label": "KafkaProducer", "service": "a", "file": "src/Loans.java", "topic_const": "Loans.TOPIC"}], []).nodes
     done = resolve.substitute_constants(nodes, extract.string_constants(files), {"topic_const": "topic"})
     assert done.first()["topic"] == "loan.new" and done.first()["topics"] == ["loan.new"]
@@ -161,3 +161,55 @@ def test_plugins_are_gated(graph):
     with pytest.raises(PermissionError):
         plugins.run("service_risk", graph)
     assert plugins.run("service_risk", graph, allowed=True).count() == 0
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clauses_are_joined_along_shared_variables(graph):
+    late = PatternQuery(graph).match("(a)").match("(b)").match("(a)-[e]->(b)")
+    first = PatternQuery(graph).match("(a)-[e]->(b)")
+    assert "CartesianProduct" not in _plan(late.returns("a.id", "b.id")) and "NestedLoop" not in _plan(late.returns("a.id", "b.id"))
+    rows = lambda q: sorted(map(tuple, q.returns("a.id", "e.type", "b.id").collect()))
+    assert rows(late) == rows(first) and rows(first)
+    apart = PatternQuery(graph).match("(a)").match("(b)").match("(c)-[e]->(a)")
+    assert apart.returns("a.id", "b.id").count() == graph.edges.count() * graph.nodes.count()
+    # a clause does not move over an optional one: the optional one finds something for all pairs
+    between = PatternQuery(graph).match("(a)").match("(b)").optional_match("(c)-[f]->(a)").match("(a)-[e]->(b)")
+    before = PatternQuery(graph).match("(a)").match("(b)").optional_match("(c)-[f]->(a)")
+    assert rows(between) == sorted((a, t, b) for a, b in before.returns("a.id", "b.id").collect() for x, t, y in rows(first) if (x, y) == (a, b))
+
+
+def test_optional_clauses_row_by_row_and_apart(graph):
+    n = graph.nodes.count()
+    pairs = lambda q: q.returns("a.id", "b.id").collect()
+    assert len(pairs(PatternQuery(graph).match("(a)").optional_match("(b)", strict=True))) == n * n
+    nothing = pairs(PatternQuery(graph).match("(a)").optional_match("(b:Nowhere)", strict=True))
+    assert len(nothing) == n and all(r[1] is None for r in nothing)
+    out = pairs(PatternQuery(graph).match("(a)").optional_match("(a)-[e]->(b)", strict=True))
+    sources = {r.src for r in graph.edges.collect()}
+    assert {r[0] for r in out if r[1] is None} == {r.id for r in graph.nodes.collect()} - sources and len(out) == graph.edges.count() + n - len(sources)
+
+
+def test_a_level_of_a_flow_does_not_move_the_edges(spark):
+    chain = from_rows(spark, [{"id": f"n{i}", "label": "X", "service": "a"} for i in range(40)], [{"type": "EMITS", "from": f"n{i}", "to": f"n{i + 1}"} for i in range(39)])
+    anchors = chain.nodes.where("id = 'n0'").select("id")
+    assert {r.id: r.distance for r in traverse.flow_nodes(chain, anchors).collect()} == {f"n{i}": i for i in range(9)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        steps = bucketed(chain.edges.select("src", "dst"), "src")
+        frontier = chain.nodes.select("id").where("id > 'n'")
+        plan = _plan(frontier.join(steps, frontier.id == steps.src))
+        assert "hashpartitioning(id" in plan and "hashpartitioning(src" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_settings_are_found_by_endings_alone(spark):
+    rows = [{"id": "p", "message_role": "producer", "service": "a", "topic_var": "orders.topic"}, {"id": "q", "message_role": "producer", "service": "b", "topic_var": "topic"}, {"id": "r", "message_role": "producer", "service": "a", "topic": "{x}", "topic_var": "zz"}]
+    keys = [("a", "bad.topic", "no"), ("a", "my.orders.topic", "first"), ("a", "x.orders.topic", "second"), ("a", "orders", "no"), ("b", "", "no"), ("a", "zz", "")]
+    settings = [{"id": f"s{i}", "label": "ConfigProperty", "service": s, "key": k, "default_value": v} for i, (s, k, v) in enumerate(keys)]
+    found = link.resolved_topics(from_rows(spark, rows + settings, []).nodes)
+    assert {r.id: r.resolved for r in found.collect()} == {"p": "first", "q": "{unknown}", "r": "{x}"}
+    assert "EndsWith" not in _plan(found)
