@@ -20,25 +20,80 @@ def with_prop(nodes: DataFrame, name: str, value: Column) -> DataFrame:
     return nodes.withColumn("props", F.when(value.isNull(), F.col("props")).otherwise(F.map_concat(F.map_filter(F.coalesce("props", F.create_map().cast("map<string,string>")), lambda k, _: k != name), entry)))
 
 
-def resolve(nodes: DataFrame, rules: list[dict]) -> DataFrame:
-    """Ordered rules: where the label and conditions hold and a pattern is found in a property, empty properties are filled from its groups.
+def _patterns(match: dict) -> list[str]:
+    given = match.get("patterns") or [match.get("pattern")]
+    return [x for x in (p.get("regex") if isinstance(p, dict) else p for p in given) if x]
+
 
-    A later rule sees what earlier ones have set. The first pattern found counts.
+def strata(rules: list[dict]) -> list[list[dict]]:
+    """The rules in layers: of those with its label, a rule stands in a later layer than all before it that set what it reads.
+
+    A layer's rules all read what the layers before have left. So a rule may share a
+    layer with earlier ones that read or set what it sets (of those that set the same,
+    the first that gives something counts), but must not stand before them. Rules of
+    different labels never meet in a node.
     """
+    level: dict[tuple[str, str], int] = {}
+    read: dict[tuple[str, str], int] = {}
+    layers: list[list[dict]] = []
     for rule in rules:
         match = rule["match"]
-        source = F.coalesce(prop(nodes, match["field"]), F.lit(""))
-        holds = F.col("label") == match["label"]
-        for k, v in match.get("where", {}).items():
-            holds = holds & (prop(nodes, k) == F.lit(v))
-        patterns = match.get("patterns") or [match["pattern"]]
-        for key, text in rule["set"].items():
-            value = F.lit(None).cast("string")
-            for p in reversed(patterns):
-                plain, groups = positional(p)
-                value = F.when(source.rlike(plain), template(text, {n: F.regexp_extract(source, plain, i) for n, i in groups.items()})).otherwise(value)
-            old = prop(nodes, key)
-            nodes = with_prop(nodes, key, F.when(holds & (F.coalesce(old, F.lit("")) == "") & (value != ""), value).otherwise(old))
+        label, reads = match["label"], {match.get("from") or match.get("field", ""), *match.get("where", {})}
+        sets = rule.get("set", {})
+        at = max([level.get((label, k), -1) + 1 for k in reads] + [max(level.get((label, k), 0), read.get((label, k), 0)) for k in sets])
+        level |= {(label, k): at for k in sets}
+        read |= {(label, k): max(at, read.get((label, k), 0)) for k in reads}
+        layers.extend([] for _ in range(at + 1 - len(layers)))
+        layers[at].append(rule)
+    return layers
+
+
+def _offers(nodes: DataFrame, rule: dict) -> dict[str, Column]:
+    """What a rule would set, by property; null where it does not hold or gives nothing."""
+    match = rule["match"]
+    source = F.coalesce(prop(nodes, match.get("from") or match.get("field", "")).cast("string"), F.lit(""))
+    holds = source != ""
+    for k, v in match.get("where", {}).items():
+        holds = holds & prop(nodes, k).eqNullSafe(F.lit(v))
+    forms = [positional(p) for p in _patterns(match)]
+    out = {}
+    for key, text in rule.get("set", {}).items():
+        value = F.lit(None).cast("string")
+        for plain, groups in reversed(forms):
+            value = F.when(source.rlike(plain), template(text, {n: F.regexp_extract(source, plain, i) for n, i in groups.items()})).otherwise(value)
+        out[key] = F.when(holds, F.nullif(value, F.lit("")))
+    return out
+
+
+def resolve(nodes: DataFrame, rules: list[dict]) -> DataFrame:
+    """Ordered rules: where the label and conditions hold and a pattern is found in a property, empty properties are filled from its groups.
+
+    A later rule sees what earlier ones have set. The first pattern found counts. Rules
+    are applied in layers (see `strata`), one projection each, in which a node meets the
+    rules of its own label alone: the plan grows with the rules, not with their products.
+    """
+    for layer in strata(rules):
+        offers: dict[str, dict[str, list[Column]]] = {}
+        for rule in layer:
+            for key, value in _offers(nodes, rule).items():
+                offers.setdefault(key, {}).setdefault(rule["match"]["label"], []).append(value)
+        columns, entries = {}, []
+        for key, by_label in offers.items():
+            old, new = prop(nodes, key), F.lit(None).cast("string")
+            for label, values in by_label.items():
+                new = F.when(F.col("label") == label, F.coalesce(*values)).otherwise(new)
+            filled = F.when(F.coalesce(old.cast("string"), F.lit("")) == "", new)
+            if key in nodes.columns:
+                columns[key] = F.coalesce(filled, old)
+            else:
+                entries.append(F.struct(F.lit(key).alias("key"), filled.alias("value")))
+        if entries:
+            given = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+            kept = F.coalesce("props", F.create_map().cast("map<string,string>"))
+            # what is filled was null or empty, so its old entry goes
+            columns["props"] = F.map_concat(F.map_filter(kept, lambda k, _: ~F.map_contains_key(F.col("_given"), k)), F.col("_given"))
+            nodes = nodes.withColumn("_given", given)
+        nodes = nodes.withColumns(columns).drop("_given")
     return nodes
 
 

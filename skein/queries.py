@@ -498,6 +498,19 @@ def resolve_rules(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.resolve(nodes, rules).select("id", "status", "path", "kind")
 
 
+@_query("""WITH p AS (SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)$', 1) AS b FROM part)
+SELECT 'Part:' || p_partkey AS id, 'k' || b AS kind, 'row-' || b AS path, CASE WHEN b LIKE '%3' THEN 'third' WHEN b LIKE '1%' THEN 'teens' ELSE '' END AS topic, CASE WHEN b LIKE '%3' THEN 'T' WHEN b LIKE '2%' THEN 'late' END AS status FROM p
+UNION ALL SELECT 'Supplier:' || s_suppkey, 's' || right(s_suppkey::VARCHAR, 1), 'sup', '', NULL FROM supplier""")
+def resolve_many_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Eighty rules of two labels in three layers: what brands say, what follows from that, and what follows from both."""
+    nodes = estate.nodes(spark, sf).where("label in ('Part', 'Supplier')").withColumns({"path": F.lit(None).cast("string"), "kind": F.lit(""), "topic": F.lit(""), "status": F.lit(None).cast("string")})
+    rule = lambda label, field, pattern, set_, **where: {"match": {"label": label, "from": field, "patterns": [{"regex": pattern}], "where": where}, "set": set_}
+    rules = [rule("Part", "brand", rf"#(?P<b>{i})$", {"kind": "k{{b}}"}) for i in range(26)] + [rule("Part", "kind", rf"^k(?P<a>{i})$", {"path": "row-{{a}}"}) for i in range(26)]
+    rules += [rule("Part", "path", "3$", {"topic": "third", "status": "{{none|T}}"}), rule("Part", "path", "-1", {"topic": "teens", "kind": "never"}), rule("Part", "path", "^row-2", {"status": "late"}), rule("Part", "path", "^row", {"topic": "never"}, status="never")]
+    rules += [rule("Supplier", "id", rf"(?P<d>{i})$", {"kind": "s{{d}}"}) for i in range(10)] + [rule("Supplier", "kind", rf"^s{i}$", {"path": "sup"}) for i in range(10)]
+    return resolve.resolve(nodes, rules).select("id", "kind", "path", "topic", "status")
+
+
 @_query("""WITH t AS (SELECT source || '' AS s, doc_id || '.' || lang AS file, unnest(regexp_extract_all(text, '[a-z]{5,}')) AS term FROM documents)
 SELECT term, count(*) AS n FROM t GROUP BY term ORDER BY n DESC, min(file), term LIMIT 30""")
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,4 +1,7 @@
 import json
+import random
+import re
+import time
 
 import pytest
 
@@ -212,4 +215,42 @@ def test_settings_are_found_by_endings_alone(spark):
     settings = [{"id": f"s{i}", "label": "ConfigProperty", "service": s, "key": k, "default_value": v} for i, (s, k, v) in enumerate(keys)]
     found = link.resolved_topics(from_rows(spark, rows + settings, []).nodes)
     assert {r.id: r.resolved for r in found.collect()} == {"p": "first", "q": "{unknown}", "r": "{x}"}
-    assert "EndsWith" not in _plan(found)
+
+
+def _one_by_one(rows, rules):
+    """What rules do to nodes, rule by rule."""
+    for row in rows:
+        for rule in rules:
+            match, value = rule["match"], row.get(rule["match"]["field"]) or ""
+            found = re.search(match["pattern"], value) if value else None
+            if row["label"] != match["label"] or not found or any(row.get(k) != v for k, v in match.get("where", {}).items()):
+                continue
+            for key, text in rule["set"].items():
+                made = text.replace("{{x}}", found["x"])
+                if not row.get(key) and made:
+                    row[key] = made
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_layers_of_rules_do_what_rules_do_one_by_one(spark, seed):
+    rnd = random.Random(seed)
+    keys = ["name", "path", "own1", "own2", "own3"]
+    pick = lambda: rnd.choice(keys)
+    rules = [
+        {"match": {"label": rnd.choice("AB"), "field": pick(), "pattern": rnd.choice(["(?P<x>.)$", "^(?P<x>[ab]+)", "(?P<x>b?)"]), "where": {pick(): rnd.choice("ab")} if rnd.random() < 0.4 else {}}, "set": {pick(): rnd.choice(["{{x}}", "a", "b{{x}}"]) for _ in range(rnd.randint(1, 2))}}
+        for _ in range(14)
+    ]
+    rows = [{"id": f"n{i}", "label": rnd.choice("ABC")} | {k: rnd.choice(["", "a", "b", "ab"]) for k in keys if rnd.random() < 0.6} for i in range(60)]
+    done = resolve.resolve(from_rows(spark, [dict(r) for r in rows], []).nodes, rules)
+    got = {r["id"]: [prop or "" for prop in (r["name"], r["path"], *((r["props"] or {}).get(k) for k in keys[2:]))] for r in done.collect()}
+    assert got == {r["id"]: [r.get(k) or "" for k in keys] for r in _one_by_one(rows, rules)}
+
+
+def test_the_plan_grows_with_the_rules(spark, graph):
+    rules = lambda n: [{"match": {"label": "Endpoint", "field": "path", "pattern": rf"/(?P<x>{i})$"}, "set": {f"p{i % 9}": "{{x}}", "kind": "k{{x}}"}} for i in range(n)]
+    size = lambda n: len(resolve.resolve(graph.nodes, rules(n))._jdf.queryExecution().optimizedPlan().toString())
+    began = time.time()
+    assert size(144) < 2.5 * size(72)
+    assert time.time() - began < 30
+    assert len(resolve.strata(rules(72))) == 1
