@@ -272,8 +272,12 @@ def marked_runs(flags: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def with_marks(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with arrays `begins` and `ends` of its marks (null where it has none)."""
-    lists = found.groupBy("x", "y").agg(F.collect_list(F.struct("begin", "end")).alias("m")).select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("m.begin").alias("begins"), F.col("m.end").alias("ends"))
+    """docs with arrays `begins` and `ends` of its marks (null where it has none).
+
+    Rows with the same x and y share one list without repetitions, made while they are
+    still apart, so that any number of equal rows costs no more than one list each.
+    """
+    lists = found.groupBy("x", "y").agg(F.collect_set(F.struct("begin", "end")).alias("m")).select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("m.begin").alias("begins"), F.col("m.end").alias("ends"))
     return docs.join(lists, (docs["x"] == F.col("_x")) & (docs["y"] == F.col("_y")), "left").drop("_x", "_y")
 
 

@@ -3,7 +3,7 @@
 Documents are range-partitioned by id. A task encodes its documents, cuts their ids
 into shards of bounded size at document ends, and replaces frequent pairs of ids by
 nonterminals, round after round, never across a document's end, until no pair is
-frequent or the symbols are used up. A shard's row holds
+frequent or the symbols are used up. Where they are used up too early, wider symbols are tried. A shard's row holds
 the rules, the length to which each rule expands, the shortened sequence, and for
 each document where its symbols begin and how many ids they stand for; so one
 document is read by expanding its own symbols alone.
@@ -28,10 +28,13 @@ from .arrays import BLOCK_BYTES, spread, text_bytes
 from .pieces import PieceCache, piece_bounds
 from .tables import partitions_for, text_size
 
-#: A pair is frequent if a shard has it so many times: a rule takes 8 bytes, and a replaced pair saves 2.
-#: With a vocabulary of 50,000 the symbols, not this bound, end the rounds of a full shard;
-#: symbols of 32 bits would go on, to fewer symbols that take more bytes.
-FREQUENT = 32
+#: A pair is frequent if a shard has it so many times: a rule takes 8 bytes, and a replaced pair saves 2;
+#: with symbols of 32 bits 12 and 4. With a vocabulary of 50,000 the 16-bit symbols, not this bound, end
+#: the rounds of a full shard of prose.
+FREQUENT = {16: 5, 32: 4}
+#: Symbols of 32 bits are tried where the others have run out and at least this share of the places is
+#: still in frequent pairs, as in many copies of long texts; they must then take fewer bytes.
+STILL_FREQUENT = 0.75
 #: Ids of a shard; a longer document has a shard of its own.
 SHARD_IDS = 1 << 22
 _CELL_BITS = 20
@@ -43,7 +46,7 @@ def symbol_bits(first_rule: int) -> int:
     """16 where the vocabulary leaves some thousands of symbols for nonterminals, else 32."""
     return 16 if first_rule <= (1 << 16) - (1 << 12) else 32
 
-SHARD_SCHEMA = "part int, shard int, first_rule int, rules binary, expanded binary, symbols binary, doc_ids array<bigint>, doc_symbols array<bigint>, doc_ids_count array<bigint>"
+SHARD_SCHEMA = "part int, shard int, first_rule int, bits int, rules binary, expanded binary, symbols binary, doc_ids array<bigint>, doc_symbols array<bigint>, doc_ids_count array<bigint>"
 
 
 class ByteBpe:
@@ -95,7 +98,7 @@ def _cell(pair: np.ndarray) -> np.ndarray:
     return (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - _CELL_BITS)
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int | None = None, bits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols), the shortened sequence, and where each document ends in it.
 
     ends: where each document ends in ids. A round counts neighbouring pairs that lie
@@ -104,7 +107,8 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = FREQ
     the pairs overlapping it. Only places whose pair was frequent before, or that stand
     beside a new symbol, are counted again: all others have become rarer if anything.
     """
-    bits = symbol_bits(first_rule)
+    bits = bits or symbol_bits(first_rule)
+    least = least or FREQUENT[bits]
     # a symbol takes half of a pair
     seq, bounds = ids.astype(np.uint32 if bits == 16 else np.uint64), ends.astype(np.int64)
     rules, names, live = [], first_rule, None
@@ -160,6 +164,24 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = FREQ
     return np.stack([flat >> flat.dtype.type(bits), flat & flat.dtype.type((1 << bits) - 1)], 1), seq, bounds
 
 
+def _frequent_share(seq: np.ndarray, bounds: np.ndarray, least: int) -> float:
+    """The share of neighbouring symbols within documents whose pair is found `least` times or more."""
+    pairs = np.delete(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64), np.unique(bounds[(bounds > 0) & (bounds < len(seq))]) - 1)
+    _, counts = np.unique(pairs, return_counts=True)
+    return float(counts[counts >= least].sum()) / max(1, len(pairs))
+
+
+def compressed(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of a symbol, rules, sequence and document ends: of narrow and wide symbols those that take fewer bytes, where both are worth trying."""
+    bits = symbol_bits(first_rule)
+    rules, seq, bounds = repair(ids, ends, first_rule, bits=bits)
+    if bits == 16 and first_rule + len(rules) >= 1 << 16 and _frequent_share(seq, bounds, FREQUENT[32]) >= STILL_FREQUENT:
+        wide = repair(ids, ends, first_rule, bits=32)
+        if 12 * len(wide[0]) + 4 * len(wide[1]) < 8 * len(rules) + 2 * len(seq):
+            return 32, *wide
+    return bits, rules, seq, bounds
+
+
 def expanded_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
     """To how many ids each rule expands; a rule names only ids and earlier rules."""
     sizes: list[int] = []
@@ -186,22 +208,22 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int, sizes: np.nd
     return table[spread(start[symbols], size[symbols])]
 
 
-def _kind(first_rule: int) -> str:
-    return "<u2" if symbol_bits(first_rule) == 16 else "<u4"
+def _kind(bits: int) -> str:
+    return "<u2" if bits == 16 else "<u4"
 
 
 def _shard(part: int, shard: int, ids: list[np.ndarray], sizes: list[np.ndarray], docs: list[int | None], first_rule: int) -> list:
     flat, counts = np.concatenate(ids), np.concatenate(sizes)
-    rules, seq, bounds = repair(flat, np.cumsum(counts), first_rule)
-    kind = _kind(first_rule)
-    return [part, shard, first_rule, rules.astype(kind).tobytes(), expanded_lengths(rules, first_rule).astype("<u4").tobytes(), seq.astype(kind).tobytes(), docs, np.r_[0, bounds[:-1]].tolist(), counts.tolist()]
+    bits, rules, seq, bounds = compressed(flat, np.cumsum(counts), first_rule)
+    kind = _kind(bits)
+    return [part, shard, first_rule, bits, rules.astype(kind).tobytes(), expanded_lengths(rules, first_rule).astype("<u4").tobytes(), seq.astype(kind).tobytes(), docs, np.r_[0, bounds[:-1]].tolist(), counts.tolist()]
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, part_bytes: int = 16 << 20) -> None:
     """Write the ids of all documents, each closed by end_id, as grammar-compressed shards in ascending doc_id order."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = partitions_for(docs.sparkSession, text_size(plain, "text"), part_bytes)
-    arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_rule", pa.int32()), ("rules", pa.binary()), ("expanded", pa.binary()), ("symbols", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_symbols", pa.list_(pa.int64())), ("doc_ids_count", pa.list_(pa.int64()))])
+    arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_rule", pa.int32()), ("bits", pa.int32()), ("rules", pa.binary()), ("expanded", pa.binary()), ("symbols", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_symbols", pa.list_(pa.int64())), ("doc_ids_count", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -250,7 +272,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                kind = _kind(row["first_rule"])
+                kind = _kind(row["bits"])
                 rules = np.frombuffer(row["rules"], kind).reshape(-1, 2).astype(np.int64)
                 ids = expand(np.frombuffer(row["symbols"], kind), rules, row["first_rule"], np.frombuffer(row["expanded"], "<u4").astype(np.int64)).astype("<u4", copy=False)
                 counts = np.array(row["doc_ids_count"], np.int64)
@@ -272,10 +294,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document(shard: dict, k: int) -> np.ndarray:
-    """Ids of the k-th document of one shard row, from its own symbols alone."""
-    kind = _kind(shard["first_rule"])
+    """Ids of the k-th document of one shard row, from its own symbols and the rules they lead to alone."""
+    kind = _kind(shard["bits"])
     rules = np.frombuffer(shard["rules"], kind).reshape(-1, 2).astype(np.int64)
     symbols = np.frombuffer(shard["symbols"], kind)
     at = shard["doc_symbols"]
     sizes = np.frombuffer(shard["expanded"], "<u4").astype(np.int64)
-    return expand(symbols[at[k] : at[k + 1] if k + 1 < len(at) else len(symbols)], rules, shard["first_rule"], sizes)
+    first, own = shard["first_rule"], symbols[at[k] : at[k + 1] if k + 1 < len(at) else len(symbols)].astype(np.int64)
+    used, fresh = np.zeros(len(rules), bool), np.unique(own[own >= first]) - first
+    while len(fresh):
+        used[fresh] = True
+        named = np.unique(rules[fresh])
+        fresh = named[named >= first] - first
+        fresh = fresh[~used[fresh]]
+    # the rules in use, numbered anew
+    names = first + np.cumsum(used) - 1
+    renamed = lambda x: np.where(x < first, x, names[np.maximum(x - first, 0)]) if len(names) else x
+    return expand(renamed(own), renamed(rules[used]), first, sizes[used])
