@@ -4,7 +4,8 @@ Tokens are runs of letters and digits in lower case. The hashes of every run of
 `seed` tokens of the benchmark items, taken by a running Karp-Rabin hash, meet those
 of the documents. For each document and item that share one, matches are grown along
 their diagonals; then the longest match among unmarked tokens is marked again and
-again until none of `seed` tokens is left. The marked share of the item's tokens is
+again until none of `seed` tokens is left. Texts that repeat what they share so often that
+pairs of places would be too many are tiled length by length, in memory linear in the text. The marked share of the item's tokens is
 its coverage; a document that covers half of an item, in whatever order, is
 contaminated.
 
@@ -29,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Block, blocks, text_bytes, window_hashes, within
+from .arrays import Block, blocks, spread, text_bytes, window_hashes, within
 from .tables import aside, materialize, text_size
 
 #: Tokens of the shortest tile, and the covered share of an item from which a document is contaminated.
 SEED, COVERAGE = 5, 0.5
 #: Bytes of benchmark text sent to the executors at once.
 BLOCK = 8 << 20
+#: Pairs of places listed at once; a text with more is tiled without listing them.
+PAIRS = 1 << 19
 _BITS = 20
 
 
@@ -60,9 +63,9 @@ class Seeds:
             bits[keys >> np.uint64(64 - _BITS)] = True
             self.by_length.append((k, keys[order], at[order], bits))
 
-    def matches(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document token, item token and length of all shared seeds."""
-        left, right, size = [], [], []
+    def met(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each seed length: it, the document tokens where a shared seed begins, which of the index's places (from, to) have it, and those places."""
+        out = []
         for k, keys, places, bits in self.by_length:
             if len(words) < k:
                 continue
@@ -71,13 +74,70 @@ class Seeds:
             inside = np.searchsorted(first, likely, "right") == np.searchsorted(first, likely + k - 1, "right")
             likely = likely[inside]
             a, b = np.searchsorted(keys, found[likely], "left"), np.searchsorted(keys, found[likely], "right")
-            n = b - a
-            total = np.cumsum(n)
-            left.append(np.repeat(likely, n))
-            right.append(places[np.repeat(a - (total - n), n) + np.arange(total[-1] if len(total) else 0)])
-            size.append(np.full(len(left[-1]), k))
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([none, *size])
+            out.append((k, likely[b > a], a[b > a], b[b > a], places))
+        return out
+
+
+def listed(met: list, chosen: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document token, item token and length of all pairs of places of the chosen shared seeds."""
+    none = np.zeros(0, np.int64)
+    left, right, size = [none], [none], [none]
+    for (k, at, a, b, places), keep in zip(met, chosen, strict=True):
+        n = (b - a)[keep]
+        left.append(np.repeat(at[keep], n))
+        right.append(places[spread(a[keep], n)])
+        size.append(np.full(len(left[-1]), k))
+    return np.concatenate(left), np.concatenate(right), np.concatenate(size)
+
+
+def _free(tokens: np.ndarray, used: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of n unmarked tokens begin, and their hashes."""
+    marks = np.r_[0, np.cumsum(used)]
+    at = np.flatnonzero(marks[n:] == marks[:-n]) if n <= len(tokens) else np.zeros(0, np.int64)
+    return at, window_hashes(tokens, n)[at] if len(at) else np.zeros(0, np.uint64)
+
+
+def tiled_by_length(document: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The same tiles without listing pairs of places: memory is linear in the tokens of the two, however they repeat.
+
+    For the greatest length at which unmarked runs of both are equal, found by bisection
+    over running hashes, all tiles of that length are marked from the left; as no longer
+    one is left by then, these are the next ones of the greedy order.
+    """
+    used_left, used_right = np.zeros(len(document), bool), np.zeros(len(item), bool)
+    tiles: list[tuple[int, int, int]] = []
+    common = lambda n: bool(np.isin(_free(item, used_right, n)[1], _free(document, used_left, n)[1]).any())
+    most = min(len(document), len(item))
+    while most >= least and common(least):
+        low, high = least, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if common(middle) else (low, middle - 1)
+        at, keys = _free(document, used_left, low)
+        places, names = _free(item, used_right, low)
+        waiting: dict[int, list[int]] = {}
+        for j, name in zip(places[::-1].tolist(), names[::-1].tolist(), strict=True):
+            waiting.setdefault(name, []).append(j)
+        shared = np.isin(keys, names)
+        free_from = 0
+        for i, key in zip(at[shared].tolist(), keys[shared].tolist(), strict=True):
+            spots = waiting.get(key)
+            if i < free_from or not spots:
+                continue
+            # a place once covered stays so
+            while spots and used_right[spots[-1] : spots[-1] + low].any():
+                spots.pop()
+            if spots:
+                j = spots.pop()
+                tiles.append((i, j, low))
+                used_left[i : i + low] = used_right[j : j + low] = True
+                free_from = i + low
+            if not spots:
+                del waiting[key]
+                if not waiting:
+                    break
+        most = low - 1
+    return tiles
 
 
 def tiled(left: np.ndarray, right: np.ndarray, size: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -118,22 +178,42 @@ def tiled(left: np.ndarray, right: np.ndarray, size: np.ndarray, least: int) ->
 def _best(block: Block, seeds: Seeds) -> dict[int, tuple[float, int, int, int]]:
     """Per row with shared seeds: coverage, item id, tiled tokens, and items at or above COVERAGE."""
     _, _, words, first = block.words(lower=True, letters=True)
-    left, right, size = seeds.matches(words, first)
-    if not len(left):
-        return {}
-    row, item = np.searchsorted(first, left, "right") - 1, np.searchsorted(seeds.first, right, "right") - 1
-    order = np.lexsort((item, row))
-    left, right, size, row, item = left[order], right[order], size[order], row[order], item[order]
-    cuts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])])
+    met = seeds.met(words, first)
+    rows = [np.searchsorted(first, at, "right") - 1 for _, at, *_ in met]
+    pairs = np.zeros(len(block), np.int64)
+    for row, (_, _, a, b, _) in zip(rows, met, strict=True):
+        np.add.at(pairs, row, b - a)
     out: dict[int, tuple[float, int, int, int]] = {}
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(row)], strict=True):
-        k, r = int(item[a]), int(row[a])
-        n = int(seeds.first[k + 1] - seeds.first[k])
-        tokens = sum(t[2] for t in tiled(left[a:b], right[a:b], size[a:b], min(seeds.seed, n)))
-        found = (tokens / n, -int(seeds.ids[k]), tokens)
+
+    def count(r: int, k: int, tiles: list[tuple[int, int, int]]) -> None:
+        n, tokens = int(seeds.first[k + 1] - seeds.first[k]), sum(t[2] for t in tiles)
         before = out.get(r, (-1.0, 0, 0, 0))
-        best = max(found, (before[0], -before[1], before[2]))
+        best = max((tokens / n, -int(seeds.ids[k]), tokens), (before[0], -before[1], before[2]))
         out[r] = (best[0], -best[1], best[2], before[3] + (tokens / n >= COVERAGE))
+
+    least = lambda k: min(seeds.seed, int(seeds.first[k + 1] - seeds.first[k]))
+    light = np.flatnonzero((pairs > 0) & (pairs <= PAIRS))
+    # as many rows at once as have PAIRS pairs together
+    group = np.cumsum(pairs[light]) // PAIRS
+    for g in np.unique(group).tolist():
+        own = np.zeros(len(block), bool)
+        own[light[group == g]] = True
+        left, right, size = listed(met, [own[row] for row in rows])
+        row, item = np.searchsorted(first, left, "right") - 1, np.searchsorted(seeds.first, right, "right") - 1
+        order = np.lexsort((item, row))
+        left, right, size, row, item = left[order], right[order], size[order], row[order], item[order]
+        cuts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])])
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(row)], strict=True):
+            k = int(item[a])
+            count(int(row[a]), k, tiled(left[a:b], right[a:b], size[a:b], least(k)))
+    for r in np.flatnonzero(pairs > PAIRS).tolist():
+        document, items = words[first[r] : first[r + 1]], []
+        for row, (_, _, a, b, places) in zip(rows, met, strict=True):
+            # each shared seed once, however often the text has it
+            begin, at = np.unique(a[row == r], return_index=True)
+            items.append(np.unique(np.searchsorted(seeds.first, places[spread(begin, b[row == r][at] - begin)], "right") - 1))
+        for k in np.unique(np.concatenate(items)).tolist():
+            count(r, k, tiled_by_length(document, seeds.tokens[seeds.first[k] : seeds.first[k + 1]], least(k)))
     return out
 
 
