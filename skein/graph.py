@@ -88,7 +88,16 @@ def version(graph: Graph) -> DataFrame:
     Every id and key is hashed by itself and the 32-bit parts of the hashes are summed,
     so that no sorted list of the whole graph is built in one place.
     """
+    return named(digest(graph))
+
+
+def digest(graph: Graph) -> DataFrame:
+    """One row of sums (s0 to s3) over the hashes of all node ids and edge keys, and their number n; digests of parts add up."""
     keys = graph.nodes.select(F.concat(F.lit("n:"), "id").alias("k")).unionByName(graph.edges.select(F.concat_ws(":", F.lit("e"), "type", "src", "dst").alias("k")))
-    part = lambda i: F.coalesce(F.sum(F.conv(F.substring(F.sha2("k", 256), 1 + 8 * i, 8), 16, 10).cast("long")), F.lit(0))
-    sums = keys.agg(*(part(i).alias(f"s{i}") for i in range(4)), F.count("*").alias("n"))
+    # decimals, as beyond some billions of keys the sums leave 64 bits
+    part = lambda i: F.coalesce(F.sum(F.conv(F.substring(F.sha2("k", 256), 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
+    return keys.agg(*(part(i).alias(f"s{i}") for i in range(4)), F.count("*").alias("n"))
+
+
+def named(sums: DataFrame) -> DataFrame:
     return sums.select(F.substring(F.sha2(F.concat_ws(":", "s0", "s1", "s2", "s3", "n"), 256), 1, 16).alias("graph_version"))

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import estate
+from . import estate, snapshots
 from .functions import text
 from .graph import Graph, as_nodes, materialize, version
-from .operators import aggregate, clusters, dedup, extract, link, resolve, search, trace, traverse, verify
+from .operators import aggregate, clusters, dedup, extract, link, postings, resolve, search, trace, traverse, verify
 from .plans import views
 from .plans.cypher import PatternQuery, from_text
 from .sources import readers
@@ -528,6 +528,21 @@ def search_exact(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(estate.estate(spark, sf), "Brand-25").select("id", "score")
 
 
+@_query(_sql["callers"])
+def callers_by_index(spark: SparkSession, sf: str) -> DataFrame:
+    return postings.callers(postings.build(estate.estate(spark, sf)), "Supplier#00000001").select("type", "src", "dst")
+
+
+@_query(_sql["callees"])
+def callees_by_index(spark: SparkSession, sf: str) -> DataFrame:
+    return postings.callees(postings.build(estate.estate(spark, sf)), "Customer#00000002").select("type", "src", "dst")
+
+
+@_query(_sql["search_exact"])
+def search_by_index(spark: SparkSession, sf: str) -> DataFrame:
+    return postings.search(postings.build(estate.estate(spark, sf)), "Brand-25").select("id", "score")
+
+
 def _overlap_sql(field: str, words: list[str]) -> str:
     return " + ".join(f"len(list_filter(regexp_split_to_array({field}, '[^a-z0-9]+'), lambda x: x = '{w}'))" for w in words)
 
@@ -622,6 +637,20 @@ def graph_version(spark: SparkSession, sf: str) -> DataFrame:
     return version(estate.estate(spark, sf))
 
 
+@_query(_sql["graph_version"])
+def graph_version_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """The version of a snapshot that was written in three parts, from their digests alone."""
+    g = estate.estate(spark, sf)
+    nodes, edges = materialize(g.nodes), materialize(g.edges)
+    part = lambda k: Graph(nodes.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k), edges.where(F.pmod(F.xxhash64("dst"), F.lit(3)) == k))
+    path = snapshots.create(part(0))
+    snapshots.append(spark, path, part(1))
+    # what is there already, and what is there twice in an addition, adds nothing
+    again = part(2)
+    snapshots.append(spark, path, Graph(again.nodes.unionByName(nodes), again.edges.unionByName(edges.where("type = 'PLACED'")).unionByName(again.edges)))
+    return snapshots.version(spark, path)
+
+
 # Scalars
 
 

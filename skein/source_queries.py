@@ -150,6 +150,13 @@ def call_graph_read(spark: SparkSession, sf: str) -> DataFrame:
 CASE WHEN event_type <> 'purchase' THEN '/' || event_type END AS path, CASE WHEN event_type = 'purchase' THEN event_type END AS topic FROM events""")
 def otlp_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Events written as trace documents, half of them plain, and read again."""
+    ev, otlp, plain = _traces(spark, sf)
+    texts = ev.select(F.col("event_id").alias("ordinal"), F.when(F.col("event_id") % 2 == 0, otlp).otherwise(plain).alias("value"))
+    return readers.spans(texts).select(F.col("ordinal.document").alias("document"), "service", "target_service", "path", "topic")
+
+
+def _traces(spark: SparkSession, sf: str) -> tuple[DataFrame, Column, Column]:
+    """Events, and each as a trace document with and without resources."""
     ev = estate.table(spark, sf, "events")
     attribute = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value"))
     user, target = F.concat(F.lit("user-"), "user_id"), F.concat(F.lit("svc-"), F.get_json_object("props", "$.k"))
@@ -159,8 +166,26 @@ def otlp_spans(spark: SparkSession, sf: str) -> DataFrame:
     otlp = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(attribute("service.name", user)).alias("attributes")).alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans")))
     flat = F.map_concat(F.create_map(F.lit("peer.service"), target), F.when(bought, F.create_map(F.lit("messaging.destination"), F.col("event_type"))).otherwise(F.create_map(F.lit("url.path"), F.concat(F.lit("/"), "event_type"))))
     plain = F.to_json(F.struct(user.alias("service"), F.array(F.struct(F.col("event_type").alias("name"), flat.alias("attributes"))).alias("spans")))
-    texts = ev.select(F.col("event_id").alias("ordinal"), F.when(F.col("event_id") % 2 == 0, otlp).otherwise(plain).alias("value"))
-    return readers.spans(texts).select(F.col("ordinal.document").alias("document"), "service", "target_service", "path", "topic")
+    return ev, otlp, plain
+
+
+@_query("""WITH e AS (SELECT event_id, 'user-' || user_id AS u, 'svc-' || json_extract_string(props, '$.k') AS t, CASE WHEN event_type <> 'purchase' THEN '/' || event_type END AS path, CASE WHEN event_type = 'purchase' THEN event_type END AS topic, event_id % 3 AS kind FROM events)
+SELECT event_id AS document, '0.0' AS place, u AS service, t AS target_service, path, topic FROM e WHERE kind = 0
+UNION ALL SELECT event_id, '1.0', u, t, path, topic FROM e WHERE kind = 0
+UNION ALL SELECT event_id, '0.0.0', u, t, path, topic FROM e WHERE kind = 1
+UNION ALL SELECT event_id, '', NULL, NULL, NULL, NULL FROM e WHERE kind = 2
+UNION ALL SELECT event_id, '0.0.1.0.0', u, t, path, topic FROM e WHERE kind = 2""")
+def otlp_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Trace documents inside lists, objects and other spans, found wherever they stand."""
+    ev, otlp, plain = _traces(spark, sf)
+    kind = F.col("event_id") % 3
+    text = (
+        F.when(kind == 0, F.concat(F.lit('[{"x":'), otlp, F.lit(',"y":"no \\"spans\\": here"},['), plain, F.lit('],{"spans":{"none":1}}]')))
+        .when(kind == 1, F.concat(F.lit('{"a":{"b":['), otlp, F.lit('],"c":null}}')))
+        .otherwise(F.concat(F.lit('{"spans":[{"name":"outer","z":{"deep":['), plain, F.lit("]}}]}")))
+    )
+    found = readers.spans(ev.select(F.col("event_id").alias("ordinal"), text.alias("value")))
+    return found.select(F.col("ordinal.document").alias("document"), F.array_join("ordinal.at", ".").alias("place"), "service", "target_service", "path", "topic")
 
 
 @_query("SELECT lower(replace(n_name, '_', '-')) AS host, 'svc-' || n_regionkey AS service FROM nation")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import slug
-from ..graph import EDGE, NODE, Graph, as_edges, as_nodes
+from ..graph import EDGE, NODE, Graph, as_edges, as_nodes, materialize
 from ..operators.extract import glob_regex
 from .rules import service_names, service_settings
 
@@ -101,7 +101,7 @@ _ATTRS = f"array<struct<key:string,value:{_VALUE}>>"
 _SPANS = f"array<struct<name:string,service:string,serviceName:string,attributes:{_ATTRS}>>"
 _SCOPES = f"array<struct<spans:{_SPANS}>>"
 OTLP = f"struct<resourceSpans:array<struct<resource:struct<attributes:{_ATTRS}>,scopeSpans:{_SCOPES},instrumentationLibrarySpans:{_SCOPES}>>>"
-PLAIN = "struct<service:string,spans:array<struct<name:string,service:string,serviceName:string,attributes:map<string,string>>>>"
+_PLAIN = "struct<service:string,spans:array<struct<name:string,service:string,serviceName:string,attributes:ATTRIBUTES>>>"
 
 
 def attributes(attrs: Column) -> Column:
@@ -116,24 +116,63 @@ def attributes(attrs: Column) -> Column:
     return F.aggregate(F.coalesce(attrs, F.array().cast(_ATTRS)), F.create_map().cast("map<string,string>"), lambda m, a: F.map_concat(F.map_filter(m, lambda k, _: k != a["key"]), F.create_map(a["key"], value(a["value"]))))
 
 
+def _kind(v: Column | str) -> Column:
+    """object, array or scalar, of a variant."""
+    return F.lower(F.regexp_extract(F.schema_of_variant(v), "^(OBJECT|ARRAY)", 1))
+
+
 def spans(texts: DataFrame) -> DataFrame:
-    """Spans of trace documents (ordinal, value): OTLP, or where that is missing a plain list.
+    """Spans of trace documents (ordinal, value), wherever they stand in them.
+
+    An object with `resourceSpans` gives those and is not looked into any further. Any other
+    gives its `spans`, if they are a list, and is then searched like every list: all that
+    it holds is a document of its own. The search goes down level by level until no object
+    or list with such a name in it is left, so a document takes as many rounds as it is
+    deep. A value that is no JSON has no spans.
 
-    A span's ordinal is its document's with its places in it, so that no two spans of
-    different documents share one if the documents' ordinals differ, and spans keep their order.
+    A span's ordinal is its document's with its places in it: no two spans share one if
+    the documents' ordinals differ, and spans come in the order of a walk that gives an
+    object's own spans first and then goes into its values, in the order of their names.
     """
-    otlp = texts.select("ordinal", F.from_json("value", OTLP).alias("t"))
-    res = otlp.select("ordinal", F.posexplode("t.resourceSpans").alias("i", "r"))
-    scopes = res.select("ordinal", "i", attributes(F.col("r.resource.attributes")).alias("res"), F.posexplode(F.concat(F.coalesce("r.scopeSpans", F.array().cast(_SCOPES)), F.coalesce("r.instrumentationLibrarySpans", F.array().cast(_SCOPES)))).alias("j", "s"))
-    deep = scopes.select("ordinal", "i", "j", "res", F.posexplode("s.spans").alias("k", "s")).select("ordinal", "i", "j", "k", "s.name", F.coalesce("s.service", "s.serviceName", F.try_element_at("res", F.lit("service.name"))).alias("hint"), attributes(F.col("s.attributes")).alias("attrs"))
-    plain = texts.where(F.get_json_object("value", "$.resourceSpans").isNull()).select("ordinal", F.from_json("value", PLAIN).alias("t")).select("ordinal", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("t.service").alias("all"), F.posexplode("t.spans").alias("k", "s")).select("ordinal", "i", "j", "k", "s.name", F.coalesce("s.service", "s.serviceName", "all").alias("hint"), F.col("s.attributes").alias("attrs"))
-    return normalized(deep.unionByName(plain))
+    inner = lambda v: F.to_json(v).rlike('"(?:resourceSpans|spans)" ?:')
+    level = texts.select("ordinal", F.array().cast("array<int>").alias("at"), F.try_parse_json("value").alias("v")).where("v IS NOT NULL").where(inner("v"))
+    deep: DataFrame | None = None
+    while True:
+        level = materialize(level)
+        if level.isEmpty():
+            break
+        own = level.withColumns({"kind": _kind("v"), "otlp": F.try_variant_get("v", "$.resourceSpans", "variant"), "text": F.to_json("v")})
+        found = _resource_spans(own.where("otlp IS NOT NULL")).unionByName(_plain_spans(own.where("kind = 'object' AND otlp IS NULL")))
+        deep = found if deep is None else deep.unionByName(found)
+        below = own.where("otlp IS NULL").lateralJoin(texts.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        level = below.select("ordinal", F.concat("at", F.array("pos")).alias("at"), F.col("value").alias("v")).where(_kind("v") != "").where(inner("v"))
+    if deep is None:
+        deep = _plain_spans(texts.limit(0).select("ordinal", F.array().cast("array<int>").alias("at"), F.col("value").cast("string").alias("text")))
+    return normalized(deep)
+
+
+def _resource_spans(objects: DataFrame) -> DataFrame:
+    otlp = objects.select("ordinal", "at", F.from_json("text", OTLP).alias("t"))
+    res = otlp.select("ordinal", "at", F.posexplode("t.resourceSpans").alias("i", "r"))
+    scopes = res.select("ordinal", "at", "i", attributes(F.col("r.resource.attributes")).alias("res"), F.posexplode(F.concat(F.coalesce("r.scopeSpans", F.array().cast(_SCOPES)), F.coalesce("r.instrumentationLibrarySpans", F.array().cast(_SCOPES)))).alias("j", "s"))
+    each = scopes.select("ordinal", "at", "i", "j", "res", F.posexplode("s.spans").alias("k", "s"))
+    return each.select("ordinal", "at", "i", "j", "k", "s.name", F.coalesce("s.service", "s.serviceName", F.try_element_at("res", F.lit("service.name"))).alias("hint"), attributes(F.col("s.attributes")).alias("attrs"))
+
+
+def _plain_spans(objects: DataFrame) -> DataFrame:
+    """An object's own `spans`; their attributes are a map or a list of OTLP attributes."""
+    listed = _PLAIN.replace("ATTRIBUTES", _ATTRS)
+    t = objects.select("ordinal", "at", F.from_json("text", _PLAIN.replace("ATTRIBUTES", "map<string,string>")).alias("m"), F.from_json("text", listed).alias("l"))
+    each = t.select("ordinal", "at", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("m.service").alias("all"), F.posexplode(F.arrays_zip(F.col("m.spans").alias("m"), F.col("l.spans").alias("l"))).alias("k", "s"))
+    s = lambda f: F.coalesce(F.col(f"s.m.{f}"), F.col(f"s.l.{f}"))
+    given = F.when(F.size("s.l.attributes") > 0, attributes(F.col("s.l.attributes"))).otherwise(F.col("s.m.attributes"))
+    return each.select("ordinal", "at", "i", "j", "k", s("name").alias("name"), F.coalesce(s("service"), s("serviceName"), "all").alias("hint"), given.alias("attrs"))
 
 
 def normalized(raw: DataFrame) -> DataFrame:
-    """ordinal, name, service, target_service, path and topic from rows (ordinal, i, j, k, name, hint, attrs)."""
+    """ordinal, name, service, target_service, path and topic from rows (ordinal, at, i, j, k, name, hint, attrs)."""
     a = lambda *keys: F.coalesce(*(F.nullif(F.try_element_at("attrs", F.lit(k)), F.lit("")) for k in keys))
-    place = F.struct(F.col("ordinal").alias("document"), "i", "j", "k")
+    place = F.struct(F.col("ordinal").alias("document"), "at", "i", "j", "k")
     named = F.nullif(F.regexp_extract(F.coalesce("name", F.lit("")), r"(?:^|\W)(/[A-Za-z0-9_./{}-]+)", 1), F.lit(""))
     return raw.select(place.alias("ordinal"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("hint", a("service.name")).alias("service"), a("peer.service", "server.address", "net.peer.name").alias("target_service"), F.coalesce(a("http.route", "http.target", "url.path"), named).alias("path"), a("messaging.destination.name", "messaging.destination", "messaging.kafka.topic").alias("topic"))
 

@@ -141,6 +141,16 @@ def test_dedup_and_traces(spark, graph):
     assert [(r["name"], r["path"], r["target_service"]) for r in spans(spark.createDataFrame([(0, listed)], "ordinal int, value string")).collect()] == [("z", '["p","3"]', '{"k":"v"}')]
 
 
+def test_spans_are_found_wherever_they_stand(spark):
+    docs = [
+        '[{"x":{"resourceSpans":[{"scopeSpans":[{"spans":[{"name":"a","spans":[{"name":"never"}]}]}]}],"spans":[{"name":"never"}]}},{"spans":[{"name":"b"},{"name":"c","spans":[{"name":"d"}]}],"service":"s"}]',
+        "no json", '{"spans":{"spans":[{"name":"e"}]}}', '{"spans":[]}', None, '{"a":[[[{"spans":[{"name":"f","service":"g","attributes":[{"key":"url.path","value":{"stringValue":"/p"}}]}]}]]]}', '"spans"', "[]",
+    ]
+    got = spans(spark.createDataFrame(list(enumerate(docs)), "ordinal int, value string")).orderBy("ordinal").collect()
+    assert [(r.ordinal.document, r["name"], r.service, r.path) for r in got] == [(0, "a", None, None), (0, "b", "s", None), (0, "c", "s", None), (0, "d", None, None), (2, "e", None, None), (5, "f", "g", "/p")]
+    assert spans(spark.createDataFrame([], "ordinal int, value string")).collect() == []
+
+
 def test_streamed_traces(spark, graph, tmp_path):
     span = lambda target, path: json.dumps({"service": "web", "spans": [{"name": "call", "attributes": {"http.route": path, "peer.service": target}}]})
     base = Graph(graph.nodes, graph.edges.limit(0))
