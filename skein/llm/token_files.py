@@ -32,6 +32,8 @@ from .tables import partitions_for, text_size
 #: with symbols of 32 bits 12 and 4. With a vocabulary of 50,000 the 16-bit symbols, not this bound, end
 #: the rounds of a full shard of prose.
 FREQUENT = {16: 5, 32: 4}
+#: Pairs found so many times are replaced first.
+OFTEN = 32
 #: Symbols of 32 bits are tried where the others have run out and at least this share of the places is
 #: still in frequent pairs, as in many copies of long texts; they must then take fewer bytes.
 STILL_FREQUENT = 0.75
@@ -111,7 +113,8 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int | None
     least = least or FREQUENT[bits]
     # a symbol takes half of a pair
     seq, bounds = ids.astype(np.uint32 if bits == 16 else np.uint64), ends.astype(np.int64)
-    rules, names, live = [], first_rule, None
+    # rare pairs wait until no other is left, which keeps the first rounds short
+    rules, names, live, now = [], first_rule, None, max(least, OFTEN)
     while len(seq) > 1 and names < 1 << bits:
         half = seq.dtype.type(bits)
         if live is None:
@@ -121,15 +124,18 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int | None
         else:
             pair, apart = seq[live] << half | seq[live + 1], live[:0]
         cell = _cell(pair)
-        heavy = (np.bincount(cell, minlength=1 << _CELL_BITS) >= least)[cell]
+        heavy = (np.bincount(cell, minlength=1 << _CELL_BITS) >= now)[cell]
         heavy[apart] = False
         live, pair, cell = live[heavy], pair[heavy], cell[heavy]
         ranked = np.sort(pair)
         begin = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
         kinds, count = ranked[begin], np.diff(np.r_[begin, len(ranked)])
-        kinds, count = kinds[count >= least], count[count >= least]
+        kinds, count = kinds[count >= now], count[count >= now]
         if not len(kinds):
-            break
+            if now == least:
+                break
+            now, live = least, None
+            continue
         # rarest first, so that of pairs with one cell the most frequent has it; the others wait for the next round
         chosen = kinds[np.argsort(-count, kind="stable")[: (1 << bits) - names][::-1]]
         own = _cell(chosen)
