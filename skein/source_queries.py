@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import estate
 from .functions import text
 from .graph import Graph, as_edges, as_nodes, shared_folder
-from .operators import aggregate, extract, link, report, resolve, search, verify
+from .operators import aggregate, discover, extract, link, report, resolve, search, verify
 from .sources import readers, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,31 @@ def topics_by_setting(spark: SparkSession, sf: str) -> DataFrame:
     return link.producers_to_consumers(nodes)[0].select("src", "dst", "confidence")
 
 
+_USED = r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS x FROM documents),
+u AS (SELECT 'annotation' AS what, unnest(regexp_extract_all(x, '@\w+')) AS term FROM l UNION ALL SELECT 'call', unnest(regexp_extract_all(x, '\.(\w+)\s*\(', 1)) FROM l
+  UNION ALL SELECT 'import', string_split(regexp_extract(x, '^\s*import\s+([\w.]+)', 1), '.')[1] FROM l WHERE regexp_matches(x, '^\s*import\s+[\w.]+')),
+c AS (SELECT what, term, count(*) AS n FROM u GROUP BY what, term) """
+
+
+@_query(_USED + "SELECT * FROM c")
+def code_usage(spark: SparkSession, sf: str) -> DataFrame:
+    return discover.usage(estate.files(spark, sf))
+
+
+@_query("""SELECT 'spring.http_clients' AS section, 'tokens' AS key, '.' || c || '(' AS value FROM (VALUES ('retrieve'), ('Uri')) AS t(c)
+UNION ALL SELECT 'spring.rest', 'controller_annotations', '@My' || regexp_replace(n_name, '\\W', '_', 'g') || 'Controller' FROM nation UNION ALL SELECT 'spring.rest', 'controller_annotations', '@RestController'
+UNION ALL SELECT 'spring.message_buses', 'kafka', '@KafkaListener' UNION ALL SELECT 'javascript.express', 'app_tokens', v FROM (VALUES ('express()'), ('Router()')) AS t(v)""")
+def suggested_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings suggested by code of nations; what a build folder or another kind of file holds counts for nothing."""
+    name = F.regexp_replace("n_name", r"\W", "_")
+    code = _said("import org.x.Y;\n@My{n}Controller @RestController class A { void m() { c.retrieve().Uri(x).get (); } @KafkaListener void k() {} }", n=name)
+    web = F.lit("const e = require('express');\nimport y\nfoo.bar()")
+    file = lambda name, content: F.struct(name.alias("file"), content.alias("content"))
+    each = F.array(file(F.concat(F.lit("a/F"), "n_nationkey", F.lit(".java")), code), file(F.lit("w.js"), web), file(F.lit("build/B.java"), F.lit("@OtherController")), file(F.lit("x.txt"), F.lit("@TextController")))
+    files = estate.table(spark, sf, "nation").select(F.lit("s").alias("service"), F.explode(each).alias("f")).select("service", "f.*")
+    return discover.overlay(discover.usage(discover.code_files(files)))
+
+
 # Readers and writers
 
 

@@ -191,7 +191,9 @@ def write_graph(graph: Graph, path: str) -> None:
 
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
-    return Graph(as_nodes(spark.read.parquet(f"{path}/nodes")), as_edges(spark.read.parquet(f"{path}/edges")))
+    # read by its own schema: a graph without edges has no files to tell one from
+    fixed = lambda part, schema: spark.read.schema(", ".join(f"`{c}` {t}" for c, t in schema.items())).parquet(f"{path}/{part}")
+    return Graph(as_nodes(fixed("nodes", NODE)), as_edges(fixed("edges", EDGE)))
 
 
 def write_json_lines(graph: Graph, path: str) -> None:

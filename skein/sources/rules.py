@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.text import slug
 
 # What a rule may work on, and the settings that name paths to leave out.
+# Fixed value: the language of stored queries.
+LANGUAGE = "kuzu-cypher"
 SCOPES = ("source", "graph", "resolve")
 EXCLUDES = ("exclude", "excludes", "additional_excludes")
 
@@ -44,6 +46,27 @@ def checked_rule(rule: dict) -> dict:
     return rule
 
 
+def checked_specs(specs: object) -> dict[str, dict]:
+    """Stored pattern queries by name, if each has a query (a text or lines that are not empty) and, where given, returns and params as objects."""
+    if not isinstance(specs, dict):
+        raise ValueError("specs are an object of named queries")
+    for name, spec in specs.items():
+        if not isinstance(spec, dict) or spec.get("kind") != "query":
+            raise ValueError(f"{name}: a spec is an object of kind query")
+        query = spec.get("query")
+        lines = [query] if isinstance(query, str) else query
+        if not isinstance(lines, list) or not lines or not all(isinstance(x, str) and x for x in lines):
+            raise ValueError(f"{name}: query is a text or a list of lines, none of them empty")
+        if spec.get("language", LANGUAGE) != LANGUAGE:
+            raise ValueError(f"{name}: language must be {LANGUAGE}")
+        for key in ("returns", "params"):
+            if not isinstance(spec.get(key, {}), dict):
+                raise ValueError(f"{name}: {key} must be an object")
+        if not all(isinstance(x, str) and x for pair in spec.get("returns", {}).items() for x in pair):
+            raise ValueError(f"{name}: returns names variables and their labels or types")
+    return specs
+
+
 def rule_files(spark: SparkSession, path: str) -> list[dict]:
     """The rules of all JSON files below path, in the order of the files' names; a file holds a rule or a list of them."""
     texts = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
