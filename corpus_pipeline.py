@@ -1,4 +1,14 @@
-"""A corpus from raw documents to token ids: five stages, each on all that the one before has kept."""
+"""A corpus from raw documents to token ids: five stages, each on all that the one before has kept.
+
+Edge cases, in each stage: a null or empty text fails the base rule of quality and goes;
+given to a later stage by itself it has no lines, no shingles, no benchmark passage and no
+ids, and stays. Rows without an id and rows that share one are judged each for itself,
+but of rows equal in id and text the grouping stage keeps one, the first by language,
+source and size. Of equal texts the line stage keeps the one with the smallest id, and of
+ties in the grouping stage the smallest id stays. An empty table passes through all stages
+as an empty table. Only the columns of documents are read, whatever others there are,
+and all stages but the last return just these.
+"""
 
 from __future__ import annotations
 
