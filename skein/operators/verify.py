@@ -48,7 +48,10 @@ def required_edges(graph: Graph, wanted: list[dict[str, str]]) -> DataFrame:
     """Requirements (type, from_service, to_service, topic, path; those left out hold for all) that no edge meets."""
     keys = ("type", "from_service", "to_service", "topic", "path")
     want = graph.spark.createDataFrame([(i, *(w.get(k) for k in keys)) for i, w in enumerate(wanted)], "i int, " + ", ".join(f"w_{k} string" for k in keys))
-    own = graph.edges.select("type", "src", "dst", "from_service", "to_service").join(graph.nodes.select(F.col("id").alias("src"), "topic"), "src", "left").join(graph.nodes.select(F.col("id").alias("dst"), "path"), "dst", "left")
+    # a wanted edge usually names its type: all others stay out of the joins
+    types = {w.get("type") for w in wanted}
+    edges = graph.edges.where(F.col("type").isin(*types)) if None not in types else graph.edges
+    own = edges.select("type", "src", "dst", "from_service", "to_service").join(graph.nodes.select(F.col("id").alias("src"), "topic"), "src", "left").join(graph.nodes.select(F.col("id").alias("dst"), "path"), "dst", "left")
     kinds = own.select(*keys).distinct()
     fits = reduce(lambda a, b: a & b, ((F.col(f"w_{k}").isNull() | (F.col(f"w_{k}") == F.col(k))) for k in keys))
     lone = want.join(kinds, fits, "left_anti")  # the wanted ones are a handful: they are the side that is broadcast
