@@ -6,13 +6,13 @@ import time
 import pytest
 
 from skein import plugins
-from skein.graph import Graph, bucketed
+from skein.graph import Graph, as_edges, as_nodes, bucketed, materialize
 from skein.operators import clusters, dedup, extract, link, resolve, search, trace, traverse, verify
 from skein.plans import lenses
 from skein.plans.cypher import PatternQuery, from_text
 from skein.plans.views import overlaid, run_view
 from skein.sources.readers import from_rows, spans
-from skein.streaming.traces import merge_stream
+from skein.streaming import traces
 
 
 @pytest.fixture(scope="module")
@@ -159,7 +159,7 @@ def test_streamed_traces(spark, graph, tmp_path):
     incoming.mkdir()
     (incoming / "a.txt").write_text("\n".join([span("s0", "/p0"), span("s1", "/p1"), span("s1", "/p1"), span("gone", "/new")]))
     for expected in ({"n0", "n1"}, {"n0", "n1", "n2"}):
-        query = merge_stream(spark.readStream.option("maxFilesPerTrigger", 1).text(str(incoming)), Graph(known.nodes, base.edges), str(tmp_path / "out"), str(tmp_path / "state"))
+        query = traces.merge_stream(spark.readStream.option("maxFilesPerTrigger", 1).text(str(incoming)), Graph(known.nodes, base.edges), str(tmp_path / "out"), str(tmp_path / "state"))
         query.processAllAvailable()
         query.stop()
         edges = spark.read.parquet(str(tmp_path / "out/edges"))
@@ -170,6 +170,40 @@ def test_streamed_traces(spark, graph, tmp_path):
     assert edges.count() == edges.select("type", "src", "dst").distinct().count()
 
 
+def test_streamed_batches_read_their_own_buckets_and_equal_one_merge(spark, graph, tmp_path, monkeypatch):
+    monkeypatch.setattr(traces, "WIDE", 2)
+    assert traces.runs_before(0) == [] and traces.runs_before(5) == [(4, 0), (1, 4)] and traces.runs_before(7) == [(4, 0), (2, 4), (1, 6)]
+    known = from_rows(spark, [x for i in range(3) for x in ({"id": f"n{i}", "label": "Endpoint", "service": f"s{i}", "path": f"/p{i}"}, {"id": f"w{i}", "label": "HttpCall", "service": "web", "path": f"/p{i}"})], [{"type": "CROSSES_TIER", "from": "w2", "to": "n2"}])
+    doc = lambda service, attributes: json.dumps({"service": service, "spans": [{"name": "call", "attributes": attributes}]})
+    span = lambda service, target, path: doc(service, {"http.route": path, "peer.service": target})
+    # known ends, an edge that the base has, stubs by path and by topic, a stub's name once more, and sources that only earlier batches know
+    batches = [
+        [span("web", "s0", "/p0"), span("web", "s2", "/p2")], [span("web", "gone", "/new")], [span("web", "gone", "/new"), doc("s1", {"messaging.destination.name": "t"})],
+        [doc("web", {"peer.service": "far"})], [doc("web", {"peer.service": "far"}), span("web", "s1", "/p1")], [span("gone", "s0", "/p9")],
+    ]
+    incoming = tmp_path / "in"
+    incoming.mkdir()
+    for i, lines in enumerate(batches):
+        (incoming / f"{i}.txt").write_text("\n".join(lines))
+        query = traces.merge_stream(spark.readStream.option("maxFilesPerTrigger", 1).text(str(incoming)), known, str(tmp_path / "out"), str(tmp_path / "state"), buckets=8)
+        query.processAllAvailable()
+        query.stop()
+    so_far, added = known, set()
+    for lines in batches:
+        nodes, edges, _ = trace.merge(so_far, spans(spark.createDataFrame(list(enumerate(lines)), "ordinal int, value string")))
+        nodes, edges = materialize(nodes), materialize(edges)
+        so_far = Graph(as_nodes(so_far.nodes).unionByName(nodes), as_edges(so_far.edges).unionByName(edges))
+        added |= {(r["type"], r["src"], r["dst"], r["from_service"], r["to_service"], r["confidence"]) for r in edges.collect()}
+    written = spark.read.parquet(str(tmp_path / "out/edges"))
+    assert {(r["type"], r["src"], r["dst"], r["from_service"], r["to_service"], r["confidence"]) for r in written.collect()} == added and written.count() == len(added) >= 5
+    assert sorted(ids(spark.read.parquet(str(tmp_path / "out/nodes")))) == sorted(set(ids(so_far.nodes)) - set(ids(known.nodes)))
+    assert {p.name for p in (tmp_path / "out/known").iterdir()} == {"base", "4-0", "2-0", "2-2", *(f"1-{i}" for i in range(6))}
+    state = traces.Known(spark, str(tmp_path / "out"), 8)
+    few = state.asked_for(5, "id", known.nodes.where("id = 'n0'"), "id")
+    assert "n0" in ids(few, "a") and few.select("bucket").distinct().count() == 1
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", few._jdf.queryExecution().executedPlan().toString())
+
+
 def test_plugins_are_gated(graph):
     with pytest.raises(PermissionError):
         plugins.run("service_risk", graph)
