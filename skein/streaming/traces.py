@@ -66,11 +66,15 @@ class Known:
 
     def write(self, rows: DataFrame, run: str) -> None:
         # large buckets in several files, small ones together in a task
-        rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/known/{run}")
+        rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/known/run={run}")
 
     def read(self, runs: list[str]) -> DataFrame:
-        parts = [self.spark.read.schema(f"{_ROW}, bucket int").parquet(f"{self.path}/known/{run}") for run in runs]
-        return reduce(DataFrame.unionByName, parts)
+        kept = f"{self.path}/known"
+        return self.spark.read.schema(f"{_ROW}, run string, bucket int").option("basePath", kept).parquet(*(f"{kept}/run={run}" for run in runs)).drop("run")
+
+    def before(self, number: int) -> DataFrame:
+        """All rows from before a batch."""
+        return self.read(["base", *(f"{width}-{start}" for width, start in runs_before(number))])
 
     def widen(self, number: int) -> None:
         """Write the runs that end before this batch and are complete now."""
@@ -80,14 +84,13 @@ class Known:
             self.write(self.read([f"{part}-{start}" for start in range(number - width, number, part)]), f"{width}-{number - width}")
             width *= WIDE
 
-    def asked_for(self, number: int, kind: str, keys: DataFrame, *key: str) -> DataFrame:
-        """The rows of a kind, from before a batch, in the buckets that keys name: at most as many numbers as there are buckets pass through the driver."""
+    def asked_for(self, rows: DataFrame, kind: str, keys: DataFrame, *key: str) -> DataFrame:
+        """Of rows those of a kind in the buckets that keys name: at most as many numbers as there are buckets pass through the driver."""
         named = [r["bucket"] for r in keys.select(self.bucket(kind, *key)).distinct().collect()]
-        runs = ["base", *(f"{width}-{start}" for width, start in runs_before(number))]
-        return self.read(runs).where(F.col("bucket").isin(named) & (F.col("kind") == kind))
+        return rows.where(F.col("bucket").isin(named) & (F.col("kind") == kind))
 
 
-def merge_stream(documents: DataFrame, base: Graph, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+def merge_stream(documents: DataFrame, base: Graph, path: str, checkpoint: str, buckets: int = 32) -> StreamingQuery:
     """Start merging a stream of trace documents (value) into the additions kept at path.
 
     Each batch is merged into the base and all additions before it, and what it adds is
@@ -103,15 +106,16 @@ def merge_stream(documents: DataFrame, base: Graph, path: str, checkpoint: str,
         if number == 0:
             known.write(known.rows(base), "base")
         known.widen(number)
+        earlier = known.before(number)
         found = materialize(spans(df.select(F.sha2("value", 256).alias("ordinal"), "value").dropDuplicates(["value"])))
         asks = asked(found, "service").unionByName(asked(found, "target_service"))
-        sign = known.asked_for(number, "sign", asks, "service", "key").select(F.col("a").alias("service"), F.col("b").alias("key"), "id", "own", "first")
-        spare = known.asked_for(number, "spare", found.where("service is not null"), "service")
+        sign = known.asked_for(earlier, "sign", asks, "service", "key").select(F.col("a").alias("service"), F.col("b").alias("key"), "id", "own", "first")
+        spare = known.asked_for(earlier, "spare", found.where("service is not null"), "service")
         spare = spare.groupBy(F.col("a").alias("service")).agg(F.min_by("id", F.struct("first", "b", "c")).alias("id"))
         nodes, edges, _ = linked(found, sign, spare)
         nodes, edges = materialize(nodes), materialize(edges)
-        ids = known.asked_for(number, "id", nodes, "id").select(F.col("a").alias("id"))
-        keys = known.asked_for(number, "edge", edges, "type", "src", "dst").select(F.col("a").alias("type"), F.col("b").alias("src"), F.col("c").alias("dst"))
+        ids = known.asked_for(earlier, "id", nodes, "id").select(F.col("a").alias("id"))
+        keys = known.asked_for(earlier, "edge", edges, "type", "src", "dst").select(F.col("a").alias("type"), F.col("b").alias("src"), F.col("c").alias("dst"))
         for part, new in zip(("nodes", "edges"), unknown(nodes, edges, ids, keys), strict=True):
             new.write.mode("overwrite").parquet(f"{path}/{part}/batch={number}")
         written = (spark.read.schema(", ".join(f"{c} {t}" for c, t in kind.items())).parquet(f"{path}/{part}/batch={number}") for part, kind in (("nodes", NODE), ("edges", EDGE)))

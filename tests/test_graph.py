@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import re
 import time
@@ -179,27 +180,28 @@ def test_streamed_batches_read_their_own_buckets_and_equal_one_merge(spark, grap
     # known ends, an edge that the base has, stubs by path and by topic, a stub's name once more, and sources that only earlier batches know
     batches = [
         [span("web", "s0", "/p0"), span("web", "s2", "/p2")], [span("web", "gone", "/new")], [span("web", "gone", "/new"), doc("s1", {"messaging.destination.name": "t"})],
-        [doc("web", {"peer.service": "far"})], [doc("web", {"peer.service": "far"}), span("web", "s1", "/p1")], [span("gone", "s0", "/p9")],
+        [doc("web", {"peer.service": "far"})], [doc("web", {"peer.service": "far"}), span("web", "s1", "/p1"), span("gone", "s0", "/p9")],
     ]
     incoming = tmp_path / "in"
     incoming.mkdir()
     for i, lines in enumerate(batches):
         (incoming / f"{i}.txt").write_text("\n".join(lines))
-        query = traces.merge_stream(spark.readStream.option("maxFilesPerTrigger", 1).text(str(incoming)), known, str(tmp_path / "out"), str(tmp_path / "state"), buckets=8)
-        query.processAllAvailable()
-        query.stop()
+        os.utime(incoming / f"{i}.txt", (i, i))
+    query = traces.merge_stream(spark.readStream.option("maxFilesPerTrigger", 1).text(str(incoming)), known, str(tmp_path / "out"), str(tmp_path / "state"), buckets=8)
+    query.processAllAvailable()
+    query.stop()
     so_far, added = known, set()
     for lines in batches:
         nodes, edges, _ = trace.merge(so_far, spans(spark.createDataFrame(list(enumerate(lines)), "ordinal int, value string")))
         nodes, edges = materialize(nodes), materialize(edges)
-        so_far = Graph(as_nodes(so_far.nodes).unionByName(nodes), as_edges(so_far.edges).unionByName(edges))
+        so_far = Graph(materialize(as_nodes(so_far.nodes).unionByName(nodes)), materialize(as_edges(so_far.edges).unionByName(edges)))
         added |= {(r["type"], r["src"], r["dst"], r["from_service"], r["to_service"], r["confidence"]) for r in edges.collect()}
     written = spark.read.parquet(str(tmp_path / "out/edges"))
     assert {(r["type"], r["src"], r["dst"], r["from_service"], r["to_service"], r["confidence"]) for r in written.collect()} == added and written.count() == len(added) >= 5
     assert sorted(ids(spark.read.parquet(str(tmp_path / "out/nodes")))) == sorted(set(ids(so_far.nodes)) - set(ids(known.nodes)))
-    assert {p.name for p in (tmp_path / "out/known").iterdir()} == {"base", "4-0", "2-0", "2-2", *(f"1-{i}" for i in range(6))}
+    assert {p.name for p in (tmp_path / "out/known").iterdir()} == {"run=base", "run=4-0", "run=2-0", "run=2-2", *(f"run=1-{i}" for i in range(5))}
     state = traces.Known(spark, str(tmp_path / "out"), 8)
-    few = state.asked_for(5, "id", known.nodes.where("id = 'n0'"), "id")
+    few = state.asked_for(state.before(5), "id", known.nodes.where("id = 'n0'"), "id")
     assert "n0" in ids(few, "a") and few.select("bucket").distinct().count() == 1
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", few._jdf.queryExecution().executedPlan().toString())
 
