@@ -46,6 +46,8 @@ from .tables import materialize
 
 #: Copies of one message that a task writes out.
 _COPIES = 10_000
+#: Rounds of settled calls that one plan unites.
+_PLAN = 16
 
 
 def tool_schemas(spark: SparkSession, tools: dict[str, dict[str, str]], required: dict[str, list[str]]) -> DataFrame:
@@ -100,27 +102,51 @@ def calls_of(own: DataFrame) -> DataFrame:
     return apart.select(item, "conv", "conv_id", "turn", F.struct("spot", "call_no").alias("place"), "call_no", get("$.id", "string").alias("call_id"), get("$.name", "string").alias("tool"), get("$.arguments", "variant").alias("arguments"), get("$.after", "array<string>").alias("after"))
 
 
+def _led_back(waits: DataFrame) -> DataFrame:
+    """Calls that wait for one call alone, led back to the first (`at`) that is not such a call, `far` steps away; those on or behind a cycle of such calls are left out.
+
+    Every round doubles the steps. When as many calls as in the round before were led on,
+    none of those came to an end, and none will.
+    """
+    one = waits.groupBy("conv", "call_id").agg(F.count("*").alias("n"), F.min("needs").alias("at")).where("n = 1")
+    now, before = materialize(one.select("conv", "call_id", "at", F.lit(1).cast("long").alias("far"), F.lit(True).alias("led"))), -1
+    while True:
+        on = now.select("conv", F.col("call_id").alias("at"), F.col("at").alias("to"), F.col("far").alias("more"))
+        met = now.join(on, ["conv", "at"], "left")
+        now = materialize(met.select("conv", "call_id", F.coalesce("to", "at").alias("at"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("to").isNotNull().alias("led")))
+        if (n := now.where("led").count()) in (0, before):
+            return now.where("not led").drop("led")
+        before = n
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """conv, call_id and level of first calls: the longest chain of calls waited for; those on or behind a cycle have none.
 
-    A round settles the calls whose predecessors are settled; the first round that
-    settles none is the last, so that there are as many rounds as the longest chain has calls.
+    Calls that wait for one call alone take their level from where they are led back to.
+    Those that wait for several are settled in rounds, each met by what the round before
+    has settled, so that there are as many rounds as the longest chain has calls of this kind.
     """
     waits = calls.where("after is not null").select("conv", "call_id", F.explode(F.array_distinct("after")).alias("needs"))
     known = calls.select("conv", "call_id").distinct()
     waits = materialize(waits.join(known.select("conv", F.col("call_id").alias("needs")), ["conv", "needs"], "left_semi"))
     if waits.isEmpty():
         return known.withColumn("level", F.lit(0))
-    settled = materialize(known.join(waits, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    n = settled.count()
-    while True:
-        before = settled.select("conv", F.col("call_id").alias("needs"), F.col("level").alias("at"))
-        open_ = waits.join(settled, ["conv", "call_id"], "left_anti")
-        ready = open_.join(before, ["conv", "needs"], "left").groupBy("conv", "call_id").agg(F.max("at").alias("most"), F.count_if(F.col("at").isNull()).alias("missing"))
-        settled = materialize(settled.unionByName(ready.where("missing = 0").select("conv", "call_id", (F.col("most") + 1).alias("level"))))
-        if (now := settled.count()) == n:
-            return settled
-        n = now
+    back = _led_back(waits)
+    settled = fresh = materialize(known.join(waits, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")))
+    several = waits.groupBy("conv", "call_id").agg(F.count("*").alias("left")).where("`left` > 1")
+    waiting = materialize(several.withColumn("most", F.lit(0).cast("long")))
+    ends = back.select("conv", F.col("call_id").alias("needs"), "at", "far")
+    routes = materialize(waits.join(waiting.select("conv", "call_id"), ["conv", "call_id"], "left_semi").join(ends, ["conv", "needs"], "left").select("conv", "call_id", F.coalesce("at", "needs").alias("at"), (F.coalesce("far", F.lit(0)) + 1).alias("far")))
+    rounds = 0
+    while not fresh.isEmpty():
+        met = routes.join(fresh.select("conv", F.col("call_id").alias("at"), "level"), ["conv", "at"]).groupBy("conv", "call_id").agg(F.count("*").alias("n"), F.max(F.col("level") + F.col("far")).alias("reached"))
+        waiting = materialize(waiting.where("`left` > 0").join(met, ["conv", "call_id"], "left").select("conv", "call_id", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.greatest("most", "reached").alias("most")))
+        fresh = waiting.where("`left` = 0").select("conv", "call_id", F.col("most").alias("level"))
+        settled, rounds = settled.unionByName(fresh), rounds + 1
+        if rounds % _PLAN == 0:
+            settled = materialize(settled)
+    behind = back.join(settled.select("conv", F.col("call_id").alias("at"), "level"), ["conv", "at"]).select("conv", "call_id", (F.col("level") + F.col("far")).alias("level"))
+    return settled.unionByName(behind).withColumn("level", F.col("level").cast("int"))
 
 
 def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 from plain import frame, repeated_bytes
 
-from skein.llm import fm_dedup, suffix_dedup, token_files
+from skein.llm import chat, fm_dedup, suffix_dedup, token_files
 
 
 def test_rows_that_are_equal_in_id_and_text(spark):
@@ -50,3 +50,15 @@ def test_a_pair_is_replaced_as_soon_as_it_pays():
     rules, seq, _ = token_files.repair(ids, np.array([len(ids)]), 100)
     assert len(rules) == 2 and len(seq) == 8
     assert len(token_files.repair(ids[3:], np.array([len(ids) - 3]), 100)[0]) == 0
+
+
+def test_long_chains_of_calls_take_few_rounds(spark, monkeypatch):
+    chain = [("a", f"c{i}", [f"c{i - 1}"] if i else None) for i in range(300)]
+    # two that wait for several, one of them at the end of the chain; a cycle with a tail; and a call that waits for the tail and the chain
+    rest = [("a", "j", ["c299", "c10"]), ("a", "k", ["j", "c0", "j"]), ("a", "x", ["y"]), ("a", "y", ["x"]), ("a", "z", ["y"]), ("a", "v", ["z", "c1"]), ("a", "s", ["s"]), ("b", "c5", None), ("b", "m", ["c5", "gone"])]
+    made, real = [], chat.materialize
+    monkeypatch.setattr(chat, "materialize", lambda df: made.append(1) or real(df))
+    calls = spark.createDataFrame(chain + rest, "conv string, call_id string, after array<string>")
+    got = {(r.conv, r.call_id): r.level for r in chat.levels(calls).collect()}
+    assert got == {("a", f"c{i}"): i for i in range(300)} | {("a", "j"): 300, ("a", "k"): 301, ("b", "c5"): 0, ("b", "m"): 1}
+    assert len(made) < 25
