@@ -104,7 +104,7 @@ def host_scores(judged: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, ratio: float = RATIO) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust and distrust of every page."""
+    """page_id, host, path, rule and verdict of every page; `host_scores` gives the masses behind it."""
     own = with_rule(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), rules)
     light = own.drop("html", "url").withColumn("node", bare_host(F.col("host")))
     # one aggregate of all pages' hosts and links: the hot host is summed before anything is joined
