@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -17,15 +18,30 @@ _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
-@lru_cache(maxsize=1)
-def classes() -> np.ndarray:
-    """Space, letter, digit or other for every code point."""
-    kinds = {"L": LETTER, "N": DIGIT}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    table[_WHITE] = SPACE
+#: Code points whose classes are found at once, so that a process looks up no more than the scripts it meets.
+_RANGE_BITS = 12
+
+
+@lru_cache(maxsize=None)
+def _range_classes(k: int) -> np.ndarray:
+    """Space, letter, digit or other for the code points of the k-th range."""
+    kinds, first = {"L": LETTER, "N": DIGIT}, k << _RANGE_BITS
+    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(first, first + (1 << _RANGE_BITS))), np.uint8, 1 << _RANGE_BITS)
+    table[[c - first for c in _WHITE if c >> _RANGE_BITS == k]] = SPACE
     return table
 
 
+def classes(points: np.ndarray) -> np.ndarray:
+    """Space, letter, digit or other for each of some code points."""
+    met = np.flatnonzero(np.bincount(points >> np.uint32(_RANGE_BITS)))
+    if len(met) == 1 and not met[0]:
+        return _range_classes(0)[points]
+    table = np.zeros((int(met[-1]) + 1) << _RANGE_BITS, np.uint8)
+    for k in met.tolist():
+        table[k << _RANGE_BITS : (k + 1) << _RANGE_BITS] = _range_classes(k)
+    return table[points]
+
+
 def piece_bounds(points: np.ndarray, offsets: np.ndarray, joined: bool) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the pieces of texts given as code points and row offsets.
 
@@ -36,7 +52,7 @@ def piece_bounds(points: np.ndarray, offsets: np.ndarray, joined: bool) -> tuple
     n = len(points)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = classes()[points]
+    kind = classes(points)
     fresh = np.ones(n, bool)
     np.not_equal(kind[1:], kind[:-1], out=fresh[1:])
     fresh[offsets[:-1][offsets[:-1] < n]] = True
@@ -94,11 +110,11 @@ _CELL_BITS = 21
 class PieceCache:
     """Ids of pieces by the hash of their bytes; emptied beyond `most` pieces, so that its memory is bounded.
 
-    A table of cells finds most pieces by array operations; those whose cell another
-    piece has are looked up one by one.
+    A table of cells finds most pieces by array operations; only those whose cell
+    another piece has are kept in a dictionary and looked up one by one.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 600_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1_000_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
@@ -108,37 +124,42 @@ class PieceCache:
         self.cell_slot = np.full(1 << _CELL_BITS, -1, np.int32)
         self.ids = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 15, np.int64)
-        self.size = np.zeros(1 << 15, np.int64)
-        self.used = 0
+        self.size = np.zeros(1 << 15, np.int32)
+        self.known = self.used = 0
 
-    def _add(self, hashes: list[int], pieces: list[bytes]) -> None:
+    def _add(self, pieces: list[bytes]) -> np.ndarray:
+        """The slots of new pieces."""
         found = self.encode(pieces)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.int32, int(sizes.sum()))
-        k, end = len(self.slot), self.used + len(flat)
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        k, end = self.known, self.used + len(flat)
         if end > len(self.ids):
             self.ids = np.r_[self.ids[: self.used], np.zeros(max(end, 2 * len(self.ids)) - self.used, np.int32)]
         if k + len(found) > len(self.start):
-            more = np.zeros(max(k + len(found), 2 * len(self.start)) - k, np.int64)
-            self.start, self.size = np.r_[self.start[:k], more], np.r_[self.size[:k], more]
+            more = max(k + len(found), 2 * len(self.start)) - k
+            self.start, self.size = np.r_[self.start[:k], np.zeros(more, np.int64)], np.r_[self.size[:k], np.zeros(more, np.int32)]
         self.ids[self.used : end] = flat
         self.start[k : k + len(found)] = self.used + np.cumsum(sizes) - sizes
         self.size[k : k + len(found)] = sizes
-        self.slot.update(zip(hashes, range(k, k + len(found)), strict=True))
-        self.used = end
+        self.known, self.used = k + len(found), end
+        return np.arange(k, self.known, dtype=np.int32)
 
     def _slots(self, distinct: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Slots of distinct pieces that stand in no cell of their own; from now on they do."""
-        keys = distinct.tolist()
-        slots = [self.slot.get(k, -1) for k in keys]
-        missing = [i for i, s in enumerate(slots) if s < 0]
-        if missing:
+        """Slots of distinct pieces that stand in no cell."""
+        found = np.fromiter((self.slot.get(k, -1) for k in distinct.tolist()), np.int32, len(distinct))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
             raw = data.tobytes()
-            self._add([keys[i] for i in missing], [raw[a:b] for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)])
-            slots = [self.slot[k] for k in keys]
-        found = np.array(slots, np.int32)
-        cell, one = np.unique(distinct >> np.uint64(64 - _CELL_BITS), return_index=True)
-        self.cell_key[cell], self.cell_slot[cell] = distinct[one], found[one]
+            fresh, slots = distinct[missing], self._add([raw[a:b] for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)])
+            found[missing] = slots
+            # the first of a free cell has it
+            cell, one = np.unique(fresh >> np.uint64(64 - _CELL_BITS), return_index=True)
+            free = self.cell_slot[cell] < 0
+            cell, one = cell[free], one[free]
+            self.cell_key[cell], self.cell_slot[cell] = fresh[one], slots[one]
+            rest = np.ones(len(fresh), bool)
+            rest[one] = False
+            self.slot.update(zip(fresh[rest].tolist(), slots[rest].tolist(), strict=True))
         return found
 
     def tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +170,7 @@ class PieceCache:
         unmet = np.flatnonzero(slot < 0)
         if len(unmet):
             distinct, at, back = np.unique(hashes[unmet], return_index=True, return_inverse=True)
-            if self.slot and len(self.slot) + len(distinct) > self.most:
+            if self.known and self.known + len(distinct) > self.most:
                 self.clear()
                 return self.tokens(data, starts, ends)
             slot[unmet] = self._slots(distinct, data, starts[unmet[at]], ends[unmet[at]])[back]

@@ -40,6 +40,10 @@ STILL_FREQUENT = 0.75
 #: Ids of a shard; a longer document has a shard of its own.
 SHARD_IDS = 1 << 22
 _CELL_BITS = 20
+#: Pieces that are encoded end to end.
+_TOGETHER = 4096
+#: First bytes of white space beyond ASCII, and of other characters.
+_MAYBE_WHITE = frozenset((0xC2, 0xE1, 0xE2, 0xE3))
 #: Shards whose ids one task sums up.
 _SHARDS = 4096
 
@@ -52,7 +56,11 @@ SHARD_SCHEMA = "part int, shard int, first_rule int, bits int, rules binary, exp
 
 
 class ByteBpe:
-    """Ids of texts by a byte-level vocabulary; the tokenizers library encodes each distinct piece."""
+    """Ids of texts by a byte-level vocabulary; the tokenizers library encodes each distinct piece.
+
+    Pieces of a blank and a word are encoded end to end, for a blank begins a piece
+    whatever word stands before it; their ids are parted by the bytes they stand for.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -63,10 +71,31 @@ class ByteBpe:
         self.tokenizer.no_truncation()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # a byte-level token has a character for each byte
+        self.token_bytes = np.zeros(self.size, np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.token_bytes[i] = len(token)
         self.cache = PieceCache(self._pieces)
 
     def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        found: list[list[int]] = [[]] * len(pieces)
+        words, apart = [], []
+        for i, p in enumerate(pieces):
+            (words if len(p) > 1 and p[0] == 0x20 < p[1] and p[1] not in _MAYBE_WHITE else apart).append(i)
+        runs = [words[k : k + _TOGETHER] for k in range(0, len(words), _TOGETHER)]
+        for run in runs:
+            ids = self.tokenizer.encode_batch_fast([b"".join([pieces[i] for i in run]).decode()], add_special_tokens=False)[0].ids
+            ends, stops = np.cumsum(self.token_bytes[ids]), np.cumsum([len(pieces[i]) for i in run])
+            last = np.searchsorted(ends, stops)
+            if last[-1] != len(ids) - 1 or (ends[last] != stops).any():
+                apart += run
+                continue
+            cuts = (last + 1).tolist()
+            for i, a, b in zip(run, [0, *cuts], cuts, strict=False):
+                found[i] = ids[a:b]
+        for i, e in zip(apart, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in apart], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        return found
 
     def encode_many(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts given as UTF-8 bytes and offsets, and the offsets of each text's ids."""
@@ -118,15 +147,11 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int | None
     while len(seq) > 1 and names < 1 << bits:
         half = seq.dtype.type(bits)
         if live is None:
-            pair = seq[:-1] << half | seq[1:]
-            live = np.arange(len(pair))
-            apart = bounds[(bounds > 0) & (bounds < len(seq))] - 1
-        else:
-            pair, apart = seq[live] << half | seq[live + 1], live[:0]
-        cell = _cell(pair)
-        heavy = (np.bincount(cell, minlength=1 << _CELL_BITS) >= now)[cell]
-        heavy[apart] = False
-        live, pair, cell = live[heavy], pair[heavy], cell[heavy]
+            inside = np.ones(len(seq), bool)
+            # the last place of a document has no neighbour
+            inside[bounds[bounds > 0] - 1] = inside[-1:] = False
+            live = np.flatnonzero(inside)
+        pair = seq[live] << half | seq[live + 1]
         ranked = np.sort(pair)
         begin = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
         kinds, count = ranked[begin], np.diff(np.r_[begin, len(ranked)])
@@ -136,6 +161,11 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int | None
                 break
             now, live = least, None
             continue
+        # places of other pairs are left, but for some whose cell a frequent pair has
+        cell, frequent = _cell(pair), np.zeros(1 << _CELL_BITS, bool)
+        frequent[_cell(kinds)] = True
+        heavy = frequent[cell]
+        live, pair, cell = live[heavy], pair[heavy], cell[heavy]
         # rarest first, so that of pairs with one cell the most frequent has it; the others wait for the next round
         chosen = kinds[np.argsort(-count, kind="stable")[: (1 << bits) - names][::-1]]
         own = _cell(chosen)
@@ -153,17 +183,15 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int | None
         seq[take] = names + slot
         stays = np.ones(len(seq), bool)
         stays[take + 1] = False
-        again = live[~won]
-        again = again[stays[again]]
-        again -= np.searchsorted(take + 1, again)
         bounds = bounds - np.searchsorted(take + 1, bounds)
+        open_ = np.zeros(len(seq), bool)
+        open_[live] = True
         seq = seq[stays]
         names += len(used)
         # the new symbols' places, after what stood before them has gone
         fresh = take - np.arange(len(take))
-        open_ = np.zeros(len(seq), bool)
-        open_[again] = open_[fresh] = open_[np.maximum(fresh - 1, 0)] = True
-        # the last place of a document has no neighbour
+        open_ = open_[stays]
+        open_[np.maximum(fresh - 1, 0)] = True
         open_[bounds[bounds > 0] - 1] = open_[-1:] = False
         live = np.flatnonzero(open_)
     flat = np.concatenate(rules) if rules else np.zeros(0, seq.dtype)
@@ -171,8 +199,8 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int | None
 
 
 def _frequent_share(seq: np.ndarray, bounds: np.ndarray, least: int) -> float:
-    """The share of neighbouring symbols within documents whose pair is found `least` times or more."""
-    pairs = np.delete(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64), np.unique(bounds[(bounds > 0) & (bounds < len(seq))]) - 1)
+    """The share of neighbouring 16-bit symbols within documents whose pair is found `least` times or more."""
+    pairs = np.delete(seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:].astype(np.uint32), np.unique(bounds[(bounds > 0) & (bounds < len(seq))]) - 1)
     _, counts = np.unique(pairs, return_counts=True)
     return float(counts[counts >= least].sum()) / max(1, len(pairs))
 
