@@ -68,3 +68,11 @@ def test_snapshots_grow_by_what_is_new(spark, world):
     assert snapshots.read(spark, path).nodes.count() == 120 and snapshots.parts(spark, path) == [0, 1, 2]
     snapshots.append(spark, path, Graph(from_rows(spark, [{"id": "new", "label": "X"}], []).nodes, edges.limit(0)))
     assert snapshots.read(spark, path).nodes.where("id = 'new'").count() == 1 and snapshots.version(spark, path).first() != version(once).first()
+
+
+def test_parts_are_written_when_they_are_asked_for(world):
+    graph, _ = world
+    index = postings.build(graph, shards=3)
+    assert not {"nodes", "grams", "tokens", "by_src", "by_dst"} & set(vars(index))
+    assert postings.callers(index, "loan").count() == traverse.callers(graph, "loan").count()
+    assert not {"tokens", "by_src"} & set(vars(index))
