@@ -76,3 +76,13 @@ def test_parts_are_written_when_they_are_asked_for(world):
     assert not {"nodes", "grams", "tokens", "by_src", "by_dst"} & set(vars(index))
     assert postings.callers(index, "loan").count() == traverse.callers(graph, "loan").count()
     assert not {"tokens", "by_src"} & set(vars(index))
+
+
+def test_frequent_grams_have_no_postings(world, monkeypatch):
+    graph, _ = world
+    monkeypatch.setattr(postings, "FEW", 8)
+    index = postings.build(graph, shards=3)
+    counted = index.gram_counts.groupBy().sum("n").first()[0]
+    assert index.grams.count() < counted and max(r.n for r in index.gram_counts.collect()) > index.most
+    for symbol in ("loan", "vehicle", "api", "n11", "motor-home vehicle", "nowhere"):
+        assert _keys(postings.matching(index, symbol), "id") == _keys(traverse.match_nodes(graph, symbol), "id")
