@@ -86,3 +86,12 @@ def test_frequent_grams_have_no_postings(world, monkeypatch):
     assert index.grams.count() < counted and max(r.n for r in index.gram_counts.collect()) > index.most
     for symbol in ("loan", "vehicle", "api", "n11", "motor-home vehicle", "nowhere"):
         assert _keys(postings.matching(index, symbol), "id") == _keys(traverse.match_nodes(graph, symbol), "id")
+
+
+def test_callees_and_search_write_what_they_read(world):
+    graph, _ = world
+    index = postings.build(graph, shards=3)
+    assert postings.callees(index, "loan").count() == traverse.callees(graph, "loan").count()
+    assert not {"tokens", "by_dst"} & set(vars(index))
+    index = postings.build(graph, shards=3)
+    assert postings.search(index, "loan", 3).count() == 3 and not {"tokens", "by_src", "by_dst"} & set(vars(index))
